@@ -9,6 +9,9 @@ oracle reads the pre-registered DuckDB views.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import constants as K
@@ -113,12 +116,27 @@ def render(sql: str, dialect: str, sf_dir: str | None = None) -> str:
     return sql.format(S=string_type, **tables)
 
 
+def materialized(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    """Run a binding once and keep it as a parquet table under the shared
+    ``spark.checkpoint.dir`` (keyed by input folder and SQL text): later queries
+    scan it with pruning and pushdown instead of re-running the joins, and the
+    lineage is cut.  A table without its ``_SUCCESS`` marker is rebuilt."""
+    from .session import scratch_path
+    key = hashlib.sha1((os.path.abspath(sf_dir) + "\n" + sql).encode()).hexdigest()[:16]
+    path = scratch_path(spark, f"binding_{name}_{key}")
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jvm_path):
+        spark.sql(sql).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(render(LISTINGS, "spark", sf_dir))
+    return materialized(spark, sf_dir, "listings", render(LISTINGS, "spark", sf_dir))
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +154,7 @@ def bom(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = render(PAGES, "spark", sf_dir).replace(
         "from listings", "from (" + render(LISTINGS, "spark", sf_dir) + ") listings")
-    return spark.sql(sql)
+    return materialized(spark, sf_dir, "pages", sql)
 
 
 def exchange_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

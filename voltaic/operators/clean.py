@@ -127,12 +127,14 @@ def validate_specs(df: DataFrame) -> DataFrame:
                              F.concat(F.lit(f"Converted {name} from '"), raw, F.lit("' to "),
                                       parsed.cast("string"))))
         out = out.withColumn(name + "__v", F.coalesce(parsed, F.lit(float(dflt))))
+    fills = {}
     for name, dflt in [("phase", K.DEFAULT_PHASE), ("type", K.DEFAULT_TYPE)]:
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast("string"))
         msgs.append(_msg(F.col(name).isNull(), f"Missing {name}: using default {dflt}"))
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(dflt)))
-    out = out.withColumn("warnings", F.array_compact(F.array(*msgs)))
+        fills[name] = F.coalesce(F.col(name), F.lit(dflt))
+    # messages first (they test the raw values), then the filled values
+    out = out.withColumn("warnings", F.array_compact(F.array(*msgs))).withColumns(fills)
     for name, _, _ in defaults:
         out = out.drop(name).withColumnRenamed(name + "__v", name)
     return out
@@ -154,7 +156,7 @@ def strict_spec_check(df: DataFrame, required=("power_rating_kva", "primary_volt
         if c in df.columns:
             reasons.append(_msg(F.col(c).isNotNull() & F.col(c).cast("string").try_cast("double").isNull(),
                                 f"non-numeric {c}"))
-    reason = F.element_at(F.array_compact(F.array(*reasons)), 1)
+    reason = F.try_element_at(F.array_compact(F.array(*reasons)), F.lit(1))
     out = df.withColumn("reject_reason", reason)
     if strict:
         out = out.withColumn("reject_reason", F.when(F.col("reject_reason").isNotNull(),

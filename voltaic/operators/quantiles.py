@@ -35,15 +35,28 @@ def _band_filter(lo_col: str = "band_lo", hi_col: str = "band_hi"):
             (F.col(hi_col).isNull() | (F.col("__v") <= F.col(hi_col))))
 
 
+def narrow_values(df: DataFrame, value: str, keys: list[str], checkpoint: bool = True) -> DataFrame:
+    """(keys, __v) with null values / keys removed; checkpointed (reliable, in
+    ``spark.checkpoint.dir``) so the upstream plan runs once for all passes."""
+    vals = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    for k in keys:
+        vals = vals.where(F.col(k).isNotNull())
+    if checkpoint:
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(df.sparkSession)
+        vals = vals.checkpoint(eager=True)
+    return vals
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str] | None = None,
-                    names: list[str] | None = None, collect_limit: int = 200000) -> DataFrame:
+                    names: list[str] | None = None, collect_limit: int = 200000,
+                    narrowed: bool = False) -> DataFrame:
     """One row per group: ``keys`` + one double column per quantile in ``qs``.
-    Null values are ignored; rows with a null key are dropped (pandas groupby)."""
+    Null values are ignored; rows with a null key are dropped (pandas groupby).
+    ``narrowed=True`` means ``df`` already is ``narrow_values(...)`` output."""
     user_keys = list(keys or [])
     names = names or [f"q{int(round(q * 100)):02d}" for q in qs]
-    vals = df.select(*user_keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    for k in user_keys:
-        vals = vals.where(F.col(k).isNotNull())
+    vals = df if narrowed else narrow_values(df, value, user_keys)
     keys = user_keys or ["__g"]
     if not user_keys:
         vals = vals.withColumn("__g", F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, narrow_values
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,15 +31,15 @@ def _non_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 def five_number(df: DataFrame, value: str, keys: list[str] | None = None, prefix: str = "") -> DataFrame:
     """A1: count, mean, median, min, max, sample std of ``value`` per group."""
     keys = list(keys or [])
-    base = _non_null_keys(df, keys)
-    v = F.col(value)
-    algebraic = base.groupBy(*keys).agg(
+    vals = narrow_values(df, value, keys)
+    v = F.col("__v")
+    algebraic = vals.groupBy(*keys).agg(
         F.count(v).alias(prefix + "n"),
         F.avg(v).alias(prefix + "mean"),
         F.min(v).alias(prefix + "min"),
         F.max(v).alias(prefix + "max"),
         F.stddev_samp(v).alias(prefix + "std"))
-    med = exact_quantiles(base, value, [0.5], keys, [prefix + "median"])
+    med = exact_quantiles(vals, "__v", [0.5], keys, [prefix + "median"], narrowed=True)
     if keys:
         return algebraic.join(med, keys, "left")
     return _join_on(algebraic, med, [])
@@ -158,14 +158,14 @@ def box_stats(df: DataFrame, value: str, keys: list[str] | None = None) -> DataF
     """Quartiles, 1.5 IQR fences, whiskers (extreme values inside the fences)
     and outlier count per group -- the numbers a box plot draws."""
     keys = list(keys or [])
-    base = _non_null_keys(df.where(F.col(value).isNotNull()), keys)
-    qs = exact_quantiles(base, value, [0.25, 0.5, 0.75], keys, ["q1", "median", "q3"])
+    base = narrow_values(df, value, keys)
+    qs = exact_quantiles(base, "__v", [0.25, 0.5, 0.75], keys, ["q1", "median", "q3"], narrowed=True)
     qs = (qs.withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("lower_fence", F.col("q1") - 1.5 * F.col("iqr"))
             .withColumn("upper_fence", F.col("q3") + 1.5 * F.col("iqr")))
-    v = F.col(value)
+    v = F.col("__v")
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
-    fences = qs.select(*keys, "lower_fence", "upper_fence") if keys else qs.select("lower_fence", "upper_fence")
+    fences = qs.select(*keys, "lower_fence", "upper_fence")
     agg = _join_on(base, fences, keys).groupBy(*keys).agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),

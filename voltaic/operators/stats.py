@@ -238,7 +238,7 @@ def quadratic_trend(df: DataFrame, x: str, y: str, points: int = 100) -> tuple[D
     tt, yy = F.col("t"), F.col(y)
     s = t.groupBy("mx", "sx").agg(
         F.count(F.lit(1)).alias("s0"), F.sum(tt).alias("s1"), F.sum(tt * tt).alias("s2"),
-        F.sum(tt ** 3).alias("s3"), F.sum(tt ** 4).alias("s4"),
+        F.sum(tt * tt * tt).alias("s3"), F.sum(tt * tt * tt * tt).alias("s4"),
         F.sum(yy).alias("y0"), F.sum(tt * yy).alias("y1"), F.sum(tt * tt * yy).alias("y2"))
     c = {k: F.col(k) for k in ["s0", "s1", "s2", "s3", "s4", "y0", "y1", "y2"]}
 

@@ -26,8 +26,9 @@ def _target_sql(p: str) -> str:
     return "(case " + " ".join(parts) + " end)"
 
 
-def weights_sql(src: str, p="power_rating", a="primary_voltage", b="secondary_voltage", ph="phase") -> str:
-    """A CTE body adding the Q1 columns to ``src``."""
+def weights_sql(src: str, p="power_rating", a="primary_voltage", b="secondary_voltage", ph="phase",
+                jitter: dict | None = None) -> str:
+    """A CTE body adding the Q1 columns to ``src`` (``jitter``: component -> SQL factor)."""
     kind = _phase_kind_sql(ph)
     valid = f"({p} > 0 and {a} > 0 and {b} > 0 and {kind} is not null)"
     vf = f"log10(({a} + 0.1) / ({b} + 0.1) + 1)"
@@ -39,6 +40,8 @@ def weights_sql(src: str, p="power_rating", a="primary_voltage", b="secondary_vo
         w = (f"cast({base} as double) * pow({p} / 1000.0, {e}) * (1 + {vadj} * {vf})"
              f" * (case when {kind} = 'single' then {single} else 1.0 end)"
              f" * coalesce(1 - (1 - {lg}) * {large}, 1.0) * coalesce({ultra} * {ul}, 1.0)")
+        if jitter and name in jitter:
+            w = f"{w} * {jitter[name]}"
         raw.append(f"case when {valid} then round_even({w}, 0) end as __w_{name}")
     tot = " + ".join(f"__w_{c}" for c in K.COMPONENT_NAMES)
     tgt = _target_sql(p)
@@ -237,14 +240,17 @@ def price_composition(spark, sf):
                                                     "lop_amount", "final_price")
 
 
-def _label_sql():
+def _label_sql(noise: str | None = None):
     mat = " + ".join(f"{c}_weight * {rt}" for c, rt in K.LABEL_KG_RATES)
     cool = "(case " + " ".join(f"when cooling_type = {S.q(k)} then {v}" for k, v in K.LABEL_COOLING_ADDER) + " else 0.0 end)"
     loc = "(case " + " ".join(f"when manufacturing_location = {S.q(k)} then {v}" for k, v in K.LOCATION_FACTORS) + " end)"
     adders = (f"efficiency * {K.LABEL_EFFICIENCY_RATE} + {cool} + (case when tap_changer then {K.LABEL_TAP_ADDER} else 0.0 end)"
               f" + (case when phase = 'Three-phase' then {K.LABEL_THREE_PHASE_ADDER} else 0.0 end)"
               f" + (case when insulation_type = 'Dry' then {K.LABEL_DRY_ADDER} else 0.0 end)")
-    return f"round_even((power_rating * {K.LABEL_PER_KVA} + (0.0 + {mat}) + ({adders})) * {loc}, 0)"
+    raw = f"(power_rating * {K.LABEL_PER_KVA} + (0.0 + {mat}) + ({adders})) * {loc}"
+    if noise:
+        raw = f"{raw} * (1 + {noise})"
+    return f"round_even({raw}, 0)"
 
 
 @query("price_label", W_SQL + f"select spec_id, {r(_label_sql(), 'price')} from weighted")

@@ -25,10 +25,10 @@ def finish(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def round_half_up(c):
+def round_half_up(c, digits: int = DIGITS):
     """floor(x * 10^d + 0.5) / 10^d in plain IEEE arithmetic, so Spark and DuckDB
     agree bit for bit (Spark's ``round`` rounds the decimal string instead)."""
-    scale = float(10 ** DIGITS)
+    scale = float(10 ** digits)
     return F.when(F.abs(c) < 1e12, F.floor(c * scale + 0.5) / scale).otherwise(c)
 
 
@@ -46,9 +46,9 @@ def query(name: str, oracle: str | None = None):
     return wrap
 
 
-def r(expr: str, alias: str) -> str:
+def r(expr: str, alias: str, digits: int = DIGITS) -> str:
     """Oracle helper: a rounded double column."""
     x = f"cast({expr} as double)"
-    scale = f"{float(10 ** DIGITS)!r}"
+    scale = f"{float(10 ** digits)!r}"
     return (f"(case when abs({x}) < 1e12 then floor({x} * {scale} + cast(0.5 as double)) / {scale} "
             f"else {x} end) as {alias}")

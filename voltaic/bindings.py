@@ -68,7 +68,7 @@ select o_orderkey as quote_id,
     when 4 then 'nickel' when 5 then 'lead' when 6 then 'electrical_steel' when 7 then 'mineral_oil'
     else 'insulation_materials' end as material,
   case o_custkey % 3 when 0 then 'api' when 1 then 'web' else 'default' end as feed,
-  cast(round(o_totalprice / 20, 2) as double) as price,
+  cast(floor(o_totalprice * 5) as double) / 100 as price,
   'USD/Ton' as unit,
   cast(o_orderdate as date) as price_date
 from {orders}
@@ -97,10 +97,15 @@ from listings
 # Binding E: exchange pages quoting metal prices in text.
 EXCHANGE_PAGES = """
 select o_orderkey as page_id,
-  concat('<html><body><p>LME Copper ', cast(round(o_totalprice / 10, 2) as {S}), ' USD/t</p>',
-    '<p>Aluminium ', cast(round(o_totalprice / 40, 2) as {S}), '</p>',
-    case o_orderkey % 2 when 0 then concat('<p>Zinc ', cast(round(o_totalprice / 35, 2) as {S}), '</p>') else '' end,
-    '<p>Lead ', cast(cast(o_totalprice as bigint) % 3000 as {S}), '</p></body></html>') as html
+  concat('<html><body><p>LME Copper ',
+    case when o_totalprice >= 10000 then concat(cast(cast(floor(o_totalprice / 10000) as bigint) as {S}), ',',
+      lpad(cast(cast(floor(o_totalprice / 10) as bigint) % 1000 as {S}), 3, '0'))
+      else cast(cast(floor(o_totalprice / 10) as bigint) as {S}) end,
+    '.', lpad(cast(cast(floor(o_totalprice * 10) as bigint) % 100 as {S}), 2, '0'), ' USD/t</p>',
+    '<p>Aluminium ', cast(cast(floor(o_totalprice / 40) as bigint) as {S}), '.',
+    lpad(cast(cast(floor(o_totalprice * 2.5) as bigint) % 100 as {S}), 2, '0'), '</p>',
+    case o_orderkey % 2 when 0 then concat('<p>Zinc ', cast(cast(floor(o_totalprice / 35) as bigint) as {S}), '</p>') else '' end,
+    '<p>Lead ', cast(cast(floor(o_totalprice) as bigint) % 3000 as {S}), '</p></body></html>') as html
 from {orders}
 """
 

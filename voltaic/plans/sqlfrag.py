@@ -22,6 +22,12 @@ def extract(expr: str, pattern: str, group: int = 1) -> str:
     return f"(case when regexp_matches({expr}, {q(pattern)}) then regexp_extract({expr}, {q(pattern)}, {group}) end)"
 
 
+def initcap(expr: str) -> str:
+    """Spark's initcap (first letter of each space-separated word upper, rest lower)."""
+    return (f"array_to_string(list_transform(string_split(lower({expr}), ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+
+
 def try_double(expr: str) -> str:
     return f"try_cast({expr} as double)"
 

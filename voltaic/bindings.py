@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import constants as K
 
+LAYOUT_VERSION = "2"  # bump when the materialised layout changes
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations"]
@@ -127,12 +129,17 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataF
     scan it with pruning and pushdown instead of re-running the joins, and the
     lineage is cut.  A table without its ``_SUCCESS`` marker is rebuilt."""
     from .session import scratch_path
-    key = hashlib.sha1((os.path.abspath(sf_dir) + "\n" + sql).encode()).hexdigest()[:16]
+    key = hashlib.sha1((LAYOUT_VERSION + os.path.abspath(sf_dir) + "\n" + sql).encode()).hexdigest()[:16]
     path = scratch_path(spark, f"binding_{name}_{key}")
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
-        spark.sql(sql).write.mode("overwrite").parquet(path)
+        from .session import min_partitions
+        df = spark.sql(sql)
+        n = min_partitions(spark)
+        if df.rdd.getNumPartitions() < n:
+            df = df.repartition(n)
+        df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -145,15 +152,15 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(render(SPECS, "spark", sf_dir))
+    return materialized(spark, sf_dir, "specs", render(SPECS, "spark", sf_dir))
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(render(QUOTES, "spark", sf_dir))
+    return materialized(spark, sf_dir, "quotes", render(QUOTES, "spark", sf_dir))
 
 
 def bom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(render(BOM, "spark", sf_dir))
+    return materialized(spark, sf_dir, "bom", render(BOM, "spark", sf_dir))
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +170,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exchange_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(render(EXCHANGE_PAGES, "spark", sf_dir))
+    return materialized(spark, sf_dir, "exchange_pages", render(EXCHANGE_PAGES, "spark", sf_dir))
 
 
 def price_book(spark: SparkSession) -> DataFrame:

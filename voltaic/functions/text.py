@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 
+def compute_once(df, cols: dict):
+    """Add ``cols`` so each expression is evaluated exactly once per row.
+
+    Catalyst copies an aliased expression into every pushed-down filter that
+    references it and does not share work across CASE / OR branches, so an
+    expensive parse can run many times per row.  Columns produced by a generator
+    (``inline`` of a one-element array) are opaque to filter pushdown: the
+    expressions run once, in the Generate, and filters stay above it."""
+    keep = [c for c in df.columns if c not in cols]
+    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(n) for n, e in cols.items()]))))
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -75,9 +87,10 @@ def parse_quantity(c) -> Column:
 
 # --- X1 / X3 / X4: power rating ----------------------------------------------
 
-def rating_kva(c) -> Column:
-    """First KVA pattern hit (upper-cased text), else first MVA hit x 1000."""
-    t = F.upper(_col(c))
+def rating_kva(c, cased: bool = False) -> Column:
+    """First KVA pattern hit (upper-cased text), else first MVA hit x 1000.
+    ``cased=True``: ``c`` is already upper-cased."""
+    t = _col(c) if cased else F.upper(_col(c))
     hits = [_try_double(_extract(t, p)) for p in K.KVA_PATTERNS]
     hits += [_try_double(_extract(t, p)) * F.lit(1000.0) for p in K.MVA_PATTERNS]
     return F.coalesce(*hits)
@@ -88,10 +101,10 @@ def _loose_rating_raw(t: Column):
     return kva
 
 
-def rating_kva_loose(c) -> Column:
+def rating_kva_loose(c, cased: bool = False) -> Column:
     """Scraper variant (lower-cased, commas allowed). The first pattern that
     hits decides; its number must parse, else null (see ``rating_kva_loose_bad``)."""
-    t = F.lower(_col(c))
+    t = _col(c) if cased else F.lower(_col(c))
     expr = None
     for p, scale in reversed(_loose_rating_raw(t)):
         val = _try_double(F.regexp_replace(F.regexp_extract(t, p, 1), ",", "")) * F.lit(scale)
@@ -99,9 +112,9 @@ def rating_kva_loose(c) -> Column:
     return expr
 
 
-def rating_kva_loose_bad(c) -> Column:
+def rating_kva_loose_bad(c, cased: bool = False) -> Column:
     """True when the deciding X3 pattern hit a number that does not parse."""
-    t = F.lower(_col(c))
+    t = _col(c) if cased else F.lower(_col(c))
     expr = F.lit(False)
     for p, _ in reversed(_loose_rating_raw(t)):
         bad = _try_double(F.regexp_replace(F.regexp_extract(t, p, 1), ",", "")).isNull()
@@ -119,10 +132,10 @@ def rating_kva_int(c) -> Column:
 
 # --- X5: voltages ---------------------------------------------------------------
 
-def voltages(c) -> Column:
+def voltages(c, cased: bool = False) -> Column:
     """struct(primary_kv, secondary_kv) from the first voltage pattern that hits.
     Secondary in volts is scaled to kV; the primary is never rescaled."""
-    t = F.upper(_col(c))
+    t = _col(c) if cased else F.upper(_col(c))
     prim, sec = None, None
     for p in reversed(K.VOLTAGE_PATTERNS):
         hit = F.regexp_extract(t, p, 1) != ""
@@ -136,10 +149,10 @@ def voltages(c) -> Column:
 
 # --- C7 / C8: equipment predicates ------------------------------------------------
 
-def is_equipment(c, whole_word: bool = False) -> Column:
+def is_equipment(c, whole_word: bool = False, cased: bool = False) -> Column:
     """No exclude keyword and at least one include keyword (lower-cased
     substring match); null text -> false.  ``whole_word`` matches on word bounds."""
-    t = F.lower(_col(c))
+    t = _col(c) if cased else F.lower(_col(c))
     if whole_word:
         excl = t.rlike(r"\b(" + "|".join(_lit_re(k) for k in K.EQUIPMENT_EXCLUDE) + r")\b")
         incl = t.rlike(r"\b(" + "|".join(_lit_re(k.strip()) for k in K.EQUIPMENT_INCLUDE) + r")\b")
@@ -150,32 +163,33 @@ def is_equipment(c, whole_word: bool = False) -> Column:
     return F.coalesce(~excl & incl, F.lit(False))
 
 
-def is_equipment_loose(c) -> Column:
+def is_equipment_loose(c, cased: bool = False) -> Column:
     """The text mentions 'transformer' (all other scraper keywords contain it)."""
-    return F.coalesce(F.lower(_col(c)).contains(K.SCRAPER_KEYWORD), F.lit(False))
+    t = _col(c) if cased else F.lower(_col(c))
+    return F.coalesce(t.contains(K.SCRAPER_KEYWORD), F.lit(False))
 
 
 # --- X7 / X8 / X9: phase, type, frequency ------------------------------------------
 
-def phase_from_text(c) -> Column:
-    t = F.lower(_col(c))
+def phase_from_text(c, cased: bool = False) -> Column:
+    t = _col(c) if cased else F.lower(_col(c))
     return (F.when(contains_any(t, K.SINGLE_PHASE_TERMS), F.lit("Single-phase"))
             .when(contains_any(t, K.THREE_PHASE_TERMS), F.lit("Three-phase"))
             .when(contains_any(t, K.THREE_PHASE_HINTS), F.lit("Three-phase")))
 
 
-def type_from_text(c) -> Column:
+def type_from_text(c, cased: bool = False) -> Column:
     raw = _col(c)
-    t = F.lower(raw)
+    t = raw if cased else F.lower(raw)
     expr = F.when(raw.isNull() | (raw == ""), F.lit(None).cast("string"))
     for key, label in K.TYPE_KEYWORDS:
         expr = expr.when(t.contains(key), F.lit(label))
     return expr.otherwise(F.lit(K.DEFAULT_TYPE))
 
 
-def frequency_from_text(c) -> Column:
+def frequency_from_text(c, cased: bool = False) -> Column:
     raw = _col(c)
-    t = F.lower(raw)
+    t = raw if cased else F.lower(raw)
     hz = _try_double(_extract(t, K.FREQUENCY_PATTERN))
     regional = F.when(contains_any(t, K.SIXTY_HZ_HINTS), F.lit(60.0)).otherwise(F.lit(50.0))
     return F.when(raw.isNull() | (raw == ""), F.lit(None).cast("double")).otherwise(

@@ -188,18 +188,37 @@ def clean_listings(df: DataFrame, min_kva: float | None = K.MIN_POWER_RATING,
                    keep_rejected: bool = False, whole_word: bool = False) -> DataFrame:
     """C1, C2, X2, X5, C7, P1, C3, C4, C6 as one lazy, narrow plan.
 
-    With ``keep_rejected`` all rows stay and carry ``is_transformer`` (S8 writes
-    them partitioned by that flag)."""
-    from .extract import add_rating, add_voltages
+    Every parse runs once per row (``compute_once``): the cased text first, then
+    price, rating, voltages, equipment flag and quantity from it; the filters sit
+    above.  With ``keep_rejected`` all rows stay and carry ``is_transformer``
+    (S8 writes them partitioned by that flag)."""
     out = drop_sparse_rows(df)
-    out = clean_price(out)
-    out = add_rating(out)
-    out = add_voltages(out)
-    out = flag_equipment(out, whole_word=whole_word)
+    out = X.compute_once(out, {"__lo": F.lower(F.col("description")), "__up": F.upper(F.col("description"))})
+    if isinstance(out.schema["unit_price"].dataType, T.NumericType):
+        price = F.col("unit_price").cast("double")
+    else:
+        price = X.parse_price("unit_price")
+    rating = X.rating_kva(F.col("__up"), cased=True)
+    if "power_rating_kva" in out.columns:
+        rating = F.coalesce(F.col("power_rating_kva").cast("double"), rating)
+    if "quantity" in out.columns and isinstance(out.schema["quantity"].dataType, T.NumericType):
+        qty = F.coalesce(F.when(~F.isnan(F.col("quantity").cast("double")), F.col("quantity").cast("bigint")),
+                         F.lit(1).cast("bigint"))
+    else:
+        qty = X.parse_quantity("quantity")
+    out = X.compute_once(out, {
+        "unit_price_usd": price,
+        "power_rating_kva": rating,
+        "__v": X.voltages(F.col("__up"), cased=True),
+        "is_transformer": X.is_equipment(F.col("__lo"), whole_word, cased=True),
+        "quantity_int": qty,
+    })
+    out = (out.withColumn("primary_voltage_kv", F.col("__v.primary_kv"))
+              .withColumn("secondary_voltage_kv", F.col("__v.secondary_kv"))
+              .drop("__v", "__lo", "__up"))
     if not keep_rejected:
         out = out.filter("is_transformer")
     out = out.withColumn("data_source", F.lit(K.SOURCE_REAL))
-    out = clean_quantity(out)
     out = lot_to_unit_price(out)
     if min_kva is not None and not keep_rejected:
         out = min_rating(out, min_kva)

@@ -53,5 +53,14 @@ def add_frequency(df: DataFrame, text: str = "description", out: str = "frequenc
 
 
 def enrich(df: DataFrame, text: str = "description") -> DataFrame:
-    """X7-X9 together (the integration step's enrichment)."""
-    return add_frequency(add_type(add_phase(df, text), text), text)
+    """X7-X9 together (the integration step's enrichment); the lower-cased text is
+    computed once and shared by the three keyword scans."""
+    out = X.compute_once(df, {"__lo": F.lower(F.col(text))})
+    out = X.compute_once(out, {
+        "phase": X.phase_from_text(F.col("__lo"), cased=True),
+        "type": F.when(F.col(text).isNull() | (F.col(text) == ""), F.lit(None).cast("string"))
+                 .otherwise(X.type_from_text(F.col("__lo"), cased=True)),
+        "frequency_hz": F.when(F.col(text).isNull() | (F.col(text) == ""), F.lit(None).cast("double"))
+                         .otherwise(X.frequency_from_text(F.col("__lo"), cased=True)),
+    })
+    return out.drop("__lo")

@@ -77,9 +77,8 @@ def make_estimator(kind: str, label: str = "label", sigma_y: float = 1.0, n: int
 def _frozen(df: DataFrame) -> DataFrame:
     """Training reads its input many times (statistics, every optimiser pass, every
     fold): write it once to the checkpoint folder and cut the lineage."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from ..session import materialize
+    return materialize(df, "training")
 
 
 # --- M9: grid search --------------------------------------------------------------------------------

@@ -36,15 +36,14 @@ def _band_filter(lo_col: str = "band_lo", hi_col: str = "band_hi"):
 
 
 def narrow_values(df: DataFrame, value: str, keys: list[str], checkpoint: bool = True) -> DataFrame:
-    """(keys, __v) with null values / keys removed; checkpointed (reliable, in
-    ``spark.checkpoint.dir``) so the upstream plan runs once for all passes."""
+    """(keys, __v) with null values / keys removed, written once as parquet under
+    ``spark.checkpoint.dir`` so the upstream plan runs once for all passes."""
     vals = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     for k in keys:
         vals = vals.where(F.col(k).isNotNull())
     if checkpoint:
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        vals = vals.checkpoint(eager=True)
+        from ..session import materialize
+        vals = materialize(vals, "quantile_values")
     return vals
 
 

@@ -62,3 +62,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table, under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def materialize(df, prefix: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it
+    back: cuts the lineage, runs the upstream plan exactly once (unlike
+    ``Dataset.checkpoint``, which computes it for the count and again for the
+    write) and keeps a columnar copy that later passes prune and filter."""
+    import uuid
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{prefix}_{uuid.uuid4().hex[:16]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def min_partitions(spark) -> int:
+    """Lower bound on the file count of a materialised table: enough splits to
+    keep every core busy; larger tables keep their own (higher) partitioning."""
+    sp = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(2 * spark.sparkContext.defaultParallelism, sp)

@@ -51,17 +51,19 @@ def scan_listings(pages: DataFrame, url: str = "url", html: str = "html", scrape
         *[c for c in r.columns if c not in ("cells",)],
         cell(0).alias("date"), cell(1).alias("hsn_code"), cell(2).alias("description"),
         cell(3).alias("origin"), cell(4).alias("quantity_text"), cell(5).alias("price_text"))
-    out = out.where(X.is_equipment_loose("description"))
+    out = X.compute_once(out, {"__lo": F.lower(F.col("description"))})
+    out = out.where(X.is_equipment_loose(F.col("__lo"), cased=True))
     qty_raw, price_raw = F.col("quantity_text"), F.regexp_replace(F.col("price_text"), r"[^\d.,]", "")
-    out = out.where(~X.first_number_is_bad(qty_raw) & ~X.first_number_is_bad(price_raw)
-                    & ~X.rating_kva_loose_bad("description"))
-    out = out.withColumns({
+    out = X.compute_once(out, {
+        "__bad": X.first_number_is_bad(qty_raw) | X.first_number_is_bad(price_raw)
+                 | X.rating_kva_loose_bad(F.col("__lo"), cased=True),
         "destination": X.destination_from_url(F.col(url)),
         "quantity": X.first_number(qty_raw),
         "unit_price_usd": X.first_number(price_raw),
-        "power_rating_kva": X.rating_kva_loose("description"),
+        "power_rating_kva": X.rating_kva_loose(F.col("__lo"), cased=True),
         "source_url": F.col(url),
-    }).drop("quantity_text", "price_text")
+    })
+    out = out.where(~F.col("__bad")).drop("quantity_text", "price_text", "__lo", "__bad")
     if scrape_date is not None:
         out = out.withColumn("scrape_date", F.to_date(F.lit(scrape_date)))
     return out

@@ -35,7 +35,8 @@ def ingest_available_now(spark: SparkSession, landing: str, schema: T.StructType
             add = new_distinct_rows(s.read.format("parquet").load(target), batch)
         else:
             add = batch.distinct()
-        add = add.checkpoint(eager=True)
+        from ..session import materialize
+        add = materialize(add, f"ingest_batch_{batch_id}")
         add.write.mode("append").format("parquet").save(target)
 
     q = (stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)

@@ -178,10 +178,11 @@ def histogram(df: DataFrame, value: str, keys: list[str] | None = None) -> DataF
     """Automatic bins per group (the larger bin count of Sturges and
     Freedman-Diaconis, as numpy's 'auto'), then counts per bin.  Two passes."""
     keys = list(keys or [])
-    base = _non_null_keys(df.where(F.col(value).isNotNull()), keys)
-    q = exact_quantiles(base, value, [0.25, 0.75], keys, ["q1", "q3"])
-    alg = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"),
-                                  F.max(value).alias("hi"))
+    base = narrow_values(df, value, keys)          # one pass over the (expensive) input
+    q = exact_quantiles(base, "__v", [0.25, 0.75], keys, ["q1", "q3"], narrowed=True)
+    alg = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lo"),
+                                  F.max("__v").alias("hi"))
+    base = base.withColumnRenamed("__v", value)
     spec = _join_on(alg, q, keys)
     rng = F.col("hi") - F.col("lo")
     sturges = rng / (F.log2(F.col("n")) + 1)

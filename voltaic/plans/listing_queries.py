@@ -240,11 +240,14 @@ select 'unit_price_usd', count(unit_price_usd), {r('avg(unit_price_usd)', 'mean'
   {r('min(unit_price_usd)', 'min')}, {r('max(unit_price_usd)', 'max')} from clean_listings
 """)
 def stats_report(spark, sf):
-    """A2 for rating and price, tidy (one row per metric)."""
-    df = cleaned(spark, sf).cache()
-    a = stats.min_max_mean_median(df, "power_rating_kva").withColumn("metric", F.lit("power_rating_kva"))
-    b = stats.min_max_mean_median(df, "unit_price_usd").withColumn("metric", F.lit("unit_price_usd"))
-    return a.unionByName(b)
+    """A2 for rating and price, tidy (one row per metric): the two measures are
+    unpivoted into (metric, value) so one grouped summary covers both."""
+    df = cleaned(spark, sf)
+    long = df.select(F.explode(F.array(
+        F.struct(F.lit("power_rating_kva").alias("metric"), F.col("power_rating_kva").alias("value")),
+        F.struct(F.lit("unit_price_usd").alias("metric"), F.col("unit_price_usd").alias("value")))).alias("r")
+    ).select("r.metric", "r.value")
+    return stats.min_max_mean_median(long, "value", ["metric"])
 
 
 @query("stats_rating_summary", CLEAN + f"""

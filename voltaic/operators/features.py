@@ -120,10 +120,10 @@ def feature_stages(train: DataFrame, features: list[str], scale: bool = True) ->
                             dropLast=True, handleInvalid="error")
         stages += [idx, ohe]
         # level names come from the training rows (distinct, small by nature of a category)
+        from .stats import category_levels
         for c in cat:
-            levels = sorted(r[0] for r in train.select(F.coalesce(F.col(c).cast("string"), F.lit(modes[c])))
-                            .distinct().collect())
-            names += [f"{c}_{lv}" for lv in levels]
+            filled = train.select(F.coalesce(F.col(c).cast("string"), F.lit(modes[c])).alias(c))
+            names += [f"{c}_{lv}" for lv in sorted(category_levels(filled, c))]
     inputs = [f"{c}__num" for c in num] + [f"{c}__ohe" for c in cat]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return stages, names

@@ -67,32 +67,49 @@ def component_costs(specs: DataFrame, book: DataFrame, key: str = "spec_id") ->
             .withColumn("cost_usd", F.col("weight_kg") / 1000.0 * F.col("price")))
 
 
+def _book_row(book: DataFrame) -> DataFrame:
+    """The five priced materials as one row (price and date per component): a
+    bounded, size-checked pivot of the price-book dimension."""
+    b = book.where(F.col("material").isin(*[m for _, m in COMPONENT_MATERIAL]))
+    aggs = []
+    for c, m in COMPONENT_MATERIAL:
+        aggs.append(F.max(F.when(F.col("material") == m, F.col("price"))).alias(f"__p_{c}"))
+        aggs.append(F.max(F.when(F.col("material") == m, F.col("price_date"))).alias(f"__d_{c}"))
+    return b.agg(*aggs).withColumn("__k", F.lit(0))
+
+
+def spec_costs_wide(specs: DataFrame, book: DataFrame) -> DataFrame:
+    """Per spec, in its own row: ``<component>_cost`` for the five components and
+    ``material_cost`` (their sum).  One broadcast of a one-row price pivot; no
+    shuffle of the spec table."""
+    row = F.broadcast(_book_row(book))
+    out = specs.withColumn("__k", F.lit(0)).join(row, "__k").drop("__k")
+    costs = {f"{c}_cost": F.col(f"{c}_weight").cast("double") / 1000.0 * F.col(f"__p_{c}")
+             for c, _ in COMPONENT_MATERIAL}
+    out = out.withColumns(costs)
+    return out.withColumn("material_cost", sum((F.col(f"{c}_cost") for c, _ in COMPONENT_MATERIAL), F.lit(0.0)))
+
+
 def cost_table(specs: DataFrame, book: DataFrame, key: str = "spec_id") -> DataFrame:
     """A10 / Q6: per spec, one row per component plus a 'Total Raw Materials' row
     (summed cost, the spec's own total weight, the first component's price date).
-    One rollup aggregate: grouping sets (key, component) and (key)."""
-    costs = component_costs(specs, book, key).join(
-        specs.select(key, F.col("total_weight").cast("double").alias("__tw")), key)
-    g = costs.rollup(key, "component").agg(
-        F.sum("cost_usd").alias("cost_usd"),
-        F.max("weight_kg").alias("__w"),
-        F.max("__tw").alias("__tw"),
-        F.min_by("price_date", "component_order").alias("price_date"),
-        F.min("component_order").alias("__o"),
-        F.grouping_id().alias("__gid"))
-    g = g.where(F.col("__gid") < 3)  # drop the grand total
-    is_total = F.col("__gid") == 1
-    return g.select(
-        key,
-        F.when(is_total, F.lit(TOTAL_LABEL)).otherwise(F.initcap(F.col("component"))).alias("material"),
-        F.when(is_total, F.col("__tw")).otherwise(F.col("__w")).alias("weight_kg"),
-        "cost_usd", "price_date",
-        F.when(is_total, F.lit(len(COMPONENT_MATERIAL))).otherwise(F.col("__o")).alias("row_order"))
+    The total is a row-wise sum of the spec's own components, so the table is a
+    narrow stack of six rows per spec -- no grouping shuffle."""
+    wide = spec_costs_wide(specs, book)
+    rows = [F.struct(F.initcap(F.lit(c)).alias("material"), F.col(f"{c}_weight").cast("double").alias("weight_kg"),
+                     F.col(f"{c}_cost").alias("cost_usd"), F.col(f"__d_{c}").alias("price_date"),
+                     F.lit(i).alias("row_order"))
+            for i, (c, _) in enumerate(COMPONENT_MATERIAL)]
+    first = COMPONENT_MATERIAL[0][0]
+    rows.append(F.struct(F.lit(TOTAL_LABEL).alias("material"), F.col("total_weight").cast("double").alias("weight_kg"),
+                         F.col("material_cost").alias("cost_usd"), F.col(f"__d_{first}").alias("price_date"),
+                         F.lit(len(COMPONENT_MATERIAL)).alias("row_order")))
+    return wide.select(key, F.explode(F.array(*rows)).alias("r")).select(key, "r.*")
 
 
 def material_cost_total(specs: DataFrame, book: DataFrame, key: str = "spec_id") -> DataFrame:
-    """Total raw-material cost per spec (input of Q8)."""
-    return component_costs(specs, book, key).groupBy(key).agg(F.sum("cost_usd").alias("material_cost"))
+    """Total raw-material cost per spec (input of Q8), computed in the spec's row."""
+    return spec_costs_wide(specs, book).select(key, "material_cost")
 
 
 # --- J3: fuzzy material names --------------------------------------------------------------

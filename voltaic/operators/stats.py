@@ -98,6 +98,19 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return alg.join(qs, "column", "left")
 
 
+MAX_LEVELS = 10_000
+
+
+def category_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
+    """Distinct non-null values of a categorical column, for building dummies.
+    A column with more than ``max_levels`` values is not a category: raise rather
+    than silently keep a subset."""
+    lv = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()]
+    if len(lv) > max_levels:
+        raise ValueError(f"{col} has more than {max_levels} distinct values; pass levels explicitly")
+    return lv
+
+
 def correlations(df: DataFrame, target: str, numeric: list[str] | None = None,
                  categorical: list[str] | None = None, levels: dict | None = None) -> DataFrame:
     """Pearson correlation of every numeric column and every 0/1 category dummy
@@ -109,7 +122,7 @@ def correlations(df: DataFrame, target: str, numeric: list[str] | None = None,
     for c in categorical:
         lv = (levels or {}).get(c)
         if lv is None:
-            lv = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(10000).collect()]
+            lv = category_levels(df, c)
         for level in sorted(lv):
             feats.append((f"{c}_{level}", F.when(F.col(c) == F.lit(level), 1.0).otherwise(0.0)))
     y = F.col(target).cast("double")

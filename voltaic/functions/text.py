@@ -87,12 +87,29 @@ def parse_quantity(c) -> Column:
 
 # --- X1 / X3 / X4: power rating ----------------------------------------------
 
+# Substrings each pattern cannot match without (upper-cased text).  A cheap
+# contains() test skips the regex scan on rows that cannot match; results are
+# unchanged because the guard is a necessary condition of the pattern.
+_KVA_GUARDS = ["KVA", "K", "KILO"]
+_MVA_GUARDS = ["MVA", "M", "MEGA"]
+_VOLTAGE_GUARDS = [["KV"], ["/"], ["KV", "TO"]]
+
+
+def _guarded(t: Column, needles: list[str], expr: Column) -> Column:
+    cond = None
+    for n in needles:
+        c = t.contains(n)
+        cond = c if cond is None else cond & c
+    return F.when(cond, expr)
+
+
 def rating_kva(c, cased: bool = False) -> Column:
     """First KVA pattern hit (upper-cased text), else first MVA hit x 1000.
     ``cased=True``: ``c`` is already upper-cased."""
     t = _col(c) if cased else F.upper(_col(c))
-    hits = [_try_double(_extract(t, p)) for p in K.KVA_PATTERNS]
-    hits += [_try_double(_extract(t, p)) * F.lit(1000.0) for p in K.MVA_PATTERNS]
+    hits = [_guarded(t, [g], _try_double(_extract(t, p))) for p, g in zip(K.KVA_PATTERNS, _KVA_GUARDS)]
+    hits += [_guarded(t, [g], _try_double(_extract(t, p)) * F.lit(1000.0))
+             for p, g in zip(K.MVA_PATTERNS, _MVA_GUARDS)]
     return F.coalesce(*hits)
 
 
@@ -134,14 +151,16 @@ def rating_kva_int(c) -> Column:
 
 def voltages(c, cased: bool = False) -> Column:
     """struct(primary_kv, secondary_kv) from the first voltage pattern that hits.
-    Secondary in volts is scaled to kV; the primary is never rescaled."""
+    Secondary in volts is scaled to kV; the primary is never rescaled.  The text
+    is scanned once per pattern (whole match); groups are read from the match."""
     t = _col(c) if cased else F.upper(_col(c))
     prim, sec = None, None
-    for p in reversed(K.VOLTAGE_PATTERNS):
-        hit = F.regexp_extract(t, p, 1) != ""
-        p_val = _try_double(F.regexp_extract(t, p, 1))
-        s_raw = _try_double(F.regexp_extract(t, p, 2))
-        s_val = F.when(F.regexp_extract(t, p, 3) == "V", s_raw / F.lit(1000.0)).otherwise(s_raw)
+    for p, guards in reversed(list(zip(K.VOLTAGE_PATTERNS, _VOLTAGE_GUARDS))):
+        m = F.coalesce(_guarded(t, guards, F.regexp_extract(t, p, 0)), F.lit(""))
+        hit = m != ""
+        p_val = _try_double(F.regexp_extract(m, p, 1))
+        s_raw = _try_double(F.regexp_extract(m, p, 2))
+        s_val = F.when(F.regexp_extract(m, p, 3) == "V", s_raw / F.lit(1000.0)).otherwise(s_raw)
         prim = F.when(hit, p_val) if prim is None else F.when(hit, p_val).otherwise(prim)
         sec = F.when(hit, s_val) if sec is None else F.when(hit, s_val).otherwise(sec)
     return F.struct(prim.alias("primary_kv"), sec.alias("secondary_kv"))

@@ -206,14 +206,16 @@ def clean_listings(df: DataFrame, min_kva: float | None = K.MIN_POWER_RATING,
                          F.lit(1).cast("bigint"))
     else:
         qty = X.parse_quantity("quantity")
+    # columns that filters reference go behind the barrier; voltages are only
+    # projected, so a plain column lets pruning skip them when nobody reads them
     out = X.compute_once(out, {
         "unit_price_usd": price,
         "power_rating_kva": rating,
-        "__v": X.voltages(F.col("__up"), cased=True),
         "is_transformer": X.is_equipment(F.col("__lo"), whole_word, cased=True),
         "quantity_int": qty,
     })
-    out = (out.withColumn("primary_voltage_kv", F.col("__v.primary_kv"))
+    out = (out.withColumn("__v", X.voltages(F.col("__up"), cased=True))
+              .withColumn("primary_voltage_kv", F.col("__v.primary_kv"))
               .withColumn("secondary_voltage_kv", F.col("__v.secondary_kv"))
               .drop("__v", "__lo", "__up"))
     if not keep_rejected:

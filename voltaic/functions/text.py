@@ -60,15 +60,15 @@ def parse_price(c) -> Column:
 def first_number(c) -> Column:
     """First run of digits/commas with an optional fraction, commas removed."""
     t = _col(c)
-    raw = _extract(t, K.FIRST_NUMBER_PATTERN)
+    raw = F.regexp_extract(t, K.FIRST_NUMBER_PATTERN, 1)
     return _try_double(F.regexp_replace(raw, ",", ""))
 
 
 def first_number_is_bad(c) -> Column:
     """True when X10 finds a token that does not parse (the scraper drops such rows)."""
     t = _col(c)
-    raw = _extract(t, K.FIRST_NUMBER_PATTERN)
-    return raw.isNotNull() & _try_double(F.regexp_replace(raw, ",", "")).isNull()
+    raw = F.regexp_extract(t, K.FIRST_NUMBER_PATTERN, 1)
+    return F.coalesce((raw != "") & _try_double(F.regexp_replace(raw, ",", "")).isNull(), F.lit(False))
 
 
 def price_in_text(c) -> Column:
@@ -81,7 +81,7 @@ def price_in_text(c) -> Column:
 def parse_quantity(c) -> Column:
     """Leading digits of the trimmed text; null or no digits -> 1."""
     t = _col(c)
-    digits = F.nullif(F.regexp_extract(F.trim(t.cast("string")), r"^(\d+)", 1), F.lit(""))
+    digits = F.regexp_extract(F.trim(t.cast("string")), r"^(\d+)", 1)  # no match: try_cast gives null
     return F.coalesce(digits.try_cast("bigint"), F.lit(1).cast("bigint"))
 
 
@@ -107,8 +107,10 @@ def rating_kva(c, cased: bool = False) -> Column:
     """First KVA pattern hit (upper-cased text), else first MVA hit x 1000.
     ``cased=True``: ``c`` is already upper-cased."""
     t = _col(c) if cased else F.upper(_col(c))
-    hits = [_guarded(t, [g], _try_double(_extract(t, p))) for p, g in zip(K.KVA_PATTERNS, _KVA_GUARDS)]
-    hits += [_guarded(t, [g], _try_double(_extract(t, p)) * F.lit(1000.0))
+    # try_cast('' as double) is null, so no-match needs no nullif (which would
+    # evaluate the regex twice)
+    hits = [_guarded(t, [g], _try_double(F.regexp_extract(t, p, 1))) for p, g in zip(K.KVA_PATTERNS, _KVA_GUARDS)]
+    hits += [_guarded(t, [g], _try_double(F.regexp_extract(t, p, 1)) * F.lit(1000.0))
              for p, g in zip(K.MVA_PATTERNS, _MVA_GUARDS)]
     return F.coalesce(*hits)
 
@@ -142,8 +144,8 @@ def rating_kva_loose_bad(c, cased: bool = False) -> Column:
 def rating_kva_int(c) -> Column:
     """Integer part before KVA; an MVA hit overrides it (x 1000)."""
     t = _col(c)
-    kva = _extract(t, r"(\d+)(?:\.\d+)?\s*(?:KVA|kVA|kva)").try_cast("double")
-    mva = _extract(t, r"(\d+)(?:\.\d+)?\s*(?:MVA|mva)").try_cast("double") * F.lit(1000.0)
+    kva = F.regexp_extract(t, r"(\d+)(?:\.\d+)?\s*(?:KVA|kVA|kva)", 1).try_cast("double")
+    mva = F.regexp_extract(t, r"(\d+)(?:\.\d+)?\s*(?:MVA|mva)", 1).try_cast("double") * F.lit(1000.0)
     return F.coalesce(mva, kva)
 
 
@@ -209,7 +211,7 @@ def type_from_text(c, cased: bool = False) -> Column:
 def frequency_from_text(c, cased: bool = False) -> Column:
     raw = _col(c)
     t = raw if cased else F.lower(raw)
-    hz = _try_double(_extract(t, K.FREQUENCY_PATTERN))
+    hz = _try_double(F.regexp_extract(t, K.FREQUENCY_PATTERN, 1))
     regional = F.when(contains_any(t, K.SIXTY_HZ_HINTS), F.lit(60.0)).otherwise(F.lit(50.0))
     return F.when(raw.isNull() | (raw == ""), F.lit(None).cast("double")).otherwise(
         F.coalesce(hz, regional))

@@ -377,3 +377,19 @@ def prepare_normalise(spark, sf):
         "spec_id", F.expr("case when spec_id % 3 = 0 then 'OLTC' when spec_id % 3 = 1 then 'None' end").alias("tap_changer"),
         F.expr("case when spec_id % 2 = 0 then efficiency * 100 else efficiency end").alias("efficiency"))
     return prepare.normalise_spec_flags(df)
+
+
+_MODEL_PRICE = "case when spec_id % 4 = 0 then null else quoted_price end"
+
+
+@query("price_fallback", SPEC + f"""
+select spec_id, {r(_MODEL_PRICE, 'predicted_price')},
+  {r(f"coalesce({_MODEL_PRICE}, {_rule_sql()})", 'final_price')},
+  case when {_MODEL_PRICE} is null then 'rule' else 'model' end as price_source from specs""")
+def price_fallback(spark, sf):
+    """The rule price (Q7) wherever no model price exists, with its provenance."""
+    from ..operators import models
+    df = B.specs(spark, sf).withColumn("predicted_price", F.expr(_MODEL_PRICE))
+    out = models.with_rule_fallback(df, "predicted_price", rating="power_rating", v1="primary_voltage",
+                                    v2="secondary_voltage")
+    return out.select("spec_id", "predicted_price", "final_price", "price_source")

@@ -81,6 +81,29 @@ def fit_modes(train: DataFrame, cols: list[str]) -> dict:
     return out
 
 
+def fit_categoricals(train: DataFrame, cols: list[str], max_levels: int = 10_000) -> tuple[dict, dict]:
+    """Modes (ties: smallest) and sorted level lists of all categorical columns in
+    one aggregate over a long (column, value) projection.  A column with more
+    than ``max_levels`` values is rejected, never truncated."""
+    long = train.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("r")
+    ).select("r.column", "r.value").where(F.col("value").isNotNull())
+    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("column").agg(
+        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
+        F.count(F.lit(1)).alias("n_levels"),
+        F.sort_array(F.slice(F.collect_list("value"), 1, max_levels + 1)).alias("levels"))
+    modes, levels = {}, {}
+    for r in per.collect():
+        if r["n_levels"] > max_levels:
+            raise ValueError(f"{r['column']} has more than {max_levels} distinct values")
+        modes[r["column"]], levels[r["column"]] = r["mode"], list(r["levels"])
+    for c in cols:
+        modes.setdefault(c, None)
+        levels.setdefault(c, [])
+    return modes, levels
+
+
 def _sql_lit(v) -> str:
     if v is None:
         return "NULL"
@@ -110,7 +133,7 @@ def feature_stages(train: DataFrame, features: list[str], scale: bool = True) ->
     """M2-M7: the preprocessing stages and the feature names in vector order."""
     num, cat = column_roles(train, features)
     stats = fit_numeric_stats(train, num) if num else {}
-    modes = fit_modes(train, cat) if cat else {}
+    modes, levels = fit_categoricals(train, cat) if cat else ({}, {})
     stages = [prep_transformer(stats, modes, scale)]
     names = list(num)
     if cat:
@@ -119,11 +142,10 @@ def feature_stages(train: DataFrame, features: list[str], scale: bool = True) ->
         ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__ohe" for c in cat],
                             dropLast=True, handleInvalid="error")
         stages += [idx, ohe]
-        # level names come from the training rows (distinct, small by nature of a category)
-        from .stats import category_levels
+        # vector slots follow the indexer's alphabetical level order (mode-filled
+        # nulls fall on the mode, which is one of the levels)
         for c in cat:
-            filled = train.select(F.coalesce(F.col(c).cast("string"), F.lit(modes[c])).alias(c))
-            names += [f"{c}_{lv}" for lv in sorted(category_levels(filled, c))]
+            names += [f"{c}_{lv}" for lv in levels[c]]
     inputs = [f"{c}__num" for c in num] + [f"{c}__ohe" for c in cat]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return stages, names

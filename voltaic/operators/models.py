@@ -107,15 +107,21 @@ def param_grid(est, kind: str, sigma_y: float, n: int, grid: dict | None = None)
 
 def grid_search(train: DataFrame, kind: str, label: str, features: list[str], key: str,
                 grid: dict | None = None, folds: int = 5, parallelism: int = 4):
-    """M9: k-fold CV on R^2 with folds from the key hash; refit on all training rows."""
+    """M9: k-fold CV on R^2 with folds from the key hash.  As in the reference,
+    preprocessing is fitted once on the training rows and the folds search the
+    estimator only; the best parameters are refit on all training rows.
+    Returns (PipelineModel of preprocessing + best model, feature names, avg metrics)."""
     sigma, n = label_std_pop(train, label)
+    stages, names = FE.feature_stages(train, features)
+    prep = Pipeline(stages=stages).fit(train)
+    feats = _frozen(FE.fold_column(prep.transform(train).select("features", label, key), key, folds))
     est = make_estimator(kind, label, sigma, n)
-    pipe, names = FE.feature_pipeline(train, features, est)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=param_grid(est, kind, sigma, n, grid),
+    cv = CrossValidator(estimator=est, estimatorParamMaps=param_grid(est, kind, sigma, n, grid),
                         evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
                         foldCol="fold", numFolds=folds, parallelism=parallelism, seed=K.SPLIT_SEED)
-    model = cv.fit(_frozen(FE.fold_column(train, key, folds)))
-    return model, names
+    cvm = cv.fit(feats)
+    model = PipelineModel(stages=list(prep.stages) + [cvm.bestModel])
+    return model, names, list(cvm.avgMetrics)
 
 
 # --- M12 / M13: training families ------------------------------------------------------------------------

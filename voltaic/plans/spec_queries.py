@@ -393,3 +393,19 @@ def price_fallback(spark, sf):
     out = models.with_rule_fallback(df, "predicted_price", rating="power_rating", v1="primary_voltage",
                                     v2="secondary_voltage")
     return out.select("spec_id", "predicted_price", "final_price", "price_source")
+
+
+@query("stats_density_box_by_rating", W_SQL + f"""
+, b as (select power_rating, case when total_weight > 0 then power_rating / total_weight else 0.0 end as v from weighted),
+q as (select power_rating, quantile_cont(v, 0.25) as q1, median(v) as med, quantile_cont(v, 0.75) as q3
+      from b group by power_rating),
+f as (select *, q3 - q1 as iqr, q1 - 1.5 * (q3 - q1) as lf, q3 + 1.5 * (q3 - q1) as uf from q)
+select f.power_rating, {r('q1', 'q1')}, {r('med', 'median')}, {r('q3', 'q3')}, {r('iqr', 'iqr')},
+  {r('lf', 'lower_fence')}, {r('uf', 'upper_fence')},
+  {r('min(case when v >= lf and v <= uf then v end)', 'whisker_low')},
+  {r('max(case when v >= lf and v <= uf then v end)', 'whisker_high')},
+  count(*) filter (where not (v >= lf and v <= uf)) as outliers, count(*) as n
+from b join f on b.power_rating = f.power_rating group by f.power_rating, q1, med, q3, iqr, lf, uf""")
+def stats_density_box_by_rating(spark, sf):
+    """A14 of power density (kVA per kg, Q3) per rating: the weight box plot's numbers."""
+    return stats.box_stats(weights.power_density(weighted(spark, sf)), "power_density", ["power_rating"])

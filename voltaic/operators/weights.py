@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions.text import compute_once
 
 COMPONENTS = K.COMPONENT_NAMES
 
@@ -49,8 +50,12 @@ def estimate_weights(df: DataFrame, rating: str = "power_rating", v1: str = "pri
     rating / voltage or an unknown phase get null weights (see C12)."""
     p, a, b = F.col(rating).cast("double"), F.col(v1).cast("double"), F.col(v2).cast("double")
     kind = phase_kind(F.col(phase))
-    valid = (p > 0) & (a > 0) & (b > 0) & kind.isNotNull()
-    out = df.withColumns({
+    # Stage boundaries (compute_once): each stage references the previous one's
+    # columns several times; collapsing them would copy the pow/log10 subtrees
+    # into every reference and grow the expression multiplicatively.
+    out = compute_once(df, {
+        "__p": p,
+        "__valid": (p > 0) & (a > 0) & (b > 0) & kind.isNotNull(),
         "__vf": F.log10((a + 0.1) / (b + 0.1) + 1),
         "__large": F.when(p >= K.LARGE_THRESHOLD_KVA, F.sqrt(F.log10(p / K.LARGE_THRESHOLD_KVA + 1))),
         "__ultra": F.when(p > K.ULTRA_THRESHOLD_KVA,
@@ -58,28 +63,31 @@ def estimate_weights(df: DataFrame, rating: str = "power_rating", v1: str = "pri
                                       K.ULTRA_MAX_REDUCTION * F.log10(p / K.ULTRA_THRESHOLD_KVA + 1))),
         "__single": kind == "single",
     })
+    pc = F.col("__p")
     raw = {}
     for name, base, exp_, large, vadj, single, ultra, _ in K.COMPONENTS:
-        w = F.lit(base) * F.pow(p / 1000.0, F.lit(exp_)) * (1 + vadj * F.col("__vf"))
+        w = F.lit(base) * F.pow(pc / 1000.0, F.lit(exp_)) * (1 + vadj * F.col("__vf"))
         w = w * F.when(F.col("__single"), F.lit(single)).otherwise(F.lit(1.0))
         w = w * F.coalesce(1 - (1 - large) * F.col("__large"), F.lit(1.0))
         w = w * F.coalesce(F.col("__ultra") * ultra, F.lit(1.0))
         if jitter and name in jitter:
             w = w * jitter[name]
-        raw[f"__w_{name}"] = F.when(valid, F.bround(w, 0))
-    out = out.withColumns(raw)
+        raw[f"__w_{name}"] = F.when(F.col("__valid"), F.bround(w, 0))
+    out = compute_once(out, raw)
     total = sum((F.col(f"__w_{c}") for c in COMPONENTS), F.lit(0.0))
-    out = out.withColumn("__total", total)
     # density rebalance for ultra-large units
-    target = _density_target(p)
-    density = F.try_divide(p, F.col("__total"))
-    fire = (p > K.ULTRA_THRESHOLD_KVA) & (density < target * K.DENSITY_SLACK)
-    adj = density / target
-    final = {f"{prefix}{c}_weight": F.when(fire, F.bround(F.col(f"__w_{c}") * adj, 0)).otherwise(F.col(f"__w_{c}"))
-             for c in COMPONENTS}
-    out = out.withColumns(final)
+    target = _density_target(pc)
+    density = F.try_divide(pc, total)
+    out = compute_once(out, {
+        "__fire": (pc > K.ULTRA_THRESHOLD_KVA) & (density < target * K.DENSITY_SLACK),
+        "__adj": density / target,
+    })
+    final = {f"{prefix}{c}_weight": F.when(F.col("__fire"), F.bround(F.col(f"__w_{c}") * F.col("__adj"), 0))
+             .otherwise(F.col(f"__w_{c}")) for c in COMPONENTS}
+    out = compute_once(out, final)
     out = out.withColumn(f"{prefix}total_weight", sum((F.col(f"{prefix}{c}_weight") for c in COMPONENTS), F.lit(0.0)))
-    return out.drop("__vf", "__large", "__ultra", "__single", "__total", *[f"__w_{c}" for c in COMPONENTS])
+    return out.drop("__p", "__valid", "__vf", "__large", "__ultra", "__single", "__fire", "__adj",
+                    *[f"__w_{c}" for c in COMPONENTS])
 
 
 def weight_ranges(df: DataFrame, rating: str = "power_rating", phase: str = "phase") -> DataFrame:

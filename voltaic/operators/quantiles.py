@@ -5,7 +5,9 @@ one aggregation buffer: fine for small groups, fatal when one key holds a third
 of the table.  This operator returns the same numbers (linear interpolation
 between the two order statistics around ``q * (n - 1)``) by narrowing a rank band:
 
-1. one aggregate gives ``n`` per group, hence the target ranks ``lo``/``hi``;
+1. one aggregate gives ``n`` per group, hence the target ranks ``lo``/``hi``; when
+   no group exceeds ``collect_limit`` a single aggregate sorts each group and reads
+   the order statistics (the common case), otherwise:
 2. while a band holds more than ``collect_limit`` values, one aggregate builds a
    mergeable ``percentile_approx`` sketch of the band on a fixed fraction grid and
    a second counts exactly below / inside the proposed, narrower bracket; the
@@ -28,6 +30,7 @@ GRID = 1000                     # sketch fractions 1/GRID .. (GRID-1)/GRID
 ACCURACY = 100000               # sketch relative error 1e-5, well below one grid step
 MARGIN = 2                      # grid steps kept on each side of the target ranks
 MAX_ROUNDS = 12
+COLLECT_LIMIT = 2_000_000       # values sorted in one task at most (16 MB of doubles)
 
 
 def _band_filter(lo_col: str = "band_lo", hi_col: str = "band_hi"):
@@ -48,7 +51,7 @@ def narrow_values(df: DataFrame, value: str, keys: list[str], checkpoint: bool =
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str] | None = None,
-                    names: list[str] | None = None, collect_limit: int = 200000,
+                    names: list[str] | None = None, collect_limit: int = COLLECT_LIMIT,
                     narrowed: bool = False) -> DataFrame:
     """One row per group: ``keys`` + one double column per quantile in ``qs``.
     Null values are ignored; rows with a null key are dropped (pandas groupby).
@@ -76,7 +79,7 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str]
             cols.append((v_lo + (pos - lo) * (v_hi - v_lo)).alias(name))
         out = s.select(*keys, *cols)
         return out.drop("__g") if not user_keys else out
-    qarr =F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
+    qarr = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
     bands = (counts.withColumn("__t", F.explode(qarr))
              .select(*keys, "n", "__t.qi", "__t.q")
              .withColumn("pos", F.col("q") * (F.col("n") - 1))
@@ -149,5 +152,5 @@ def _narrow(vals: DataFrame, bands: DataFrame, keys: list[str], limit: int) -> D
 
 
 def exact_median(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "median",
-                 collect_limit: int = 200000) -> DataFrame:
+                 collect_limit: int = COLLECT_LIMIT) -> DataFrame:
     return exact_quantiles(df, value, [0.5], keys, [name], collect_limit)

@@ -6,18 +6,50 @@ from voltaic.operators import stats
 from voltaic.operators.quantiles import exact_quantiles
 
 
-def test_exact_quantiles_narrowing_matches_pandas(spark):
+def test_exact_quantiles_match_pandas(spark):
     rng = np.random.default_rng(7)
     n = 20000
     pdf = pd.DataFrame({"g": np.where(rng.random(n) < 0.5, 0, rng.integers(1, 4, n)).astype(int),
                         "v": np.round(rng.lognormal(2, 1.5, n), 3)})
     pdf.loc[:1999, "v"] = 5.0  # ties
     df = spark.createDataFrame(pdf)
-    out = exact_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"], collect_limit=300).toPandas().set_index("g").sort_index()
+    out = exact_quantiles(df, "v", [0.1, 0.5, 0.9], ["g"]).toPandas().set_index("g").sort_index()
     exp = pdf.groupby("g")["v"].quantile([0.1, 0.5, 0.9]).unstack()
     assert np.allclose(out.values, exp.values)
 
 
+def test_quantiles_of_heavy_values(spark):
+    df = spark.range(20000).selectExpr("id % 3 as g", "cast(id % 2 as double) as v")
+    out = exact_quantiles(df, "v", [0.25, 0.5, 0.75], ["g"]).orderBy("g").collect()
+    exp = pd.DataFrame({"g": np.arange(20000) % 3, "v": np.arange(20000) % 2}).groupby("g")["v"].quantile([0.25, 0.5, 0.75]).unstack()
+    assert np.allclose([tuple(r)[1:] for r in out], exp.values)
+    one = exact_quantiles(df, "v", [0.5], names=["median"]).first()
+    assert one["median"] == 0.5
+    assert exact_quantiles(df.limit(0), "v", [0.5], ["g"]).count() == 0
+
+
+def test_density_is_exact_and_bins_are_asked_for(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(10, 2, 3000), 2)
+    df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", 1.0), ("b", 2.0)], "k string, v double")
+    got = {r["i"]: (r["x"], r["density"]) for r in stats.density_curve(df, "v", "k", points=50).where("k = 'a'").collect()}
+    bw = x.std(ddof=1) * len(x) ** -0.2
+    for i, g in enumerate(np.linspace(x.min(), x.max(), 50)):
+        d = np.exp(-0.5 * ((g - x) / bw) ** 2).sum() / (len(x) * bw * np.sqrt(2 * np.pi))
+        assert got[i][0] == pytest.approx(g) and got[i][1] == pytest.approx(d, rel=1e-9)
+    binned = {r["i"]: r["density"] for r in stats.density_curve(df, "v", "k", points=50, bins=64).where("k = 'a'").collect()}
+    assert binned[25] != got[25][1] and binned[25] == pytest.approx(got[25][1], rel=0.02)
+
+
+def test_dummy_correlations_match_pandas(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"x": rng.normal(size=300), "c": rng.choice(["p", "q", "r"], 300), "y": rng.normal(size=300)})
+    got = {r["feature"]: r["correlation"] for r in stats.correlations(spark.createDataFrame(pdf), "y", ["x"], ["c"]).collect()}
+    assert got["x"] == pytest.approx(pdf.x.corr(pdf.y))
+    for level in "pqr":
+        assert got[f"c_{level}"] == pytest.approx((pdf.c == level).astype(float).corr(pdf.y))
+
+
 def test_box_and_histogram(spark):
     vals = [1.0, 2.0, 2.5, 3.0, 4.0, 100.0, 5.0, 6.0]
     df = spark.createDataFrame([("a", v) for v in vals], "k string, v double")

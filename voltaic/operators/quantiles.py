@@ -1,156 +1,74 @@
-"""Exact per-group quantiles without holding a whole group in one task.
+"""Exact per-group quantiles from counted values, no group held whole in one task.
 
-Spark's exact ``percentile`` / ``median`` keep every distinct value of a group in
-one aggregation buffer: fine for small groups, fatal when one key holds a third
-of the table.  This operator returns the same numbers (linear interpolation
-between the two order statistics around ``q * (n - 1)``) by narrowing a rank band:
+Spark's exact ``percentile`` / ``median`` keep every distinct value of a group in one
+aggregation buffer, which fails when one key holds a third of the table.  Here:
 
-1. one aggregate gives ``n`` per group, hence the target ranks ``lo``/``hi``; when
-   no group exceeds ``collect_limit`` a single aggregate sorts each group and reads
-   the order statistics (the common case), otherwise:
-2. while a band holds more than ``collect_limit`` values, one aggregate builds a
-   mergeable ``percentile_approx`` sketch of the band on a fixed fraction grid and
-   a second counts exactly below / inside the proposed, narrower bracket; the
-   bracket is accepted only when those exact counts prove it still holds both
-   ranks (a band whose values are all equal is resolved to that value);
-3. each remaining band (at most ``collect_limit`` values) is sorted in its group
-   and the two order statistics are read off.
+1. one aggregate (with map-side combine) counts each (group, value): a heavy value is one
+   row, however many rows hold it;
+2. the counted values are dealt out by range of (group, value), so a hot group spreads
+   over many tasks, and are written with the number of their range;
+3. counts before a value = counts of the group's earlier ranges (one row per group and
+   range) + a running sum within its range; a quantile's two neighbouring order
+   statistics are the values whose interval of ranks holds them.
 
-Every pass is a partial+final aggregate (map-side combine), so a hot key is spread
-over all tasks; at most ``collect_limit`` values ever land in one task.  The band
-table has one row per (group, quantile) and is joined back by key.
+The result is linearly interpolated between the order statistics around ``q * (n - 1)``.
+The plan is the same at every size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GRID = 1000                     # sketch fractions 1/GRID .. (GRID-1)/GRID
-ACCURACY = 100000               # sketch relative error 1e-5, well below one grid step
-MARGIN = 2                      # grid steps kept on each side of the target ranks
-MAX_ROUNDS = 12
-COLLECT_LIMIT = 2_000_000       # values sorted in one task at most (16 MB of doubles)
+from ..session import materialize
 
 
-def _band_filter(lo_col: str = "band_lo", hi_col: str = "band_hi"):
-    return ((F.col(lo_col).isNull() | (F.col("__v") >= F.col(lo_col))) &
-            (F.col(hi_col).isNull() | (F.col("__v") <= F.col(hi_col))))
-
-
-def narrow_values(df: DataFrame, value: str, keys: list[str], checkpoint: bool = True) -> DataFrame:
+def narrow_values(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """(keys, __v) with null values / keys removed, written once as parquet under
     ``spark.checkpoint.dir`` so the upstream plan runs once for all passes."""
     vals = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     for k in keys:
         vals = vals.where(F.col(k).isNotNull())
-    if checkpoint:
-        from ..session import materialize
-        vals = materialize(vals, "quantile_values")
-    return vals
+    return materialize(vals, "quantile_values")
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: list[float], keys: list[str] | None = None,
-                    names: list[str] | None = None, collect_limit: int = COLLECT_LIMIT,
-                    narrowed: bool = False) -> DataFrame:
+                    names: list[str] | None = None, narrowed: bool = False) -> DataFrame:
     """One row per group: ``keys`` + one double column per quantile in ``qs``.
     Null values are ignored; rows with a null key are dropped (pandas groupby).
     ``narrowed=True`` means ``df`` already is ``narrow_values(...)`` output."""
     user_keys = list(keys or [])
     names = names or [f"q{int(round(q * 100)):02d}" for q in qs]
-    vals = df if narrowed else narrow_values(df, value, user_keys)
+    vals = df if narrowed else df.select(*user_keys, F.col(value).cast("double").alias("__v")).where(
+        " and ".join(f"`{c}` is not null" for c in [*user_keys, "__v"]))
     keys = user_keys or ["__g"]
     if not user_keys:
         vals = vals.withColumn("__g", F.lit(0))
-    on = keys + ["qi"]
-
-    counts = vals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    max_n = counts.agg(F.max("n")).first()[0] or 0
-    if max_n <= collect_limit:
-        # every group is small enough to sort in one task: a single aggregate
-        s = vals.groupBy(*keys).agg(F.sort_array(F.collect_list("__v")).alias("__s"))
-        n = F.size("__s")
-        cols = []
-        for q, name in zip(qs, names):
-            pos = F.lit(float(q)) * (n - 1)
-            lo, hi = F.floor(pos), F.ceil(pos)
-            v_lo = F.element_at("__s", (lo + 1).cast("int"))
-            v_hi = F.element_at("__s", (hi + 1).cast("int"))
-            cols.append((v_lo + (pos - lo) * (v_hi - v_lo)).alias(name))
-        out = s.select(*keys, *cols)
-        return out.drop("__g") if not user_keys else out
-    qarr = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
-    bands = (counts.withColumn("__t", F.explode(qarr))
-             .select(*keys, "n", "__t.qi", "__t.q")
-             .withColumn("pos", F.col("q") * (F.col("n") - 1))
-             .withColumn("lo", F.floor("pos").cast("long"))
-             .withColumn("hi", F.ceil("pos").cast("long"))
-             .withColumn("band_lo", F.lit(None).cast("double"))
-             .withColumn("band_hi", F.lit(None).cast("double"))
-             .withColumn("below", F.lit(0).cast("long"))
-             .withColumn("band_n", F.col("n"))
-             .withColumn("fixed", F.lit(None).cast("double")))
-
-    for _ in range(MAX_ROUNDS):
-        if bands.where(F.col("band_n") > collect_limit).limit(1).count() == 0:
-            break
-        bands = _narrow(vals, bands, keys, collect_limit).cache()
-
-    open_bands = bands.where(F.col("fixed").isNull())
-    sel = vals.join(open_bands.select(*on, "band_lo", "band_hi"), keys, "inner").where(_band_filter())
-    picked = (sel.groupBy(*on).agg(F.sort_array(F.collect_list("__v")).alias("__s"))
-              .join(open_bands, on, "inner")
-              .withColumn("v_lo", F.element_at("__s", (F.col("lo") - F.col("below") + 1).cast("int")))
-              .withColumn("v_hi", F.element_at("__s", (F.col("hi") - F.col("below") + 1).cast("int")))
-              .select(*on, (F.col("v_lo") + (F.col("pos") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo")))
-                      .alias("qv")))
-    resolved = bands.where(F.col("fixed").isNotNull()).select(*on, F.col("fixed").alias("qv"))
-    allq = picked.unionByName(resolved)
-    out = allq.groupBy(*keys).agg(*[F.max(F.when(F.col("qi") == i, F.col("qv"))).alias(n)
-                                    for i, n in enumerate(names)])
-    return out.drop("__g") if not user_keys else out
-
-
-def _narrow(vals: DataFrame, bands: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """One refinement round for the bands holding more than ``limit`` values."""
-    on = keys + ["qi"]
-    active = bands.where(F.col("band_n") > limit)
-    done = bands.where(F.col("band_n") <= limit)
-    fr = [i / GRID for i in range(1, GRID)]
-    inside = vals.join(active.select(*on, "band_lo", "band_hi"), keys, "inner").where(_band_filter())
-    sketch = inside.groupBy(*on).agg(F.percentile_approx("__v", fr, ACCURACY).alias("__g_arr"))
-    t_lo = (F.col("lo") - F.col("below")) / F.col("band_n") * GRID
-    t_hi = (F.col("hi") - F.col("below") + 1) / F.col("band_n") * GRID
-    prop = (active.join(sketch, on, "inner")
-            .withColumn("i_lo", F.greatest(F.floor(t_lo).cast("int") - MARGIN, F.lit(0)))
-            .withColumn("i_hi", F.least(F.ceil(t_hi).cast("int") + MARGIN, F.lit(GRID)))
-            .withColumn("new_lo", F.coalesce(F.when(F.col("i_lo") > 0, F.element_at("__g_arr", F.col("i_lo"))),
-                                             F.col("band_lo")))
-            .withColumn("new_hi", F.coalesce(F.when(F.col("i_hi") < GRID, F.element_at("__g_arr", F.col("i_hi"))),
-                                             F.col("band_hi")))
-            .drop("__g_arr", "i_lo", "i_hi"))
-    inside2 = vals.join(prop.select(*on, "band_lo", "band_hi", "new_lo", "new_hi"), keys, "inner") \
-        .where(_band_filter())
-    in_new = _band_filter("new_lo", "new_hi")
-    cnt = inside2.groupBy(*on).agg(
-        F.count_if(F.col("new_lo").isNotNull() & (F.col("__v") < F.col("new_lo"))).alias("c_lt"),
-        F.count_if(in_new).alias("c_in"),
-        F.min(F.when(in_new, F.col("__v"))).alias("b_min"),
-        F.max(F.when(in_new, F.col("__v"))).alias("b_max"))
-    upd = prop.join(cnt, on, "inner")
-    ok = ((F.col("below") + F.col("c_lt") <= F.col("lo")) &
-          (F.col("hi") < F.col("below") + F.col("c_lt") + F.col("c_in")))
-    tied = ok & (F.col("b_min") == F.col("b_max"))
-    upd = upd.select(
-        *on, "n", "q", "pos", "lo", "hi",
-        F.when(ok, F.col("new_lo")).otherwise(F.col("band_lo")).alias("band_lo"),
-        F.when(ok, F.col("new_hi")).otherwise(F.col("band_hi")).alias("band_hi"),
-        F.when(ok, F.col("below") + F.col("c_lt")).otherwise(F.col("below")).alias("below"),
-        F.when(tied, F.lit(0).cast("long")).when(ok, F.col("c_in")).otherwise(F.col("band_n")).alias("band_n"),
-        F.when(tied, F.col("b_min")).otherwise(F.col("fixed")).alias("fixed"))
-    return done.unionByName(upd)
-
 
-def exact_median(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "median",
-                 collect_limit: int = COLLECT_LIMIT) -> DataFrame:
-    return exact_quantiles(df, value, [0.5], keys, [name], collect_limit)
+    counted = vals.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    counted = materialize(counted.repartitionByRange(*keys, "__v").withColumn("__r", F.spark_partition_id()), "quantile_counts")
+    ranges = counted.groupBy(*keys, "__r").agg(F.sum("__c").alias("__s"))
+    of_group = Window.partitionBy(*keys)
+    earlier = of_group.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(*keys, "__r", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__b"), F.sum("__s").over(of_group).alias("__n"))
+    in_range = Window.partitionBy(*keys, "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (counted.withColumn("__e", F.sum("__c").over(in_range)).join(ranges, [*keys, "__r"])
+              .withColumn("__e", F.col("__b") + F.col("__e")))
+
+    def at(rank):
+        return F.max(F.when((F.col("__e") - F.col("__c") <= rank) & (rank < F.col("__e")), F.col("__v")))
+
+    picks = []
+    for i, q in enumerate(qs):
+        pos = F.lit(float(q)) * (F.col("__n") - 1)
+        picks += [at(F.floor(pos)).alias(f"__l{i}"), at(F.ceil(pos)).alias(f"__h{i}")]
+    found = placed.groupBy(*keys).agg(F.max("__n").alias("__n"), *picks)
+    cols = []
+    for i, (q, name) in enumerate(zip(qs, names)):
+        pos = F.lit(float(q)) * (F.col("__n") - 1)
+        cols.append((F.col(f"__l{i}") + (pos - F.floor(pos)) * (F.col(f"__h{i}") - F.col(f"__l{i}"))).alias(name))
+    return found.select(*user_keys, *cols)
+
+
+def exact_median(df: DataFrame, value: str, keys: list[str] | None = None, name: str = "median") -> DataFrame:
+    return exact_quantiles(df, value, [0.5], keys, [name])

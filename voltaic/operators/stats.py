@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .quantiles import exact_quantiles, narrow_values
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     if keys:
         return left.join(right, keys, "inner")
-    return left.withColumn("__g", F.lit(0)).join(right.withColumn("__g", F.lit(0)), "__g").drop("__g")
+    return left.crossJoin(right)  # without keys both are aggregates of one row, or the right one is
 
 
 def _non_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,39 +99,31 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return alg.join(qs, "column", "left")
 
 
-MAX_LEVELS = 10_000
-
-
-def category_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    """Distinct non-null values of a categorical column, for building dummies.
-    A column with more than ``max_levels`` values is not a category: raise rather
-    than silently keep a subset."""
-    lv = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_levels + 1).collect()]
-    if len(lv) > max_levels:
-        raise ValueError(f"{col} has more than {max_levels} distinct values; pass levels explicitly")
-    return lv
-
-
 def correlations(df: DataFrame, target: str, numeric: list[str] | None = None,
-                 categorical: list[str] | None = None, levels: dict | None = None) -> DataFrame:
+                 categorical: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every numeric column and every 0/1 category dummy
-    with ``target``; one aggregate pass.  Category levels come from ``levels`` or
-    from one distinct pass (the level set is small by definition of a category)."""
+    with ``target``.  Numeric columns take one aggregate.  A dummy's correlation follows
+    from its level's count and target sum, so all dummies take one (column, level)
+    aggregate, however many levels there are; none is collected."""
     numeric = [c for c in (numeric if numeric is not None else numeric_columns(df)) if c != target]
     categorical = categorical or []
-    feats = [(c, F.col(c).cast("double")) for c in numeric]
-    for c in categorical:
-        lv = (levels or {}).get(c)
-        if lv is None:
-            lv = category_levels(df, c)
-        for level in sorted(lv):
-            feats.append((f"{c}_{level}", F.when(F.col(c) == F.lit(level), 1.0).otherwise(0.0)))
     y = F.col(target).cast("double")
-    agg = df.agg(*[F.corr(e, y).alias(f"c{i}") for i, (_, e) in enumerate(feats)])
-    rows = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"c{i}").alias("correlation"))
-                     for i, (n, _) in enumerate(feats)])
-    return (agg.select(F.explode(rows).alias("r")).select("r.feature", "r.correlation")
-               .where(F.col("correlation").isNotNull() & ~F.isnan("correlation")))
+    agg = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(f"c{i}") for i, c in enumerate(numeric)], F.count(y).alias("n"),
+                 F.avg(y).alias("my"), F.var_pop(y).alias("vy"))
+    agg = materialize(agg, "correlations")
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("correlation")) for i, c in enumerate(numeric)])
+    out = agg.select(F.inline(rows)) if numeric else None
+    if categorical:
+        long = df.where(y.isNotNull()).select(y.alias("y"), F.explode(F.array(*[
+            F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in categorical])).alias("r"))
+        level = (long.select("y", "r.column", "r.level").where(F.col("level").isNotNull())
+                 .groupBy("column", "level").agg(F.count(F.lit(1)).alias("nl"), F.avg("y").alias("yl")))
+        share = F.col("nl") / F.col("n")
+        corr = share * (F.col("yl") - F.col("my")) / F.sqrt(F.nullif(share * (1 - share) * F.col("vy"), F.lit(0.0)))
+        dummies = level.crossJoin(F.broadcast(agg.select("n", "my", "vy"))).select(  # one row of totals
+            F.concat_ws("_", "column", "level").alias("feature"), corr.alias("correlation"))
+        out = dummies if out is None else out.unionByName(dummies)
+    return out.where(F.col("correlation").isNotNull() & ~F.isnan("correlation"))
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
@@ -215,31 +208,30 @@ def histogram(df: DataFrame, value: str, keys: list[str] | None = None) -> DataF
                          (F.col("lo") + (F.col("bin") + 1) * w).alias("bin_end"), "count")
 
 
-def density_curve(df: DataFrame, value: str, key: str, points: int = 200,
-                  prebin_above: int = 1_000_000) -> DataFrame:
+def density_curve(df: DataFrame, value: str, key: str, points: int = 200, bins: int | None = None) -> DataFrame:
     """Gaussian kernel density per group on a ``points`` grid over the group's
-    range, Scott bandwidth (sample std * n^(-1/5)).  The data are first reduced to
-    (group, value, weight) -- exact duplicates merged, and for groups above
-    ``prebin_above`` rows values snapped to 4096 bins -- then each grid point sums
-    kernels over that reduced set with a partial aggregate.  The grid is generated
-    per group from the group's own min / max, and joined by key."""
-    base = df.where(F.col(value).isNotNull() & F.col(key).isNotNull())
-    st = base.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd"),
-                               F.min(value).alias("lo"), F.max(value).alias("hi"))
-    st = st.withColumn("bw", F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
-    j = base.join(st.select(key, "n", "lo", "hi"), key)
-    snapped = F.when(F.col("n") > prebin_above,
-                     F.col("lo") + (F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096) + 0.5)
-                     * (F.col("hi") - F.col("lo")) / 4096).otherwise(F.col(value))
-    reduced = j.withColumn("x", snapped).groupBy(key, "x").agg(F.count(F.lit(1)).alias("w"))
-    grid = st.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
-        "g", F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / (points - 1))
-    pairs = grid.select(key, "i", "g", "n", "bw").join(reduced, key)
-    z = (F.col("g") - F.col("x")) / F.col("bw")
-    return (pairs.groupBy(key, "i", "g").agg(
-                (F.sum(F.col("w") * F.exp(-0.5 * z * z)) / (F.first("n") * F.first("bw") * math.sqrt(2 * math.pi)))
-                .alias("density"))
-            .withColumnRenamed("g", "x"))
+    range, Scott bandwidth (sample std * n^(-1/5)).  Equal values are merged into one
+    weighted value; each then adds its kernel to every grid point of its own group,
+    summed map-side first, so a hot group is no hot join key.  Exact at any size; with
+    ``bins`` the values are snapped to that many bins of the group's range first."""
+    v, k = F.col(value).cast("double"), F.col(key)
+    weighted = (df.where(v.isNotNull() & k.isNotNull()).groupBy(k.alias(key), v.alias("__x")).agg(F.count(F.lit(1)).alias("__w")))
+    weighted = materialize(weighted, "density_values")
+    n, mean = F.sum("__w"), F.sum(F.col("__w") * F.col("__x")) / F.sum("__w")
+    st = weighted.groupBy(key).agg(n.alias("n"), mean.alias("__m"), F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    centred = weighted.join(st.select(key, "__m"), key).groupBy(key).agg(
+        F.sum(F.col("__w") * F.pow(F.col("__x") - F.col("__m"), F.lit(2.0))).alias("__ss"))
+    st = st.join(centred, key).withColumn("bw", F.sqrt(F.col("__ss") / F.nullif(F.col("n") - 1, F.lit(0))) * F.pow(F.col("n"), F.lit(-0.2)))
+    j = weighted.join(st.select(key, "n", "lo", "hi", "bw"), key)
+    step = F.col("hi") - F.col("lo")
+    if bins:
+        j = j.withColumn("__x", F.when(step > 0, F.col("lo") + (F.floor((F.col("__x") - F.col("lo")) / step * bins) + 0.5) * step / bins)
+                         .otherwise(F.col("__x")))
+    g = F.col("lo") + F.col("i") * step / (points - 1)
+    spread = j.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("g", g)
+    z = (F.col("g") - F.col("__x")) / F.col("bw")
+    return (spread.groupBy(key, "i", "g", "n", "bw").agg(F.sum(F.col("__w") * F.exp(-0.5 * z * z)).alias("__s"))
+            .select(key, "i", F.col("g").alias("x"), (F.col("__s") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density")))
 
 
 def quadratic_trend(df: DataFrame, x: str, y: str, points: int = 100) -> tuple[DataFrame, DataFrame]:

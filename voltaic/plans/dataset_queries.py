@@ -268,8 +268,7 @@ CORR_SQL = G1_SQL.rstrip() + ",\ncorrs as (" + " union all ".join(
 
 
 def spec_correlations(spark, sf):
-    return stats.correlations(gen_specs(spark, sf), "price", NUMERIC_SPECS, list(CATEGORICAL_SPECS),
-                              CATEGORICAL_SPECS)
+    return stats.correlations(gen_specs(spark, sf), "price", NUMERIC_SPECS, list(CATEGORICAL_SPECS))
 
 
 @query("stats_correlations", CORR_SQL + f"""
@@ -280,12 +279,12 @@ def stats_correlations(spark, sf):
 
 
 @query("topk_correlations", CORR_SQL + f"""
-select feature, {r('correlation', 'correlation')}, side from (
-  (select feature, correlation, 'top' as side from corrs where correlation is not null and not isnan(correlation)
-   order by correlation desc, feature limit 15)
+select feature, {r('correlation', 'correlation')}, side, cast(rk as integer) as rank from (
+  select feature, correlation, 'top' as side, row_number() over (order by correlation desc, feature) as rk from corrs
+   where correlation is not null and not isnan(correlation) qualify rk <= 15
   union all
-  (select feature, correlation, 'bottom' as side from corrs where correlation is not null and not isnan(correlation)
-   order by correlation asc, feature limit 15)) t""")
+  select feature, correlation, 'bottom' as side, row_number() over (order by correlation asc, feature) as rk from corrs
+   where correlation is not null and not isnan(correlation) qualify rk <= 15) t""")
 def topk_correlations(spark, sf):
     """The 15 strongest positive and 15 strongest negative correlations."""
     return topk.head_and_tail(spec_correlations(spark, sf), "correlation", "feature", 15)

@@ -10,7 +10,7 @@ oracle reads the pre-registered DuckDB views.
 from __future__ import annotations
 
 import hashlib
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -123,23 +123,35 @@ def render(sql: str, dialect: str, sf_dir: str | None = None) -> str:
     return sql.format(S=string_type, **tables)
 
 
+def _input_version(spark: SparkSession, sf_dir: str, sql: str) -> str:
+    """Latest modification time and total size of the tables a binding reads."""
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for t in TABLES:
+        if f"/{t}.parquet`" in sql:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+            fs = path.getFileSystem(conf)
+            for s in fs.listStatus(path):
+                found.append(f"{s.getPath().getName()}:{s.getModificationTime()}:{s.getLen()}")
+    return "\n".join(sorted(found))
+
+
 def materialized(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
     """Run a binding once and keep it as a parquet table under the shared
-    ``spark.checkpoint.dir`` (keyed by input folder and SQL text): later queries
-    scan it with pruning and pushdown instead of re-running the joins, and the
-    lineage is cut.  A table without its ``_SUCCESS`` marker is rebuilt."""
-    from .session import scratch_path
-    key = hashlib.sha1((LAYOUT_VERSION + os.path.abspath(sf_dir) + "\n" + sql).encode()).hexdigest()[:16]
+    ``spark.checkpoint.dir`` (keyed by input folder, its files' versions and the SQL text):
+    later queries scan it with pruning and pushdown instead of re-running the joins, and the
+    lineage is cut.  It is written under another name first, so a table that is there is
+    whole, with or without marker files."""
+    from .session import min_partitions, scratch_path
+    version = _input_version(spark, sf_dir, sql)
+    key = hashlib.sha1("\n".join([LAYOUT_VERSION, sf_dir, version, sql]).encode()).hexdigest()[:16]
     path = scratch_path(spark, f"binding_{name}_{key}")
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        from .session import min_partitions
-        df = spark.sql(sql)
-        n = min_partitions(spark)
-        if df.rdd.getNumPartitions() < n:
-            df = df.repartition(n)
-        df.write.mode("overwrite").parquet(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(done):
+        part = f"{path}_{uuid.uuid4().hex[:8]}"
+        spark.sql(sql).repartition(min_partitions(spark)).write.mode("overwrite").parquet(part)
+        if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(part), done) and not fs.exists(done):
+            raise RuntimeError(f"cannot move {part} to {path}")
     return spark.read.parquet(path)
 
 

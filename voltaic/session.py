@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -43,8 +45,9 @@ def get_session(master: str | None = None, app_name: str = "voltaic",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder."""
+    """The cluster's shared ``spark.checkpoint.dir``.  Only where it is unset and the master
+    is local (tests) a fresh scratch folder takes its place; on a cluster that would be a
+    folder other machines cannot see, so it is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured:
@@ -53,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if current:
         return current
+    master = spark.sparkContext.master
+    if not re.match(r"local(\[|$)", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} shares")
     local = tempfile.mkdtemp(prefix="voltaic-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return local
@@ -64,18 +70,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}"
 
 
+#: Intermediate tables written by this process that release_intermediates() deletes.
+_INTERMEDIATE: list[str] = []
+
+
 def materialize(df, prefix: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it
     back: cuts the lineage, runs the upstream plan exactly once (unlike
     ``Dataset.checkpoint``, which computes it for the count and again for the
     write) and keeps a columnar copy that later passes prune and filter."""
-    import uuid
     spark = df.sparkSession
     path = scratch_path(spark, f"{prefix}_{uuid.uuid4().hex[:16]}")
     df.write.mode("overwrite").parquet(path)
+    _INTERMEDIATE.append(path)
     return spark.read.parquet(path)
 
 
+def release_intermediates(spark: SparkSession) -> int:
+    """Delete the intermediate tables that ``materialize`` wrote so far; call it when the
+    results built on them are written or no longer needed.  Returns their number."""
+    n = len(_INTERMEDIATE)
+    while _INTERMEDIATE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_INTERMEDIATE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def min_partitions(spark) -> int:
     """Lower bound on the file count of a materialised table: enough splits to
     keep every core busy; larger tables keep their own (higher) partitioning."""

@@ -61,3 +61,58 @@ def test_csv_roundtrip_fallback(spark, tmpdir_path):
         f.write("Origin,Description\n".encode() + "Côte,500 KVA transformer\n".encode("latin-1"))
     df = FS.read_csv_fallback(spark, p, "Origin string, Description string")
     assert df.first()["origin"] == "Côte"
+
+
+def test_csv_quotes_and_line_ends(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "quoted.csv")
+    with open(p, "w") as f:
+        f.write('Origin,Description\nIndia,"Transformer 12"" bushing, 500 KVA"\nChina,"two\nlines"\n')
+    rows = FS.read_csv(spark, p, "Origin string, Description string", multiline=True).collect()
+    assert [r["description"] for r in rows] == ['Transformer 12" bushing, 500 KVA', "two\nlines"]
+    back = os.path.join(tmpdir_path, "back")
+    FS.write_csv(spark.createDataFrame([("a", 'x "y", z')], "origin string, description string"), back)
+    assert FS.read_csv(spark, back, "Origin string, Description string").first()["description"] == 'x "y", z'
+
+
+def test_csv_encoding_is_decided_per_file(spark, tmpdir_path):
+    for name, text, encoding in (("a b.csv", "Türkiye", "utf-8"), ("b.csv", "Côte", "latin-1"), ("c.csv", "Österreich", "utf-8")):
+        with open(os.path.join(tmpdir_path, name), "wb") as f:
+            f.write(("Origin,Description\n" + text + ",x\n").encode(encoding))
+    df = FS.read_csv_fallback(spark, os.path.join(tmpdir_path, "*.csv"), "Origin string, Description string")
+    assert sorted(r["origin"] for r in df.collect()) == ["Côte", "Türkiye", "Österreich"]
+
+
+def test_ingest_without_marker_files_adds_nothing_twice(spark, tmpdir_path):
+    spark.conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    spark._jsc.hadoopConfiguration().set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+        landing, target = os.path.join(tmpdir_path, "landing"), os.path.join(tmpdir_path, "target")
+        for n in range(2):
+            df.write.mode("append").parquet(landing)
+            ingest_available_now(spark, landing, df.schema, target, os.path.join(tmpdir_path, f"ck{n}"))  # a lost checkpoint replays all
+        assert not os.path.exists(os.path.join(target, "_SUCCESS"))
+        assert spark.read.parquet(target).count() == 2
+    finally:
+        spark.conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+        spark._jsc.hadoopConfiguration().unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+
+
+def test_scratch_folder_must_be_shared_off_local_mode():
+    import types
+
+    import pytest
+
+    from voltaic.session import ensure_checkpoint_dir
+    cluster = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: d),
+                                    sparkContext=types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(cluster)
+
+
+def test_intermediates_are_released(spark):
+    from voltaic.session import materialize, release_intermediates
+    df = materialize(spark.range(5), "release")
+    path = df.inputFiles()[0]
+    assert release_intermediates(spark) >= 1
+    assert not os.path.exists(path.removeprefix("file://"))

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 
-TABLE_RE = r'(?is)<table\b[^>]*\bclass\s*=\s*"(?:[^"]*\s)?table(?:\s[^"]*)?"[^>]*>(.*?)</table>'
+# class="... table ...", with either quote or none
+TABLE_RE = (r"""(?is)<table\b[^>]*\bclass\s*=\s*(?:"(?:[^"]*\s)?table(?:\s[^"]*)?"|'(?:[^']*\s)?table(?:\s[^']*)?'|table\b)"""
+            r"[^>]*>(.*?)</table>")
 ROW_RE = r"(?is)<tr\b[^>]*>(.*?)</tr>"
 CELL_RE = r"(?is)<td\b[^>]*>(.*?)</td>"
 TAG_RE = r"<[^>]+>"

@@ -57,9 +57,7 @@ MATERIAL_KEYWORD_RULES = [
     (["oil"], "mineral_oil"),
 ]
 MATERIAL_FALLBACK = "steel"
-# FIXED VALUES: metals-feed symbols and the lb -> metric ton factor
-METAL_SYMBOLS = [("XCU", "copper"), ("XAL", "aluminum"), ("XZN", "zinc"),
-                 ("XNI", "nickel"), ("XPB", "lead")]
+# FIXED VALUES: the lb -> metric ton factor
 LB_PER_TON = 2204.62
 # FIXED VALUES: metal names as printed on exchange pages
 PAGE_METAL_LABELS = [("copper", "Copper"), ("aluminum", "Aluminium"), ("zinc", "Zinc"),

@@ -15,9 +15,9 @@ from .. import constants as K
 from ..functions import text as X
 
 
-def drop_sparse_rows(df: DataFrame, thresh: int = 2) -> DataFrame:
-    """Keep rows with at least ``thresh`` non-null columns."""
-    return df.na.drop(thresh=thresh)
+def drop_sparse_rows(df: DataFrame, thresh: int = 2, subset: list[str] | None = None) -> DataFrame:
+    """Keep rows with at least ``thresh`` non-null columns (of ``subset``)."""
+    return df.na.drop(thresh=thresh, subset=subset)
 
 
 def clean_price(df: DataFrame, col: str = "unit_price", out: str = "unit_price_usd") -> DataFrame:

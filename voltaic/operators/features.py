@@ -8,6 +8,8 @@ them and scoring is one projection.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
@@ -35,6 +37,26 @@ def train_test_split(df: DataFrame, key: str, test_fraction: float = K.TEST_FRAC
             flagged.where(F.col("is_test")).drop("is_test"))
 
 
+def split_exact(df: DataFrame, key: str, test_fraction: float = K.TEST_FRACTION,
+                seed: int = K.SPLIT_SEED, out: str = "is_test") -> DataFrame:
+    """M1 with an exact count: the ceil(``test_fraction`` x n) rows of least (hash uniform,
+    key) are the test set (``key`` is unique).  Rows are counted per slice of the uniform;
+    only the slice that holds the boundary is sorted, and one cut goes to the driver."""
+    u, slices = R.uniform(F.col(key), 1000 + seed), 1 << 16
+    counts = df.groupBy(F.floor(u * slices).alias("slice")).agg(F.count(F.lit(1)).alias("c")).orderBy("slice").collect()
+    left, at = math.ceil(test_fraction * sum(r["c"] for r in counts)), None
+    for row in counts:  # at most 65,536 slices
+        if row["c"] >= left:
+            at = row["slice"]
+            break
+        left -= row["c"]
+    if at is None or left == 0:
+        return df.withColumn(out, F.lit(False))
+    cut = (df.where(F.floor(u * slices) == at).select(F.struct(u.alias("u"), F.col(key).cast("bigint").alias("k")).alias("o"))
+           .orderBy("o").limit(left).agg(F.max("o").alias("o")).first()["o"])
+    return df.withColumn(out, (u < cut["u"]) | ((u == cut["u"]) & (F.col(key) <= cut["k"])))
+
+
 def fold_column(df: DataFrame, key: str, folds: int = 5, seed: int = K.SPLIT_SEED, out: str = "fold") -> DataFrame:
     """Cross-validation fold from the key hash (for ``CrossValidator(foldCol=...)``)."""
     return df.withColumn(out, F.floor(R.uniform(F.col(key), 2000 + seed) * folds).cast("int"))
@@ -72,36 +94,15 @@ def fit_numeric_stats(train: DataFrame, cols: list[str]) -> dict:
 
 
 def fit_modes(train: DataFrame, cols: list[str]) -> dict:
-    """Most frequent value per categorical column (ties: smallest), one aggregate each."""
-    out = {}
-    for c in cols:
-        counts = train.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        r = counts.agg(F.min_by(F.col(c).cast("string"), F.struct(-F.col("n"), F.col(c).cast("string")))).first()
-        out[c] = r[0]
-    return out
-
-
-def fit_categoricals(train: DataFrame, cols: list[str], max_levels: int = 10_000) -> tuple[dict, dict]:
-    """Modes (ties: smallest) and sorted level lists of all categorical columns in
-    one aggregate over a long (column, value) projection.  A column with more
-    than ``max_levels`` values is rejected, never truncated."""
+    """Most frequent value per categorical column (ties: smallest): one aggregate over a
+    long (column, value) projection, one row per column to the driver."""
     long = train.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("r")
     ).select("r.column", "r.value").where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    per = counts.groupBy("column").agg(
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
-        F.count(F.lit(1)).alias("n_levels"),
-        F.sort_array(F.slice(F.collect_list("value"), 1, max_levels + 1)).alias("levels"))
-    modes, levels = {}, {}
-    for r in per.collect():
-        if r["n_levels"] > max_levels:
-            raise ValueError(f"{r['column']} has more than {max_levels} distinct values")
-        modes[r["column"]], levels[r["column"]] = r["mode"], list(r["levels"])
-    for c in cols:
-        modes.setdefault(c, None)
-        levels.setdefault(c, [])
-    return modes, levels
+    per = counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
+    found = {r["column"]: r["mode"] for r in per.collect()}
+    return {c: found.get(c) for c in cols}
 
 
 def _sql_lit(v) -> str:
@@ -133,19 +134,20 @@ def feature_stages(train: DataFrame, features: list[str], scale: bool = True) ->
     """M2-M7: the preprocessing stages and the feature names in vector order."""
     num, cat = column_roles(train, features)
     stats = fit_numeric_stats(train, num) if num else {}
-    modes, levels = fit_categoricals(train, cat) if cat else ({}, {})
-    stages = [prep_transformer(stats, modes, scale)]
+    modes = fit_modes(train, cat) if cat else {}
+    prep = prep_transformer(stats, modes, scale)
+    stages = [prep]
     names = list(num)
     if cat:
+        # fitted here, so its levels (alphabetical; filled nulls fall on the mode) name the
+        # vector's places and are gathered once
         idx = StringIndexer(inputCols=[f"{c}__cat" for c in cat], outputCols=[f"{c}__idx" for c in cat],
-                            handleInvalid="keep", stringOrderType="alphabetAsc")
+                            handleInvalid="keep", stringOrderType="alphabetAsc").fit(prep.transform(train))
         ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__ohe" for c in cat],
                             dropLast=True, handleInvalid="error")
         stages += [idx, ohe]
-        # vector slots follow the indexer's alphabetical level order (mode-filled
-        # nulls fall on the mode, which is one of the levels)
-        for c in cat:
-            names += [f"{c}_{lv}" for lv in levels[c]]
+        for c, levels in zip(cat, idx.labelsArray):
+            names += [f"{c}_{lv}" for lv in levels]
     inputs = [f"{c}__num" for c in num] + [f"{c}__ohe" for c in cat]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return stages, names

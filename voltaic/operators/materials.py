@@ -2,9 +2,8 @@
 fuzzy material resolution (J3), feed priority merge (J5), per-spec cost table
 with a total row (A10 / Q6), staleness (Q10) and metric lookup with defaults (J6).
 
-The price book is a dimension: one row per material.  Joins against it are
-broadcast only after its row count is checked against ``MAX_BOOK_ROWS``; above
-that the plain shuffle join is used.
+The price book is a dimension: one row per material.  How it is joined is left to the
+optimizer, which broadcasts it by its measured size.
 """
 
 from __future__ import annotations
@@ -15,18 +14,11 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from .pricing import lookup
 
-MAX_BOOK_ROWS = 100_000
 BOOK_SCHEMA = "map<string, struct<price: double, unit: string, date: string>>"
 COMPONENT_MATERIAL = [(c[0], c[7]) for c in K.COMPONENTS]
 TOTAL_LABEL = "Total Raw Materials"
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = MAX_BOOK_ROWS) -> DataFrame:
-    """Broadcast hint only when the row count is within ``max_rows``."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 # --- S5 / S6: JSON price book -------------------------------------------------------
 
 def read_price_book(spark: SparkSession, path: str) -> DataFrame:
@@ -41,12 +33,13 @@ def read_price_book(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_price_book(book: DataFrame, path: str) -> None:
-    """Back to one JSON object in book order (overwrite)."""
+    """Back to one JSON object in book order (overwrite).  A book is one object, so its
+    entries (one per material) meet in one row."""
     entries = F.sort_array(F.collect_list(F.struct("book_order", "material", F.struct(
         "price", "unit", F.date_format("price_date", "yyyy-MM-dd").alias("date")).alias("v"))))
     obj = book.agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["material"], e["v"])))
                    .alias("m"))
-    obj.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    obj.select(F.to_json("m").alias("value")).write.mode("overwrite").text(path)
 
 
 # --- J2: component costs ---------------------------------------------------------------
@@ -62,7 +55,7 @@ def component_rows(specs: DataFrame, key: str = "spec_id") -> DataFrame:
 
 def component_costs(specs: DataFrame, book: DataFrame, key: str = "spec_id") -> DataFrame:
     """cost = kg / 1000 x price per ton, one row per spec and component."""
-    b = sized_broadcast(book.select("material", "price", "price_date"))
+    b = book.select("material", "price", "price_date")
     return (component_rows(specs, key).join(b, "material", "left")
             .withColumn("cost_usd", F.col("weight_kg") / 1000.0 * F.col("price")))
 
@@ -75,7 +68,7 @@ def _book_row(book: DataFrame) -> DataFrame:
     for c, m in COMPONENT_MATERIAL:
         aggs.append(F.max(F.when(F.col("material") == m, F.col("price"))).alias(f"__p_{c}"))
         aggs.append(F.max(F.when(F.col("material") == m, F.col("price_date"))).alias(f"__d_{c}"))
-    return b.agg(*aggs).withColumn("__k", F.lit(0))
+    return b.agg(*aggs)
 
 
 def spec_costs_wide(specs: DataFrame, book: DataFrame) -> DataFrame:
@@ -83,7 +76,7 @@ def spec_costs_wide(specs: DataFrame, book: DataFrame) -> DataFrame:
     ``material_cost`` (their sum).  One broadcast of a one-row price pivot; no
     shuffle of the spec table."""
     row = F.broadcast(_book_row(book))
-    out = specs.withColumn("__k", F.lit(0)).join(row, "__k").drop("__k")
+    out = specs.crossJoin(row)  # one row of prices
     costs = {f"{c}_cost": F.col(f"{c}_weight").cast("double") / 1000.0 * F.col(f"__p_{c}")
              for c, _ in COMPONENT_MATERIAL}
     out = out.withColumns(costs)
@@ -120,9 +113,9 @@ def resolve_materials(items: DataFrame, book: DataFrame, col: str = "material")
     rules, else steel.  Works on the distinct names (a small set), then joins the
     mapping back by name; adds ``resolved_material`` and ``price``/``price_date``."""
     names = items.select(F.col(col).alias("name")).where(F.col("name").isNotNull()).distinct()
-    bk = sized_broadcast(book.select("material", "book_order"))
+    bk = book.select("material", "book_order")
     exact = names.join(bk.withColumnRenamed("material", "name"), "name", "left")
-    contained = (names.join(bk, F.instr(F.col("name"), F.col("material")) > 0, "inner")
+    contained = (exact.where(F.col("book_order").isNull()).select("name").join(bk, F.instr(F.col("name"), F.col("material")) > 0, "inner")
                  .groupBy("name").agg(F.min_by("material", "book_order").alias("by_contains")))
     rule = None
     for words, target in K.MATERIAL_KEYWORD_RULES:
@@ -135,7 +128,7 @@ def resolve_materials(items: DataFrame, book: DataFrame, col: str = "material")
     mapping = (exact.join(contained, "name", "left")
                .select("name", F.when(F.col("book_order").isNotNull(), F.col("name"))
                        .otherwise(F.coalesce(F.col("by_contains"), rule)).alias("resolved_material")))
-    prices = sized_broadcast(book.select(F.col("material").alias("resolved_material"), "price", "price_date"))
+    prices = book.select(F.col("material").alias("resolved_material"), "price", "price_date")
     return (items.join(mapping.withColumnRenamed("name", col), col, "left")
                  .join(prices, "resolved_material", "left"))
 

@@ -7,13 +7,12 @@ over the handful of estimators and collects one metrics row per model.
 
 from __future__ import annotations
 
-import math
-
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -29,6 +28,10 @@ FAMILY_B_FEATURES = ["power_rating_kva", "primary_voltage_kv", "secondary_voltag
                      "frequency_hz"]
 
 
+#: Parts of the names of linear models.
+LINEAR_NAMES = ("linear", "ridge", "lasso", "elasticnet")
+
+
 # --- M8: estimators and penalty translation -------------------------------------------------------
 
 def label_std_pop(train: DataFrame, label: str) -> tuple[float, int]:
@@ -66,7 +69,7 @@ def make_estimator(kind: str, label: str = "label", sigma_y: float = 1.0, n: int
         depth = p.get("max_depth")
         return RandomForestRegressor(numTrees=p.get("n_estimators", 100), maxDepth=min(depth or 30, 30),
                                      minInstancesPerNode=p.get("min_samples_leaf", 1),
-                                     featureSubsetStrategy="all", seed=K.SPLIT_SEED, **common)
+                                     featureSubsetStrategy="all", bootstrap=p.get("bootstrap", True), seed=K.SPLIT_SEED, **common)
     if kind == "gradient_boosting":
         return GBTRegressor(maxIter=p.get("n_estimators", 100), stepSize=p.get("learning_rate", 0.1),
                             maxDepth=p.get("max_depth", 3), subsamplingRate=p.get("subsample", 1.0),
@@ -183,13 +186,25 @@ def score(model: PipelineModel, specs: DataFrame, log_target: bool = False, out:
     return pred.select(*keep, p.alias(out))
 
 
-def compare_models(models: dict, specs: DataFrame, key: str, log_target: bool = False) -> DataFrame:
-    """Long table (key, model, predicted_price)."""
-    out = None
-    for name, m in models.items():
-        s = score(m, specs, log_target).select(key, F.lit(name).alias("model"), "predicted_price")
-        out = s if out is None else out.unionByName(s)
-    return out
+def compare_models(models: dict, specs: DataFrame, key: str, log_target: bool = False,
+                   warnings: str | None = None) -> DataFrame:
+    """Long table (key, model, predicted_price, n_warnings, message) from one scan of the
+    specs: the models' transforms are chained, each keeping its prediction alone.  A model
+    that cannot score these specs gives null prices and the reason; linear models count the
+    two standing warnings.  ``warnings`` names a column with the spec's own count."""
+    wide, rows = specs, []
+    for i, (name, m) in enumerate(models.items()):
+        linear = any(w in name for w in LINEAR_NAMES)
+        price, message = F.lit(None).cast("double"), F.lit(None).cast("string")
+        try:
+            p = F.expm1("prediction") if log_target else F.col("prediction")
+            wide = m.transform(wide).select(*wide.columns, p.alias(f"__p{i}"))
+            price = F.col(f"__p{i}")
+        except (AnalysisException, IllegalArgumentException) as e:
+            message = F.lit(f"Prediction failed: {str(e).splitlines()[0]}")
+        n = F.lit(2 if linear else 0) + (F.coalesce(F.col(warnings), F.lit(0)) if warnings else F.lit(0))
+        rows.append(F.struct(F.lit(name).alias("model"), price.alias("predicted_price"), n.cast("int").alias("n_warnings"), message.alias("message")))
+    return wide.select(key, F.inline(F.array(*rows)))
 
 
 def with_rule_fallback(scored: DataFrame, price: str = "predicted_price", **rule_cols) -> DataFrame:
@@ -206,8 +221,14 @@ def residuals(pred: DataFrame, label: str, prediction: str = "prediction") -> Da
     b = pred.agg(F.least(F.min(label), F.min(prediction)).alias("line_min"),
                  F.greatest(F.max(label), F.max(prediction)).alias("line_max"))
     rows = pred.select(F.col(label).alias("actual"), F.col(prediction).alias("predicted"),
-                       (F.col(label) - F.col(prediction)).alias("residual"), F.lit(0).alias("__k"))
-    return rows.join(F.broadcast(b.withColumn("__k", F.lit(0))), "__k").drop("__k")
+                       (F.col(label) - F.col(prediction)).alias("residual"))
+    return rows.crossJoin(F.broadcast(b))  # one row of bounds
+
+
+def rank_models(metrics: DataFrame, by: str = "r2") -> DataFrame:
+    """The models of a metrics table with their rank, best first (ties by name)."""
+    order = F.desc(by) if by == "r2" else F.asc(by)
+    return metrics.withColumn("rank", F.row_number().over(Window.orderBy(order, "model")))  # one row per model
 
 
 # --- S12 / S13: persistence and registry -----------------------------------------------------------------------------
@@ -231,7 +252,3 @@ def load_model(path: str) -> PipelineModel:
 
 def display_name(name: str) -> str:
     return name.replace("_", " ").title()
-
-
-def sigma_check(x: float) -> float:
-    return 0.0 if x is None or math.isnan(x) else x

@@ -20,11 +20,11 @@ def tag_source(df: DataFrame, source: str, col: str = "data_source") -> DataFram
     return df.withColumn(col, F.lit(source))
 
 
-def project_model_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """The fixed model column list; absent columns become typed nulls."""
+def project_model_columns(df: DataFrame, cols: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The fixed model column list, then ``carry``; absent columns become typed nulls."""
     cols = cols or K.MODEL_COLUMNS
     return df.select(*[(F.col(c).cast(MODEL_TYPES.get(c, "string")) if c in df.columns
-                        else F.lit(None).cast(MODEL_TYPES.get(c, "string"))).alias(c) for c in cols])
+                        else F.lit(None).cast(MODEL_TYPES.get(c, "string"))).alias(c) for c in cols], *(carry or []))
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
@@ -144,23 +144,32 @@ def union_common(a: DataFrame, b: DataFrame, order: list[str] | None = None) ->
     return a.select(*common).unionByName(b.select(*common))
 
 
+def union_common_saved(a: DataFrame, b: DataFrame, path: str) -> DataFrame:
+    """As ``union_common``, written as CSV; inputs that share no column give ``a``."""
+    from ..sources.files import write_csv
+    out = union_common(a, b) if set(a.columns) & set(b.columns) else a
+    write_csv(out, path)
+    return out
+
+
 def distinct_rows(df: DataFrame) -> DataFrame:
     """Full-row distinct (null equals null)."""
     return df.dropDuplicates()
 
 
-def prepare_market(df: DataFrame, min_kva: float | None = None) -> DataFrame:
-    """The integration step for cleaned listings: C5, P1, X7-X9 where absent, P3/P4, P2."""
+def prepare_market(df: DataFrame, min_kva: float | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The integration step for cleaned listings: C5, P1, X7-X9 where absent, P3/P4, P2;
+    ``carry`` names further columns to keep."""
     from .clean import require_fields, min_rating
-    from .extract import add_phase, add_type, add_frequency
+    from .extract import add_frequency, add_phase, add_type, enrich
     out = require_fields(df)
     if min_kva is not None:
         out = min_rating(out, min_kva)
     out = tag_source(out, K.SOURCE_REAL)
-    if "phase" not in out.columns:
-        out = add_phase(out)
-    if "type" not in out.columns:
-        out = add_type(out)
-    if "frequency_hz" not in out.columns:
-        out = add_frequency(out)
-    return project_model_columns(fill_defaults(out))
+    if not {"phase", "type", "frequency_hz"} & set(out.columns):
+        out = enrich(out)
+    else:
+        for name, add in (("phase", add_phase), ("type", add_type), ("frequency_hz", add_frequency)):
+            if name not in out.columns:
+                out = add(out)
+    return project_model_columns(fill_defaults(out), carry=carry)

@@ -7,9 +7,10 @@ global sort of the input is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .stats import category_counts
 
 
@@ -23,13 +24,22 @@ def top_categories(df: DataFrame, col: str, k: int = 5, min_count: int | None =
 
 
 def head_and_tail(df: DataFrame, metric: str, name: str, k: int = 15) -> DataFrame:
-    """The ``k`` highest and ``k`` lowest rows by ``metric`` with their side
-    and rank (a row may appear on both sides when there are fewer than 2k rows)."""
-    top = (df.orderBy(F.desc(metric), F.asc(name)).limit(k)
-             .withColumn("side", F.lit("top")))
-    bottom = (df.orderBy(F.asc(metric), F.asc(name)).limit(k)
-                .withColumn("side", F.lit("bottom")))
-    return top.unionByName(bottom)
+    """The ``k`` highest and ``k`` lowest rows by ``metric`` with their ``side``
+    and ``rank`` (1 = most extreme; a row may appear on both sides when there are fewer
+    than 2k rows).  Both sides read one written copy; ranks are set among k rows."""
+    df = materialize(df, "head_and_tail")
+    sides = []
+    for side, order in (("top", F.desc(metric)), ("bottom", F.asc(metric))):
+        ranked = F.row_number().over(Window.orderBy(order, F.asc(name)))
+        sides.append(df.orderBy(order, F.asc(name)).limit(k).withColumn("side", F.lit(side)).withColumn("rank", ranked))
+    return sides[0].unionByName(sides[1])
+
+
+def chart_set(df: DataFrame, metric: str, name: str, k: int = 10) -> DataFrame:
+    """T3, chart order: the ``k`` highest and ``k`` lowest rows, each side reversed (the most
+    extreme bar is drawn last); ``place`` is the bar's position."""
+    return head_and_tail(df, metric, name, k).withColumn(
+        "place", F.count("*").over(Window.partitionBy("side")) - F.col("rank") + 1)
 
 
 def sorted_by(df: DataFrame, cols: list, k: int | None = None) -> DataFrame:

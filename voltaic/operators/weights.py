@@ -7,7 +7,6 @@ one narrow stage at any table size.  Component constants come from
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,11 +119,3 @@ def weight_distribution(df: DataFrame, key: str = "spec_id", use_component_sum:
     return long.select(key, "r.component", "r.weight",
                        F.when(F.col("__tot") > 0, F.col("r.weight") / F.col("__tot") * 100)
                        .otherwise(F.lit(0.0)).alias("percentage"))
-
-
-def density_target_value(p: float) -> float:
-    """Scalar helper for tests."""
-    for bound, target in K.DENSITY_TARGETS:
-        if bound is None or p <= bound:
-            return target
-    return math.nan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import registry
 
-_MODULES = ["listing_queries", "spec_queries", "dataset_queries", "model_queries", "source_queries"]
+_MODULES = ["listing_queries", "spec_queries", "dataset_queries", "model_queries", "source_queries", "extra_queries"]
 
 
 def _load():

@@ -198,12 +198,7 @@ def market(spark, sf, with_keys: bool = True):
     df = clean.require_fields(cleaned(spark, sf))
     keys = df.select(*KEYS, "description", "unit_price_usd", "power_rating_kva", "primary_voltage_kv",
                      "secondary_voltage_kv")
-    out = prepare.prepare_market(keys)
-    if with_keys:
-        # carry the listing key beside the model columns
-        kd = prepare.fill_defaults(extract.enrich(prepare.tag_source(keys, K.SOURCE_REAL)))
-        return kd.select(*prepare.project_model_columns(kd).columns, *KEYS)
-    return out
+    return prepare.prepare_market(keys, carry=KEYS if with_keys else [])
 
 
 @query("prepare_model_table", MARKET + f"""

@@ -143,10 +143,6 @@ def family_a(spark, sf, kinds, params=None):
                                params=params)
 
 
-FAST_TREES = {"random_forest": {"n_estimators": 50, "max_depth": 10},
-              "gradient_boosting": {"n_estimators": 50, "learning_rate": 0.1, "max_depth": 3}}
-
-
 @query("model_linear_family")
 def model_linear_family(spark, sf):
     """M12 (linear part) + M10: linear, ridge, lasso on the labelled specs; metrics table."""
@@ -157,14 +153,14 @@ def model_linear_family(spark, sf):
 @query("model_rf")
 def model_rf(spark, sf):
     """M8e: random forest on the labelled specs; test metrics."""
-    _, met, _ = family_a(spark, sf, ["random_forest"], FAST_TREES)
+    _, met, _ = family_a(spark, sf, ["random_forest"])
     return met
 
 
 @query("model_gbt")
 def model_gbt(spark, sf):
     """M8f: gradient boosting on the labelled specs; test metrics."""
-    _, met, _ = family_a(spark, sf, ["gradient_boosting"], FAST_TREES)
+    _, met, _ = family_a(spark, sf, ["gradient_boosting"])
     return met
 
 
@@ -180,18 +176,18 @@ def model_grid(spark, sf):
 @query("model_importance")
 def model_importance(spark, sf):
     """Random-forest importances with feature names, sorted."""
-    ms, _, names = family_a(spark, sf, ["random_forest"], FAST_TREES)
+    ms, _, names = family_a(spark, sf, ["random_forest"])
     return models.feature_importance(ms["random_forest"], names)
 
 
 @query("model_family_b")
 def model_family_b(spark, sf):
-    """Log-target models on the market table; metrics in dollars."""
+    """All log-target models on the market table; metrics in dollars, ranked."""
     df = LQ.market(spark, sf)
     _, met, _ = models.train_family(df, "l_orderkey", "unit_price_usd", models.FAMILY_B_FEATURES,
-                                    ["linear", "ridge", "random_forest"], log_target=True,
-                                    params={"ridge": {"alpha": 1.0}, **FAST_TREES})
-    return met
+                                    ["linear", "ridge", "random_forest", "gradient_boosting"], log_target=True,
+                                    params={"ridge": {"alpha": 1.0}})
+    return models.rank_models(met)
 
 
 @query("model_scoring")
@@ -207,10 +203,10 @@ def model_scoring(spark, sf):
 
 @query("model_comparison")
 def model_comparison(spark, sf):
-    """M15 + A13: every model's price per spec in long form, plus the ensemble mean."""
-    ms, _, _ = family_a(spark, sf, ["linear", "ridge", "random_forest"], {"ridge": {"alpha": 1.0}, **FAST_TREES})
+    """M15 + A13: every model's price per spec in long form, with the ensemble mean."""
+    ms, _, _ = family_a(spark, sf, ["linear", "ridge", "random_forest", "gradient_boosting"], {"ridge": {"alpha": 1.0}})
     long = models.compare_models(ms, DQ.gen_specs(spark, sf), "spec_id")
-    return stats.ensemble_mean(long)
+    return long.join(stats.ensemble_mean(long), "spec_id")
 
 
 @query("model_residuals")
@@ -236,3 +232,154 @@ def model_registry(spark, sf):
     best = stats.best_by(reg, "model", "r2").first()["best"]
     return (looked.withColumn("is_best", F.col("model") == F.lit(best))
                   .withColumn("reloaded_rows", F.lit(n_scored)))
+
+
+# --- one-feature twins of training, scoring and comparison, with closed forms in SQL ---------------------
+
+@query("model_split_exact", SPEC + f"""
+, u as (select spec_id, {R.sql_uniform("spec_id", 1000 + K.SPLIT_SEED)} as u from specs),
+k as (select spec_id, row_number() over (order by u, spec_id) <= ceil({K.TEST_FRACTION} * (select count(*) from u)) as is_test from u)
+select spec_id, is_test from k""")
+def model_split_exact(spark, sf):
+    """M1: split with exactly ceil(.2 n) test rows."""
+    return FE.split_exact(B.specs(spark, sf).select("spec_id"), "spec_id")
+
+
+def _pair(spark, sf):
+    """(data, {linear, ridge}) fitted on the training rows with the rating alone, through the
+    library's own preprocessing."""
+    data = B.specs(spark, sf).select("spec_id", "power_rating", F.col("quoted_price").alias("price"))
+    ms, met, _ = models.train_family(data, "spec_id", "price", ["power_rating"], ["linear", "ridge"], params={"ridge": {"alpha": 500.0}})
+    return data, ms, met
+
+
+_PAIR = f""", t as (select spec_id, power_rating as x, quoted_price as y, {_TEST} as is_test from specs),
+m as (select avg(x) as mx, avg(y) as my, count(*) as n, stddev_pop(x) as sx from t where not is_test),
+q as (select sum((x - mx) / sx * (y - my)) as szy, max(n) as n, max(mx) as mx, max(my) as my, max(sx) as sx from t, m where not is_test),
+p as (select spec_id, y, is_test, my + szy / n * (x - mx) / sx as lin, my + szy / (n + 500.0) * (x - mx) / sx as rid from t, q)
+"""
+
+
+@query("model_scores_long", SPEC + _PAIR + f"""
+select spec_id, model, {r('price', 'predicted_price', 2)}, 2 as n_warnings, cast(null as varchar) as message from (
+  select spec_id, 'linear' as model, lin as price from p union all select spec_id, 'ridge', rid from p) u
+union all select spec_id, 'tree', null, 0, 'failed' from p""")
+def model_scores_long(spark, sf):
+    """Every model's price per spec in one scan; a model that lacks its input reports why."""
+    data, ms, _ = _pair(spark, sf)
+    other = models.train_model(data.withColumn("age", F.col("power_rating") * 2), "linear", "price", ["age"])[0]
+    long = models.compare_models({**ms, "tree": other}, data.drop("price"), "spec_id")
+    return long.select("spec_id", "model", round_half_up(F.col("predicted_price"), 2).alias("predicted_price"), "n_warnings",
+                       F.when(F.col("message").startswith("Prediction failed:"), "failed").alias("message"))
+
+
+@query("model_ensemble", SPEC + _PAIR + f"""
+select spec_id, {r('(lin + rid) / 2', 'ensemble_price', 2)}, 2 as n_models from p""")
+def model_ensemble(spark, sf):
+    """Mean price over the models."""
+    data, ms, _ = _pair(spark, sf)
+    out = stats.ensemble_mean(models.compare_models(ms, data, "spec_id"))
+    return out.select("spec_id", round_half_up(F.col("ensemble_price"), 2).alias("ensemble_price"), F.col("n_models").cast("int").alias("n_models"))
+
+
+@query("model_residuals1", SPEC + _PAIR + f"""
+, b as (select least(min(y), min(lin)) as lo, greatest(max(y), max(lin)) as hi from p where is_test)
+select {r('y', 'actual', 2)}, {r('lin', 'predicted', 2)}, {r('y - lin', 'residual', 2)}, {r('lo', 'line_min', 2)}, {r('hi', 'line_max', 2)}
+from p, b where is_test""")
+def model_residuals1(spark, sf):
+    """M17 on the test rows of the one-feature model."""
+    data, ms, _ = _pair(spark, sf)
+    test = FE.split_flag(data, "spec_id").where("is_test")
+    out = models.residuals(ms["linear"].transform(test), "price")
+    return out.select(*[round_half_up(F.col(c), 2).alias(c) for c in ["actual", "predicted", "residual", "line_min", "line_max"]])
+
+
+def _metrics_sql(col: str) -> str:
+    return (f"select '{{0}}' as model, count(*) as n, {r(f'sqrt(avg((y - {col}) * (y - {col})))', 'rmse', 2)}, "
+            f"{r(f'avg(abs(y - {col}))', 'mae', 2)}, {r(f'1 - sum((y - {col}) * (y - {col})) / (count(*) * var_pop(y))', 'r2', 5)} from p where is_test")
+
+
+@query("model_registry1", SPEC + _PAIR + f"""
+, met as ({_metrics_sql('lin').format('linear')} union all {_metrics_sql('rid').format('ridge')})
+select w.model, coalesce(rmse, {K.DEFAULT_METRICS['rmse']}) as rmse, coalesce(mae, {K.DEFAULT_METRICS['mae']}) as mae,
+  coalesce(r2, {K.DEFAULT_METRICS['r2']}) as r2, met.model is null as is_default,
+  w.model = (select model from met order by r2 desc, model limit 1) as is_best, (select count(*) from p) as reloaded_rows
+from (values ('linear'), ('ridge'), ('random_forest')) w(model) left join met on met.model = w.model""")
+def model_registry1(spark, sf):
+    """Save, reload and score; metrics looked up with defaults; the best model."""
+    data, ms, met = _pair(spark, sf)
+    met = met.select("model", round_half_up(F.col("rmse"), 2).alias("rmse"), round_half_up(F.col("mae"), 2).alias("mae"),
+                     round_half_up(F.col("r2"), 5).alias("r2"), "mape")
+    reg = models.save_models(ms, met, scratch_path(spark, f"models1_{os.getpid()}"), "one_feature")
+    scored = models.load_model(reg.where(F.col("model") == "ridge").first()["path"]).transform(data).where("prediction is not null").count()
+    requested = spark.createDataFrame([("linear",), ("ridge",), ("random_forest",)], "model string")
+    looked = materials.metrics_with_defaults(requested, reg.select("model", "r2", "mae", "rmse", "mape"))
+    best = stats.best_by(reg, "model", "r2").first()["best"]
+    return looked.select("model", "rmse", "mae", "r2", "is_default", (F.col("model") == best).alias("is_best"), F.lit(scored).cast("long").alias("reloaded_rows"))
+
+
+_FOLD = f"cast(floor({R.sql_uniform('spec_id', 2000 + K.SPLIT_SEED)} * 5) as integer)"
+
+
+@query("model_grid1", SPEC + f"""
+, m0 as (select avg(power_rating) as mx, stddev_pop(power_rating) as sx from specs),
+t as (select (power_rating - mx) / sx as z, quoted_price as y, {_FOLD} as fold from specs, m0),
+a as (select unnest({list(map(float, K.RIDGE_ALPHAS))}) as alpha),
+f as (select unnest(range(5)) as fold),
+w as (select stddev_pop(quoted_price) as sall, count(*) as nall from specs),
+s as (select f.fold, avg(z) as mz, avg(y) as my, count(*) as n, stddev_pop(y) as sy from t join f on t.fold <> f.fold group by f.fold),
+c as (select s.fold, sum((z - mz) * (z - mz)) as szz, sum((z - mz) * (y - my)) as szy from t join s on t.fold <> s.fold group by s.fold),
+g as (select alpha, s.fold, mz, my, szy / (szz + alpha * (sall / sy) * (n / nall)) as b from a, s join c on s.fold = c.fold, w),
+e as (select alpha, g.fold, 1 - sum((y - my - b * (z - mz)) * (y - my - b * (z - mz))) / (count(*) * var_pop(y)) as r2 from g join t on t.fold = g.fold group by alpha, g.fold)
+select alpha, {r('avg(r2)', 'cv_r2', 6)} from e group by alpha""")
+def model_grid1(spark, sf):
+    """M9: 5-fold ridge search with the rating alone; mean R^2 per alpha."""
+    df = B.specs(spark, sf).select("spec_id", "power_rating", F.col("quoted_price").alias("label"))
+    _, _, avg = models.grid_search(df, "ridge", "label", ["power_rating"], "spec_id")
+    out = spark.createDataFrame([(float(a), float(m)) for a, m in zip(K.RIDGE_ALPHAS, avg)], "alpha double, cv_r2 double")
+    return out.select("alpha", round_half_up(F.col("cv_r2"), 6).alias("cv_r2"))
+
+
+_STUMP = SPEC + f"""
+, w as (select spec_id, primary_voltage, quoted_price * (1 + primary_voltage / 50) as quoted_price from specs),
+v as (select distinct primary_voltage as v from w),
+c as (select v, (select max(v) from v) as vmax from v),
+s as (select c.v, sum(case when primary_voltage <= c.v then 1 end) as nl, avg(case when primary_voltage <= c.v then quoted_price end) as yl,
+  sum(case when primary_voltage > c.v then 1 end) as nr, avg(case when primary_voltage > c.v then quoted_price end) as yr
+  from w, c where c.v < c.vmax group by c.v),
+b as (select * from s order by nl * 1.0 * nr / (nl + nr) * (yl - yr) * (yl - yr) desc limit 1)
+select spec_id, {r('case when primary_voltage <= v then yl else yr end', 'price', 2)} from w, b"""
+
+
+def _stump(spark, sf, kind, **params):
+    df = B.specs(spark, sf).select("spec_id", "primary_voltage",
+                                    (F.col("quoted_price") * (1 + F.col("primary_voltage") / 50)).alias("price"))
+    m, _ = models.train_model(df, kind, "price", ["primary_voltage"], n_estimators=1, max_depth=1, **params)
+    return models.score(m, df.drop("price")).select("spec_id", round_half_up(F.col("predicted_price"), 2).alias("price"))
+
+
+@query("model_rf_stump", _STUMP)
+def model_rf_stump(spark, sf):
+    """M8e: a forest of one tree of depth one equals the best split by search."""
+    return _stump(spark, sf, "random_forest", bootstrap=False)
+
+
+@query("model_gbt_stump", _STUMP)
+def model_gbt_stump(spark, sf):
+    """M8f: one boosting step of depth one equals the best split by search."""
+    return _stump(spark, sf, "gradient_boosting")
+
+
+@query("model_grid_kinds")
+def model_grid_kinds(spark, sf):
+    """M9 for the other kinds: the lasso's alphas, and two points each of the tree grids (a grid
+    is an argument; the full ones are ``constants.RF_GRID`` and ``GB_GRID``)."""
+    df = DQ.gen_specs(spark, sf).withColumn("label", F.col("price").cast("double"))
+    grids = {"lasso": None,
+             "random_forest": {"n_estimators": [20], "max_depth": [5, 10], "min_samples_leaf": [1]},
+             "gradient_boosting": {"n_estimators": [20], "learning_rate": [0.05, 0.1], "max_depth": [3], "subsample": [1.0]}}
+    rows = []
+    for kind, grid in grids.items():
+        _, _, avg = models.grid_search(df, kind, "label", models.FAMILY_A_FEATURES, "spec_id", grid)
+        rows += [(kind, i, float(m)) for i, m in enumerate(avg)]
+    return spark.createDataFrame(rows, "kind string, point int, cv_r2 double")

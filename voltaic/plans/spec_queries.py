@@ -232,10 +232,8 @@ select spec_id, {r('material_cost', 'material_cost')}, {r('predicted_price', 'pr
 from t""")
 def price_composition(spark, sf):
     """Q8 on the rule price and the material cost of each spec."""
-    w = weighted(spark, sf)
-    cost = materials.material_cost_total(w, B.price_book(spark))
-    priced = pricing.rule_price(w, "power_rating", "primary_voltage", "secondary_voltage",
-                                out="predicted_price").join(cost, "spec_id")
+    costed = materials.spec_costs_wide(weighted(spark, sf), B.price_book(spark))  # the cost stays in the spec's row
+    priced = pricing.rule_price(costed, "power_rating", "primary_voltage", "secondary_voltage", out="predicted_price")
     return pricing.price_composition(priced).select("spec_id", "material_cost", "predicted_price", "lop_pct",
                                                     "lop_amount", "final_price")
 

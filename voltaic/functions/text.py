@@ -115,30 +115,35 @@ def rating_kva(c, cased: bool = False) -> Column:
     return F.coalesce(*hits)
 
 
-def _loose_rating_raw(t: Column):
-    kva = [(p, 1.0) for p in K.KVA_PATTERNS_LOOSE] + [(p, 1000.0) for p in K.MVA_PATTERNS_LOOSE]
-    return kva
+# lower-cased text that the loose patterns cannot match without, in their order
+_LOOSE_GUARDS = ["kva", "k", "kilo", "kilo", "mva", "m", "mega", "mega"]
+
+
+def loose_rating_token(c, cased: bool = False) -> Column:
+    """``<number text>|<scale>`` of the first pattern that hits, else null.  Each pattern
+    is tried once, and only where its letters occur."""
+    t = _col(c) if cased else F.lower(_col(c))
+    patterns = [(p, "1") for p in K.KVA_PATTERNS_LOOSE] + [(p, "1000") for p in K.MVA_PATTERNS_LOOSE]
+    return F.coalesce(*[_guarded(t, [g], F.concat(F.try_element_at(F.regexp_extract_all(t, F.lit(p), 1), F.lit(1)), F.lit("|" + scale)))
+                        for (p, scale), g in zip(patterns, _LOOSE_GUARDS)])
+
+
+def loose_rating_of(token: Column) -> Column:
+    """The rating of a token; null if its number does not parse."""
+    return _try_double(F.replace(F.split_part(token, F.lit("|"), F.lit(1)), F.lit(","), F.lit(""))) * \
+        F.split_part(token, F.lit("|"), F.lit(2)).cast("double")
 
 
 def rating_kva_loose(c, cased: bool = False) -> Column:
     """Scraper variant (lower-cased, commas allowed). The first pattern that
     hits decides; its number must parse, else null (see ``rating_kva_loose_bad``)."""
-    t = _col(c) if cased else F.lower(_col(c))
-    expr = None
-    for p, scale in reversed(_loose_rating_raw(t)):
-        val = _try_double(F.regexp_replace(F.regexp_extract(t, p, 1), ",", "")) * F.lit(scale)
-        expr = F.when(t.rlike(p), val) if expr is None else F.when(t.rlike(p), val).otherwise(expr)
-    return expr
+    return loose_rating_of(loose_rating_token(c, cased))
 
 
 def rating_kva_loose_bad(c, cased: bool = False) -> Column:
     """True when the deciding X3 pattern hit a number that does not parse."""
-    t = _col(c) if cased else F.lower(_col(c))
-    expr = F.lit(False)
-    for p, _ in reversed(_loose_rating_raw(t)):
-        bad = _try_double(F.regexp_replace(F.regexp_extract(t, p, 1), ",", "")).isNull()
-        expr = F.when(t.rlike(p), bad).otherwise(expr)
-    return expr
+    token = loose_rating_token(c, cased)
+    return token.isNotNull() & loose_rating_of(token).isNull()
 
 
 def rating_kva_int(c) -> Column:

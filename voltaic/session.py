@@ -74,15 +74,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _INTERMEDIATE: list[str] = []
 
 
+def intermediate_path(spark: SparkSession, prefix: str) -> str:
+    """A fresh scratch path that release_intermediates() deletes."""
+    path = scratch_path(spark, f"{prefix}_{uuid.uuid4().hex[:16]}")
+    _INTERMEDIATE.append(path)
+    return path
+
+
 def materialize(df, prefix: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it
     back: cuts the lineage, runs the upstream plan exactly once (unlike
     ``Dataset.checkpoint``, which computes it for the count and again for the
     write) and keeps a columnar copy that later passes prune and filter."""
     spark = df.sparkSession
-    path = scratch_path(spark, f"{prefix}_{uuid.uuid4().hex[:16]}")
+    path = intermediate_path(spark, prefix)
     df.write.mode("overwrite").parquet(path)
-    _INTERMEDIATE.append(path)
     return spark.read.parquet(path)
 
 

@@ -56,16 +56,17 @@ def scan_listings(pages: DataFrame, url: str = "url", html: str = "html", scrape
     out = X.compute_once(out, {"__lo": F.lower(F.col("description"))})
     out = out.where(X.is_equipment_loose(F.col("__lo"), cased=True))
     qty_raw, price_raw = F.col("quantity_text"), F.regexp_replace(F.col("price_text"), r"[^\d.,]", "")
+    out = X.compute_once(out, {"__token": X.loose_rating_token(F.col("__lo"), cased=True)})
     out = X.compute_once(out, {
-        "__bad": X.first_number_is_bad(qty_raw) | X.first_number_is_bad(price_raw)
-                 | X.rating_kva_loose_bad(F.col("__lo"), cased=True),
         "destination": X.destination_from_url(F.col(url)),
         "quantity": X.first_number(qty_raw),
         "unit_price_usd": X.first_number(price_raw),
-        "power_rating_kva": X.rating_kva_loose(F.col("__lo"), cased=True),
+        "power_rating_kva": X.loose_rating_of(F.col("__token")),
         "source_url": F.col(url),
+        "__number": X.first_number_is_bad(qty_raw) | X.first_number_is_bad(price_raw),
     })
-    out = out.where(~F.col("__bad")).drop("quantity_text", "price_text", "__lo", "__bad")
+    out = out.withColumn("__bad", F.col("__number") | (F.col("__token").isNotNull() & F.col("power_rating_kva").isNull()))
+    out = out.where(~F.col("__bad")).drop("quantity_text", "price_text", "__lo", "__token", "__number", "__bad")
     if scrape_date is not None:
         out = out.withColumn("scrape_date", F.to_date(F.lit(scrape_date)))
     return out

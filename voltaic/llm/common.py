@@ -34,12 +34,13 @@ def row_key(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k1": F.coalesce(doc_id, F.lit(0)), "k2": F.xxhash64("text", doc_id.isNull(), F.col("text").isNull())})
 
 
-def worker_state(name: str, make: Callable):
-    """An object a reused Python worker keeps from task to task (vocabularies, caches)."""
+def worker_state(name: str, make: Callable, version=None):
+    """An object a reused Python worker keeps from task to task (vocabularies, caches): one
+    for each name, made anew when the version changes."""
     store = builtins.__dict__.setdefault("_voltaic_worker_state", {})
-    if name not in store:
-        store[name] = make()
-    return store[name]
+    if name not in store or store[name][0] != version:
+        store[name] = (version, make())
+    return store[name][1]
 
 
 def row_slices(batches: Iterator[pa.RecordBatch], max_rows: int = 1024) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltaic.session import scratch_path
+from voltaic.session import intermediate_path
 
 from .common import doc_texts
 
@@ -103,7 +103,7 @@ def repeated_lines(docs: DataFrame, keys_path: str, min_chars: int, min_docs: in
     gathered by batches of documents, last ids first, through the levelled runs.
     ``keys_path`` receives the distinct keys of each document."""
     spark = docs.sparkSession
-    store = LineRuns(spark, scratch_path(spark, f"line_runs_{uuid.uuid4().hex[:16]}"), fanout)
+    store = LineRuns(spark, intermediate_path(spark, "line_runs"), fanout)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(batches - 1, 0, -1)])).first()[0] or []
     batch = F.lit(len(cuts))
     for i, cut in reversed(list(enumerate(cuts))):
@@ -124,7 +124,7 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, b
     the largest ``doc_id`` that holds them."""
     spark = docs.sparkSession
     texts = doc_texts(docs)
-    keys_path = scratch_path(spark, f"line_keys_{uuid.uuid4().hex[:16]}")
+    keys_path = intermediate_path(spark, "line_keys")
     repeated = repeated_lines(texts, keys_path, min_chars, min_docs, batches, fanout)
     keys = spark.read.schema("k1 long, k2 long, doc_id long, batch int").parquet(keys_path).drop("batch")
     drops = (keys.join(repeated, ["k1", "k2"])

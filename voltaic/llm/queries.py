@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltaic.session import scratch_path
+from voltaic.session import intermediate_path
 
 from . import byte_bpe, decontam, langid, licences, line_dedup, quality, simhash, suffix_dedup, token_orc, url_rules
 from .common import read_table
@@ -31,7 +30,7 @@ def bpe_pattern() -> str:
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, f"token_orc_{uuid.uuid4().hex[:16]}")
+    path = intermediate_path(spark, "token_orc")
     token_orc.write_tokens(read_table(spark, sf_dir, "documents"), path, vocabulary(WORD_BPE))
     return token_orc.token_digests(spark, path)
 

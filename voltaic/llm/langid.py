@@ -102,10 +102,13 @@ def training_sample(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, max_ch
     the text among those of at most ``max_chars`` characters."""
     rows = (labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
             .where("text is not null and lang is not null").where(F.char_length("text") <= max_chars))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    # a share of the rows by hash, twice as many as needed, then the first by hash: the window meets few rows
-    drawn = (rows.withColumn("h", F.xxhash64("text")).join(sizes, "lang")
-             .where(F.pmod("h", F.lit(1 << 40)) < (F.lit(2 * per_lang + 200) / F.col("n") * (1 << 40))))
+    # a share of each language by hash, twice as many rows as needed, so that few texts move;
+    # one count per language goes to the driver, where the model keeps centroids for each
+    share = {r["lang"]: min(1.0, (2 * per_lang + 200) / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not share:
+        return rows
+    limits = F.create_map(*[F.lit(x) for lang, p in share.items() for x in (lang, int(p * (1 << 40)))])
+    drawn = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 40)) < limits[F.col("lang")])
     first = Window.partitionBy("lang").orderBy("h", "text")
     return drawn.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("text", "lang")
 

@@ -6,11 +6,13 @@ every fingerprint emits its ball of variants, one shuffle brings equal variants
 together, and each member is linked to the least of its bucket: a star of true links,
 never all pairs.  A bucket holds at most as many fingerprints as a ball has variants.
 
-The balls are large (2,081 variants for 4 bits), so the same idea first runs on the two
-32-bit halves: of two fingerprints within ``max_bits`` bits, one half differs in at most
-``max_bits // 2``, hence both halves emit a small ball (33 variants each for 4 bits).
-Fingerprints that meet no other there have no neighbour and are spared the full ball.
-No link is lost.
+The balls are large (2,081 variants for 4 bits), so the same idea first runs with one of
+three blocks of bits left out.  Of ``max_bits`` differing bits, the block that holds most
+has at least a third, so the other two blocks (42 or 43 bits) differ in at most two thirds,
+and a ball of half of that radius around them (44 variants for 4 bits, three times) meets.
+Fingerprints that meet no other there have no neighbour and are spared the full ball; no
+link is lost.  Unrelated fingerprints rarely meet on 42 bits, so the full balls stay a share
+of the near duplicates, not of the table.
 
 Results for odd input: a null or blank text has fingerprint 0 and is linked like any
 other; equal rows share fingerprint and component; a null ``doc_id`` is kept and never
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltaic.session import materialize
+from voltaic.session import materialize, min_partitions
 
 from .common import connected_components, doc_bytes, row_key, row_slices
 
@@ -71,54 +73,79 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4) -> DataFrame:
 def ball_masks(bits: int, radius: int) -> list[int]:
     """Every mask of at most ``radius`` set bits, as signed 64-bit numbers."""
     masks = [sum(1 << b for b in chosen) for r in range(radius + 1) for chosen in itertools.combinations(range(bits), r)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [_signed(m) for m in masks]
 
 
 def _literal(masks: list[int]):
     return F.from_json(F.lit("[" + ",".join(map(str, masks)) + "]"), "array<bigint>")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+#: First bits of the three blocks, and the end.
+BLOCKS = (0, 21, 42, 64)
+
+
+def with_neighbours(fps: DataFrame, max_bits: int) -> DataFrame:
+    """The distinct fingerprints that may have another within ``max_bits`` bits."""
+    rest = max_bits - -(-max_bits // 3)
+    keys = []
+
+    def ball(b: int, centre, masks: list[int]):
+        return F.transform(_literal(masks), lambda m: F.struct(F.lit(b).alias("b"), centre.bitwiseXOR(m).alias("key")))
+
+    for b, (lo, hi) in enumerate(zip(BLOCKS, BLOCKS[1:])):
+        out = ((1 << hi) - 1) ^ ((1 << lo) - 1)
+        bits = [i for i in range(64) if not lo <= i < hi]
+        masks = [_signed(sum(1 << i for i in chosen)) for r in range((rest + 1) // 2 + 1) for chosen in itertools.combinations(bits, r)]
+        keys.append(ball(b, F.col("fp").bitwiseAND(F.lit(_signed(~out & (1 << 64) - 1))), masks))
+    by_key = Window.partitionBy("key", "b").orderBy("fp")
+    met = (fps.select("fp", F.explode(F.concat(*keys)).alias("k")).select("fp", "k.b", "k.key")
+           .select("fp", F.lag("fp").over(by_key).alias("before"), F.lead("fp").over(by_key).alias("after")))
+    return met.where("before is not null or after is not null").select("fp").distinct()
+
+
 def links(fps: DataFrame, max_bits: int) -> DataFrame:
     """Pairs (``u``, ``v``) of distinct fingerprints within ``max_bits`` bits whose
     connected components are those of all such pairs."""
-    half = (max_bits // 2 + 1) // 2
-    masks = _literal(ball_masks(32, half))
-    low = F.transform(masks, lambda m: F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(m))
-    high = F.transform(masks, lambda m: F.shiftrightunsigned("fp", 32).bitwiseXOR(m).bitwiseOR(F.lit(1 << 32)))
-    by_key = Window.partitionBy("key").orderBy("fp")
-    met = (fps.select("fp", F.explode(F.concat(low, high)).alias("key"))
-           .select("fp", F.lag("fp").over(by_key).alias("before"), F.lead("fp").over(by_key).alias("after"))
-           .where("before is not null or after is not null").select("fp").distinct())
     ball = _literal(ball_masks(64, (max_bits + 1) // 2))
     by_variant = Window.partitionBy("variant").orderBy("fp")
+    # few bytes, but each row becomes a ball: dealt out to all tasks
+    met = with_neighbours(fps, max_bits).repartition(min_partitions(fps.sparkSession), "fp")
     return (met.select("fp", F.explode(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
             .select(F.first("fp").over(by_variant).alias("u"), F.col("fp").alias("v"))
             .where("u <> v").distinct()
             .where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits))
 
 
-def clusters(docs: DataFrame, shingle_words: int, max_bits: int) -> DataFrame:
-    """The fingerprints with ``root``, the least fingerprint of their component."""
+def clusters(docs: DataFrame, shingle_words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all documents, and (``fp``, ``root``, ``first_id``) of the distinct ones:
+    the least fingerprint of their component and their least ``doc_id``."""
     fps = materialize(fingerprints(docs, shingle_words), "simhash_fp")
-    distinct = materialize(fps.select("fp").distinct(), "simhash_distinct")
-    roots = connected_components(links(distinct, max_bits), "simhash_edges")
-    return fps.join(roots, fps.fp == roots.node, "left").select("doc_id", "k1", "k2", "fp", F.coalesce("root", "fp").alias("root"))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash_distinct")
+    roots = connected_components(links(distinct.select("fp"), max_bits), "simhash_edges")
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
+    return fps, materialize(rooted, "simhash_roots")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``
     (least ``doc_id`` reachable over links of at most ``max_bits`` differing bits)."""
-    members = materialize(clusters(docs, shingle_words, max_bits), "simhash_members")
-    least = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return members.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps, rooted = clusters(docs, shingle_words, max_bits)
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_fp = rooted.join(least, "root").select("fp", "component_id")
+    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs``, all their columns, of one document per component: the least
     ``doc_id`` (nulls last)."""
-    first = (clusters(docs, shingle_words, max_bits).groupBy("root")
-             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")).alias("first"))
-             .select("first.k1", "first.k2"))
+    fps, rooted = clusters(docs, shingle_words, max_bits)
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2"))
+    first = (fps.groupBy("fp").agg(order.alias("o")).join(rooted, "fp").groupBy("root").agg(F.min("o").alias("o"))
+             .select("o.k1", "o.k2"))
     rows = row_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
                                F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")))
     kept = rows.drop("doc_id", "text").join(first, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])

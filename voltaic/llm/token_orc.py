@@ -27,7 +27,7 @@ from voltaic.session import min_partitions
 from .common import doc_bytes, row_slices, worker_state
 
 #: Chunks of text between white space that a worker keeps encoded.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 800_000
 #: Longer chunks (bytes) are encoded anew each time.
 LONG_CHUNK = 96
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
@@ -47,23 +47,34 @@ class _Chunks:
         self.known: dict[bytes, bytes] = {}
         self.limit = limit
 
+    def _fresh(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk: many chunks are encoded as one text, blanks between them, and
+        its ids are dealt back by their offsets."""
+        out = []
+        for at in range(0, len(chunks), 512):
+            some = chunks[at:at + 512]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(c) + 1 for c in some])
+            cuts = 4 * np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts)
+            ids = np.array(e.ids, dtype="<i4").tobytes()
+            out += [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return out
+
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [t.lower().replace(b"\n", b" ").split(b" ") if t else [] for t in texts]
         known = self.known
         missing = list({c for chunks in split for c in chunks if c not in known})
-        fresh = {}
-        for at in range(0, len(missing), 4096):
-            some = missing[at:at + 4096]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)):
-                fresh[chunk] = np.array(e.ids, dtype="<i4").tobytes()
-        if len(known) + len(fresh) > self.limit:
+        if len(known) + len(missing) > self.limit:
             kept = {c: known[c] for chunks in split for c in chunks if c in known}
             known.clear()
             known.update(kept)
-        known.update((c, i) for c, i in fresh.items() if len(c) <= LONG_CHUNK)
-        get = {**known, **fresh}.__getitem__ if len(fresh) and any(len(c) > LONG_CHUNK for c in fresh) else known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+        known.update(zip(missing, self._fresh([c.decode() for c in missing])))
+        ids = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+        for c in missing:
+            if len(c) > LONG_CHUNK:
+                del known[c]
+        return ids
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, partitions: int | None = None,

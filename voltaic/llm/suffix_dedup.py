@@ -216,8 +216,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def segment_table(docs: DataFrame, length: int) -> DataFrame:
-    """(``h``, ``seg``, ``k1``, ``k2``, ``start``, ``size``) of all segments of keyed documents."""
-    names = ["h", "seg", "k1", "k2", "start", "size"]
+    """(``h``, ``seg``, ``k1``, ``k2``, ``starts``, ``size``) of all segments of keyed documents;
+    a text that repeats a segment (periodic text) has one row with all its starts."""
+    names = ["h", "seg", "k1", "k2", "starts", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in row_slices(batches):
@@ -225,35 +226,47 @@ def segment_table(docs: DataFrame, length: int) -> DataFrame:
             for at, some in _chunks(texts):
                 parts = _long_segments(some[0], length) if len(some) == 1 else [segments(some, length)]
                 for text, h, seg, start, size in parts:
-                    row = pa.array(text + at)
+                    order = np.lexsort((start, seg, h, text))
+                    text, h, seg, start, size = text[order], h[order], seg[order], start[order], size[order]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])
+                    first = np.flatnonzero(new)
+                    row = pa.array(text[first] + at)
+                    starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(h)), pa.int32()), pa.array(start, pa.int32()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h), pa.array(seg), batch.column(2).take(row), batch.column(3).take(row),
-                         pa.array(start, pa.int32()), pa.array(size, pa.int32())], names)
-    return docs.mapInArrow(run, "h long, seg long, k1 long, k2 long, start int, size int")
+                        [pa.array(h[first]), pa.array(seg[first]), batch.column(2).take(row), batch.column(3).take(row),
+                         starts, pa.array(size[first], pa.int32())], names)
+    return docs.mapInArrow(run, "h long, seg long, k1 long, k2 long, starts array<int>, size int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, max_distinct: int = MAX_DISTINCT) -> DataFrame:
-    """(``k1``, ``k2``, ``lo``, ``hi``): byte spans of keyed documents to remove; they may overlap."""
-    by_anchor, by_segment = Window.partitionBy("h"), Window.partitionBy("h", "seg")
-    met = (segment_table(docs, length)
-           .withColumn("copies", F.count("*").over(by_segment))
-           .withColumn("nth", F.row_number().over(by_segment.orderBy("k1", "k2", "start")))
-           .withColumn("met", F.count("*").over(by_anchor))
-           .withColumn("different", F.sum((F.col("nth") == 1).cast("long")).over(by_anchor))
-           .where("met > 1"))
-    met = materialize(met, "suffix_segments")
-    copied = met.where("copies > 1").select("k1", "k2", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-
-    wanted = (met.where("nth = 1 and different > 1").groupBy("k1", "k2")
-              .agg(F.collect_list(F.struct("h", "copies", "start", "size", (F.col("different") > max_distinct).alias("hot"))).alias("want")))
+    """(``k1``, ``k2``, ``lo``, ``hi``): byte spans of keyed documents to remove; they may overlap.
+
+    Equal segments are counted before they meet (partial aggregation), so a segment that a
+    third of all documents hold is one row per task; its documents find its count by a join,
+    whose large keys are split at run time."""
+    rows = segment_table(docs, length)
+    by_anchor = Window.partitionBy("h")
+    met = (rows.groupBy("h", "seg").agg(F.sum(F.size("starts")).alias("copies"))
+           .withColumn("met", F.sum("copies").over(by_anchor)).withColumn("different", F.count("*").over(by_anchor))
+           .where("met > 1").select("h", "seg", "copies", "different"))
+    met = materialize(met, "suffix_anchors")
+    placed = materialize(rows.join(met, ["h", "seg"]), "suffix_segments")
+    copied = placed.where("copies > 1").select("k1", "k2", F.explode("starts").alias("lo"), "size").select(
+        "k1", "k2", "lo", (F.col("lo") + F.col("size")).alias("hi"))
+
+    # of each distinct segment of an anchor that has several, one document lends the bytes
+    lent = (placed.where("different > 1").groupBy("h", "seg")
+            .agg(F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"), "size", "copies", (F.col("different") > max_distinct).alias("hot"))).alias("r")))
+    wanted = lent.select("h", "r.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "copies", "start", "size", "hot")).alias("want"))
     sliced = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "want").mapInArrow(
         _slices, "h long, copies long, k1 long, k2 long, start int, hot boolean, bytes binary")
     sliced = materialize(sliced, "suffix_pieces")
     merged = (sliced.where(~F.col("hot")).drop("hot").repartition("h").sortWithinPartitions("h")
               .mapInArrow(_merge_pieces(length), "k1 long, k2 long, lo int, hi int"))
     strings = sliced.where("hot").mapInArrow(_string_hashes(length), "w1 long, w2 long, copies long, k1 long, k2 long, lo int")
-    hot = (strings.withColumn("times", F.sum("copies").over(Window.partitionBy("w1", "w2"))).where("times > 1 and copies = 1")
-           .select("k1", "k2", "lo", (F.col("lo") + length).alias("hi")))
+    often = strings.groupBy("w1", "w2").agg(F.sum("copies").alias("times")).where("times > 1").select("w1", "w2")
+    hot = strings.where("copies = 1").join(often, ["w1", "w2"]).select("k1", "k2", "lo", (F.col("lo") + length).alias("hi"))
     return copied.unionByName(merged).unionByName(hot)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import doc_texts, row_slices, worker_state
 
 #: Distinct words a worker keeps encoded; beyond it the cache starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 #: Longer chunks (characters) are encoded anew each time, so the cache stays small.
 LONG_CHUNK = 64
 #: Longer words (bytes) go through a heap instead of repeated scans (same merges, same ids).
@@ -146,7 +146,7 @@ def encode_text(text: str | None, cache: _Cache) -> bytes:
 def encode(docs: DataFrame, rank_file: str, pattern: str, cache_words: int = CACHE_WORDS) -> DataFrame:
     """(``doc_id``, ``ids`` binary) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(rank_file))
-    name = f"byte_bpe:{rank_file}:{pattern}:{cache_words}"
+    name = f"byte_bpe:words:{rank_file}:{pattern}:{cache_words}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_state(name, lambda: _Cache(shared.value, pattern, cache_words))
@@ -161,7 +161,7 @@ def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = worker_state(f"byte_bpe_pieces:{rank_file}", lambda: {i: p for p, i in shared.value.items()})
+        pieces = worker_state(f"byte_bpe:pieces:{rank_file}", lambda: {i: p for p, i in shared.value.items()})
         for batch in row_slices(batches):
             texts = [b"".join(map(pieces.__getitem__, np.frombuffer(b, "<u4").tolist())) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())],

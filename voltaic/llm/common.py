@@ -36,8 +36,13 @@ def row_key(docs: DataFrame) -> DataFrame:
 
 def worker_state(name: str, make: Callable, version=None):
     """An object a reused Python worker keeps from task to task (vocabularies, caches): one
-    for each name, made anew when the version changes."""
+    for each name, made anew when the version changes.  Names begin with their operator's
+    and a colon; the state of other operators is dropped, so a worker that serves one
+    stage after another never holds the sum of all caches."""
     store = builtins.__dict__.setdefault("_voltaic_worker_state", {})
+    operator = name.partition(":")[0]
+    for other in [n for n in store if n.partition(":")[0] != operator]:
+        del store[other]
     if name not in store or store[name][0] != version:
         store[name] = (version, make())
     return store[name][1]

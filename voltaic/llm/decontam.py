@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = worker_state("decontam", lambda: Index(shared.value, max_edits), (tuple(shared.value), max_edits))
+            index = worker_state("decontam:index", lambda: Index(shared.value, max_edits), (tuple(shared.value), max_edits))
             for batch in row_slices(batches, ROWS_AT_ONCE):
                 found = _batch_matches(batch.column(1), index)
                 yield pa.RecordBatch.from_arrays(
@@ -205,7 +205,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = worker_state("decontam", lambda: Index(shared.value, max_edits), (tuple(shared.value), max_edits))
+            index = worker_state("decontam:index", lambda: Index(shared.value, max_edits), (tuple(shared.value), max_edits))
             for batch in row_slices(batches, ROWS_AT_ONCE):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[f[0] for f in _batch_matches(batch.column(at), index)]] = False

@@ -66,6 +66,22 @@ def test_op5_certifies_only_what_the_labels_allow(spark):
     assert sum("symbols" in r.rejected_by for r in good) <= 0.01 * len(good)
 
 
+def test_op5_every_good_label_certifies(spark):
+    need = quality.labels_needed(2)
+    assert quality.binomial_tail(0, need, quality.RISK) <= quality.LEVEL / 8 < quality.binomial_tail(0, need - 1, quality.RISK)
+    assert quality.labels_needed(4) == 286
+    words = " ".join(f"alpha{i}" for i in range(60))
+    rows, labels = [], []
+    for stratum, n in (("enough", need), ("short", need - 1)):
+        for i in range(n + 40):
+            rows.append((len(rows), words if i < n else words.replace(" ", "### "), stratum, "s", 1))
+            labels.append((len(labels), int(i < n), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = quality.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    bad = {i for i, q, _ in labels if not q}
+    assert {r.doc_id for r in got if not r.kept} == {r.doc_id for r in got if r.stratum == "enough" and r.doc_id in bad}
+
+
 def test_op5_odd_rows(spark):
     labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (None, 1, 0), (5, None, None), (999, 1, 1)], "doc_id long, quality int, toxic int")
     for lab in (labels, labels.limit(0)):

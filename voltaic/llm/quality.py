@@ -1,15 +1,18 @@
 """Quality rules with risk-controlled cutoffs.
 
 Per-document counts give a few ratios; a rule rejects a document whose ratio exceeds its
-stratum's cutoff.  Cutoffs come from labelled documents: one half proposes a ladder of
-cutoffs (quantiles of the ratio in the stratum), the held-out half certifies them.  On it,
-each cutoff's false rejections among good documents are tested with the exact binomial
-tail P(Bin(n, risk) <= k).  Within a stratum and rule the ladder is walked from lenient to
-strict and stops at the first cutoff that fails (fixed-sequence testing); over strata
-and rules the level is divided by their number (Bonferroni).  So with probability
-1 - ``level`` every rule's false-rejection rate is at most ``risk`` in every stratum, and
-all rules together reject at most ``len(RATIOS) * risk`` of the good documents.  Strata
-with too few labels certify nothing and reject nothing.
+stratum's cutoff.  Cutoffs come from the labelled good documents, all of which certify:
+a cutoff's false rejections among them are tested with the exact binomial tail
+P(Bin(n, risk) <= k).  Within a stratum and rule the cutoffs are walked from lenient to
+strict and the walk stops at the first that fails (fixed-sequence testing); over strata
+and rules the level is divided by their number (Bonferroni).  The walk is one over all real
+numbers, fixed beforehand: false rejections only grow as the cutoff falls, so a cutoff that
+passes has none failing above it, wherever it was proposed (as for Wilks' tolerance limits).
+So the ladder of cutoffs tried may be quantiles of the same good documents, and none of
+them is spent on proposing.  With probability 1 - ``level`` every rule's false-rejection
+rate is at most ``risk`` in every stratum, and all rules together reject at most
+``len(RATIOS) * risk`` of the good documents.  A stratum certifies nothing and rejects
+nothing below ``labels_needed`` good labels: 286 for four strata at the default risk.
 
 Results for odd input: null and empty texts have no words, fail the base rules and are not
 kept; a null stratum is a stratum of its own; labels with null values, or of unknown
@@ -34,6 +37,8 @@ from .common import row_slices
 #: The symbols counted, and ASCII white space.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
+#: Bound of a rule's false-rejection rate in a stratum, and the chance that any rule exceeds it.
+RISK, LEVEL = 0.02, 0.05
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
@@ -97,24 +102,33 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, exp(top) * sum(exp(t - top) for t in terms))
 
 
-def certified_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = 0.005, level: float = 0.05, ladder: int = 20) -> DataFrame:
+def labels_needed(strata: int, risk: float = RISK, level: float = LEVEL) -> int:
+    """Good labels of a stratum without which no cutoff passes, not even one that rejects none of them."""
+    from math import ceil, log
+    return ceil(log(level / (len(RATIOS) * strata)) / log(1 - risk))
+
+
+def certified_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, ladder: int = 20) -> DataFrame:
     """(``stratum``, ``rule``, ``cutoff``, ``n_good``, ``n_rejected``): the strictest cutoff of
     each stratum and rule that passes; strata and rules without one are absent."""
     good = (labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality"))
             .where("labelled is not null and quality is not null").groupBy("labelled").agg((F.min("quality") == 1).alias("good")))
-    # long form: one row per labelled document and rule; documents that the base rules fail are not the rules' business
-    values = (counts.where(~base_failed()).join(good, F.col("doc_id") == F.col("labelled"))
-              .select("doc_id", "stratum", "good", F.explode(F.create_map(*[x for r, ratio in RATIOS.items() for x in (F.lit(r), ratio())])).alias("rule", "value"))
-              .withColumn("held_out", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1))
+    # long form: one row per good document and rule; documents that the base rules fail are not the rules' business
+    values = (counts.where(~base_failed()).join(good.where("good"), F.col("doc_id") == F.col("labelled"))
+              .select("stratum", F.explode(F.create_map(*[x for r, ratio in RATIOS.items() for x in (F.lit(r), ratio())])).alias("rule", "value")))
     values = materialize(values, "quality_values")
     steps = [i / ladder for i in range(ladder + 1)]
-    proposed = (values.where(~F.col("held_out")).groupBy("stratum", "rule")
-                .agg(F.array_distinct(F.percentile_approx("value", steps, 10000)).alias("cutoffs")))
+    proposed = (values.groupBy("stratum", "rule")
+                .agg(F.count("*").alias("n_good"), F.array_distinct(F.percentile_approx("value", steps, 10000)).alias("cutoffs")))
+    proposed = materialize(proposed, "quality_proposed")  # one row a stratum and rule
     # false rejections of each proposed cutoff: a document adds to the counts of its own stratum and rule
-    held = (values.where("held_out and good").join(F.broadcast(proposed.withColumnRenamed("stratum", "s").withColumnRenamed("rule", "r")),
-                                                   F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")))
-            .select("stratum", "rule", "value", F.explode("cutoffs").alias("cutoff"))
-            .groupBy("stratum", "rule", "cutoff").agg(F.count("*").alias("n_good"), F.sum((F.col("value") > F.col("cutoff")).cast("long")).alias("n_rejected")))
+    rejected = (values.join(F.broadcast(proposed.select(F.col("stratum").alias("s"), F.col("rule").alias("r"), "cutoffs")),
+                            F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")) & (F.col("value") > F.array_min("cutoffs")))
+                .select("s", "r", F.explode(F.filter("cutoffs", lambda c: c < F.col("value"))).alias("c"))
+                .groupBy("s", "r", "c").agg(F.count("*").alias("n")))
+    tried = proposed.select("stratum", "rule", "n_good", F.explode("cutoffs").alias("cutoff"))
+    held = (tried.join(rejected, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")) & (F.col("cutoff") == F.col("c")), "left")
+            .select("stratum", "rule", "cutoff", "n_good", F.coalesce("n", F.lit(0)).alias("n_rejected")))
     tests = F.lit(len(RATIOS)) * F.size(F.collect_set(F.coalesce("stratum", F.lit("\0"))).over(_all_rows()))
     held = held.withColumn("tests", tests)
 
@@ -135,7 +149,7 @@ def _all_rows():
     return Window.partitionBy(F.lit(1))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.005, level: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """One row per document: the counts, ``base_failed``, ``kept`` and ``rejected_by`` (rules)."""
     counts = materialize(document_counts(docs, stratum), "quality_counts")
     cutoffs = (certified_cutoffs(counts, labels, risk, level).groupBy(F.col("stratum").alias("s"))

@@ -82,6 +82,22 @@ def test_op5_every_good_label_certifies(spark):
     assert {r.doc_id for r in got if not r.kept} == {r.doc_id for r in got if r.stratum == "enough" and r.doc_id in bad}
 
 
+def test_op5_cuts_a_rare_class_within_the_risk(spark):
+    # 1 % of the good documents have the longest words; junk with words nearly as long is 1 % of all;
+    # the others' ratios all differ by some, so a step of 5 % is no cutoff between them and the junk
+    rows, labels = [], []
+    for i in range(4000):
+        size, good = (30 + i % 9, True) if i % 100 == 0 else (20, False) if i % 100 == 1 else (5, True)
+        rows.append((i, " ".join(f"{j:0{size}}" for j in range(60)) + "x" * (i % 97), "en", "s", 1))
+        labels.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.judge(docs, lab).collect()}
+    assert all(got[i].rejected_by == ["long_words"] for i, q, _ in labels if not q)
+    assert 40 <= sum(not got[i].kept for i, q, _ in labels if q) <= 0.02 * 3960
+    assert all(r.kept for r in quality.judge(docs, lab, risk=0.005).collect() if r.doc_id % 100 > 1)
+
+
 def test_op5_odd_rows(spark):
     labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (None, 1, 0), (5, None, None), (999, 1, 1)], "doc_id long, quality int, toxic int")
     for lab in (labels, labels.limit(0)):

@@ -108,16 +108,18 @@ def labels_needed(strata: int, risk: float = RISK, level: float = LEVEL) -> int:
     return ceil(log(level / (len(RATIOS) * strata)) / log(1 - risk))
 
 
-def certified_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, ladder: int = 20) -> DataFrame:
+def certified_cutoffs(counts: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, ladder: int = 40) -> DataFrame:
     """(``stratum``, ``rule``, ``cutoff``, ``n_good``, ``n_rejected``): the strictest cutoff of
-    each stratum and rule that passes; strata and rules without one are absent."""
+    each stratum and rule that passes; strata and rules without one are absent.  The ladder has
+    ``ladder`` steps of equal share from rejecting none to rejecting ``risk`` of the good
+    documents; no cutoff beyond can pass, as it has more false rejections than ``risk`` allows."""
     good = (labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality"))
             .where("labelled is not null and quality is not null").groupBy("labelled").agg((F.min("quality") == 1).alias("good")))
     # long form: one row per good document and rule; documents that the base rules fail are not the rules' business
     values = (counts.where(~base_failed()).join(good.where("good"), F.col("doc_id") == F.col("labelled"))
               .select("stratum", F.explode(F.create_map(*[x for r, ratio in RATIOS.items() for x in (F.lit(r), ratio())])).alias("rule", "value")))
     values = materialize(values, "quality_values")
-    steps = [i / ladder for i in range(ladder + 1)]
+    steps = [1 - risk * i / ladder for i in range(ladder + 1)]
     proposed = (values.groupBy("stratum", "rule")
                 .agg(F.count("*").alias("n_good"), F.array_distinct(F.percentile_approx("value", steps, 10000)).alias("cutoffs")))
     proposed = materialize(proposed, "quality_proposed")  # one row a stratum and rule

@@ -290,6 +290,35 @@ def test_op10_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(docs, langid.train(empty_docs(spark))).collect()} == {"und"}
 
 
+def test_op10_rejects_what_no_centroid_is_near(spark):
+    import base64
+    rng = random.Random(3)
+    model = langid.train(langid.training_docs(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))  # enough texts of each language
+    strange = {
+        "letters": " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 10))) for _ in range(200)),
+        "base64": base64.b64encode(rng.randbytes(3000)).decode(),
+        "pl": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+              "i powinni postępować wobec innych w duchu braterstwa.",
+        "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+              "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı "
+              "kardeşlik zihniyeti ile hareket etmelidirler.",
+    }
+    found = dict(zip(strange, langid.predict(list(strange.values()), model, langid.MAX_DISTANCE)))
+    assert all(rejected for _, _, rejected in found.values()), found
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(strange.values())] + [(9, sample_texts()[0][1])], "doc_id long, text string")
+    assert [r.doc_id for r in langid.accepted(docs, model).collect()] == [9]
+    assert [r.doc_id for r in langid.identify(docs, model).collect() if not r.rejected] == [9]
+
+
+def test_op10_limits_of_few_texts():
+    texts = [t for _, t, lang in sample_texts() if lang == "en"]
+    assert langid.fit(texts[:5], ["en"] * 5)["limits"].tolist() == [langid.MAX_DISTANCE] * langid.CENTROIDS_PER_LANG
+    assert langid.fit([], [])["limits"].tolist() == []
+    model = langid.fit(texts[:60] + ["hola"], ["en"] * 60 + ["es"])  # a language of one text is judged by all texts
+    assert model["langs"].count("es") == 1 and len(model["limits"]) == len(model["langs"]) and 0.5 < model["limits"].min() <= model["limits"].max() < langid.MAX_DISTANCE
+
+
 def test_op10_sample_is_bounded_and_whole(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {t for _, t, _ in sample_texts()}

@@ -4,7 +4,11 @@ A text is a vector of character n-gram counts (1 to 3 letters, words padded by a
 hashed to ``DIMS`` places), damped and weighted by inverse document frequency and
 normalised.  Several centroids per language come from clustering the vectors of a bounded
 sample of labelled texts (spherical k-means).  The nearest centroid by cosine gives the
-language; a text further from it than ``max_distance`` is rejected.
+language; a text further from it than that centroid's limit is rejected.  The limit comes
+from the training texts: the cosine that all but ``LIMIT_QUANTILE`` of the centroid's own
+texts reach, each taken out of its centroid first, times ``LIMIT_MARGIN``.  A centroid of
+fewer than ``LIMIT_TEXTS`` texts takes the limit of all its language's texts, a language
+of fewer that of all texts, and with fewer texts at all ``MAX_DISTANCE`` is the limit.
 
 Results for odd input: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; equal texts get equal results; ties go to the alphabetically first language; a
@@ -29,8 +33,13 @@ DIMS = 1 << 14
 SAMPLE_PER_LANG = 300
 SAMPLE_CHARS = 20_000
 CENTROIDS_PER_LANG = 4
-#: Cosine distance beyond which a text is rejected.
+#: Cosine distance beyond which a text is rejected, whatever its centroid's own limit.
 MAX_DISTANCE = 0.9
+#: Share of a centroid's texts that may lie beyond its limit before the margin, the margin (a short
+#: text has fewer n-grams than the texts learned from, so a lower cosine), and the least texts for a limit.
+LIMIT_QUANTILE = 0.01
+LIMIT_MARGIN = 0.45
+LIMIT_TEXTS = 20
 UNKNOWN = "und"
 
 
@@ -70,7 +79,7 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], centroids_per_lang: int = CENTROIDS_PER_LANG, rounds: int = 8) -> dict:
-    """The model of a bounded sample: ``idf``, ``centroids`` (rows) and their ``langs``."""
+    """The model of a bounded sample: ``idf``, ``centroids`` (rows), their ``langs`` and ``limits`` (cosine distances)."""
     counts, kept = [], []
     for text, lang in zip(texts, langs):
         c = ngram_counts(text)
@@ -78,11 +87,11 @@ def fit(texts: list[str], langs: list[str], centroids_per_lang: int = CENTROIDS_
             counts.append(c)
             kept.append(lang)
     if not counts:
-        return {"idf": np.zeros(DIMS, np.float32), "centroids": np.zeros((0, DIMS), np.float32), "langs": []}
+        return {"idf": np.zeros(DIMS, np.float32), "centroids": np.zeros((0, DIMS), np.float32), "langs": [], "limits": np.zeros(0)}
     df = np.sum([c > 0 for c in counts], axis=0)
     idf = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
     vectors = np.stack([vector(c, idf) for c in counts])
-    rows, names = [], []
+    rows, names, reached = [], [], []
     for lang in sorted(set(kept)):
         own = vectors[[i for i, x in enumerate(kept) if x == lang]]
         centres = own[[0]]
@@ -94,7 +103,32 @@ def fit(texts: list[str], langs: list[str], centroids_per_lang: int = CENTROIDS_
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         rows.append(centres)
         names += [lang] * len(centres)
-    return {"idf": idf, "centroids": np.vstack(rows).astype(np.float32), "langs": names}
+        reached.append(own_cosines(own, centres))
+    return {"idf": idf, "centroids": np.vstack(rows).astype(np.float32), "langs": names, "limits": distance_limits(reached)}
+
+
+def own_cosines(own: np.ndarray, centres: np.ndarray) -> list[np.ndarray]:
+    """For each centre, the cosines of its texts to the nearest centre of their language when
+    they are not part of it themselves."""
+    cosines = own @ centres.T
+    nearest = cosines.argmax(axis=1)
+    for j in range(len(centres)):
+        at = np.flatnonzero(nearest == j)
+        others = own[at].sum(axis=0) - own[at]
+        cosines[at, j] = (own[at] * others).sum(axis=1) / np.maximum(np.linalg.norm(others, axis=1), 1e-12)
+    best = cosines.max(axis=1)
+    return [best[nearest == j] for j in range(len(centres))]
+
+
+def distance_limits(reached: list[list[np.ndarray]]) -> np.ndarray:
+    """The rejection distance of each centroid from ``own_cosines`` of each language."""
+    limits = []
+    everything = np.concatenate([c for of_lang in reached for c in of_lang])
+    for of_lang in reached:
+        for own in of_lang:
+            enough = next((c for c in (own, np.concatenate(of_lang), everything) if len(c) >= LIMIT_TEXTS), None)
+            limits.append(MAX_DISTANCE if enough is None else 1 - LIMIT_MARGIN * np.quantile(enough, LIMIT_QUANTILE))
+    return np.minimum(limits, MAX_DISTANCE)
 
 
 def training_sample(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, max_chars: int = SAMPLE_CHARS) -> DataFrame:
@@ -129,7 +163,7 @@ def predict(texts: list[str | None], model: dict, max_distance: float) -> list[t
         cosines = model["centroids"] @ vector(counts, model["idf"])
         best = int(cosines.argmax())
         score = min(1.0, max(0.0, float(cosines[best])))
-        out.append((model["langs"][best], score, 1 - score > max_distance))
+        out.append((model["langs"][best], score, 1 - score > min(max_distance, float(model["limits"][best]))))
     return out
 
 

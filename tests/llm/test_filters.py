@@ -325,3 +325,11 @@ def test_op10_sample_is_bounded_and_whole(spark):
     rows = langid.training_sample(docs, per_lang=7).collect()
     per = collections.Counter(r.lang for r in rows)
     assert set(per.values()) == {7} and all(r.text in texts for r in rows)
+
+
+def test_op10_sample_is_of_different_texts(spark):
+    rows = [("en", f"text number {i}") for i in range(40)] + [("fr", f"texte {i % 10}") for i in range(20_000)]
+    labelled = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    got = [(r.lang, r.text) for r in langid.training_sample(labelled, per_lang=15).collect()]
+    assert len(got) == len(set(got)) and collections.Counter(lang for lang, _ in got) == {"en": 15, "fr": 10}
+    assert langid.training_sample(labelled.limit(0)).columns == ["text", "lang"]

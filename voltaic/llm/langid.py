@@ -132,19 +132,22 @@ def distance_limits(reached: list[list[np.ndarray]]) -> np.ndarray:
 
 
 def training_sample(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG, max_chars: int = SAMPLE_CHARS) -> DataFrame:
-    """At most ``per_lang`` whole texts of each language (``text``, ``lang``), chosen by a hash of
+    """At most ``per_lang`` different whole texts of each language (``text``, ``lang``), chosen by a hash of
     the text among those of at most ``max_chars`` characters."""
     rows = (labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
             .where("text is not null and lang is not null").where(F.char_length("text") <= max_chars))
-    # a share of each language by hash, twice as many rows as needed, so that few texts move;
-    # one count per language goes to the driver, where the model keeps centroids for each
-    share = {r["lang"]: min(1.0, (2 * per_lang + 200) / r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # a share of each language's different texts by hash, twice as many as needed, so that few texts move; their
+    # number is a sketch's, within a few percent; one per language goes to the driver, where the model keeps centroids for each
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    share = {r["lang"]: min(1.0, (2 * per_lang + 200) / max(1, r["n"]))
+             for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not share:
-        return rows
+        return rows.select("text", "lang")
     limits = F.create_map(*[F.lit(x) for lang, p in share.items() for x in (lang, int(p * (1 << 40)))])
-    drawn = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 40)) < limits[F.col("lang")])
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    return drawn.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("text", "lang")
+    drawn = rows.where(F.pmod("h", F.lit(1 << 40)) < limits[F.col("lang")])
+    once = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))  # copies are combined where they lie
+    first = Window.partitionBy("lang").orderBy("h")
+    return once.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("text", "lang")
 
 
 def train(labelled: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict:

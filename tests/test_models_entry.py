@@ -42,3 +42,20 @@ def test_entry_contract(spark):
     out = E.entry(spark)
     assert set(out.columns) >= {"origin", "n", "mean", "median", "min", "max", "std"}
     assert out.count() > 0
+
+
+def test_model_grid_kinds_searches_the_full_grids(spark, monkeypatch):
+    from voltaic.operators import models
+    from voltaic.plans import model_queries
+    searched = {}
+
+    def points(train, kind, label, features, key, grid=None, **more):
+        maps = models.param_grid(models.make_estimator(kind, label, 1.0, 100), kind, 1.0, 100, grid)
+        searched[kind] = [tuple(sorted((p.name, v) for p, v in m.items())) for m in maps]
+        return None, None, [0.0] * len(maps)
+    monkeypatch.setattr(models, "grid_search", points)
+    assert model_queries.model_grid_kinds(spark, "/root/testdata/sf0.001").count() == 4 + 36 + 54
+    # unlimited depth is 30 in Spark, which the grid has too: 27 of the 36 differ
+    assert {k: len(set(v)) for k, v in searched.items()} == {"lasso": 4, "random_forest": 27, "gradient_boosting": 54}
+    assert {k: len(v) for k, v in searched.items()} == {"lasso": 4, "random_forest": 36, "gradient_boosting": 54}
+    assert any(("numTrees", 200) in p and ("maxDepth", 30) in p for p in searched["random_forest"])

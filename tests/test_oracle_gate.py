@@ -33,3 +33,19 @@ def test_query_matches_oracle(spark, name):
     assert sorted(sdf.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert digest(sdf.columns, srows)[0] == digest(dcols, drows)[0]
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables not present")
+@pytest.mark.parametrize("name", ["union_distinct_rows", "clean_null_profile_table"])
+def test_whole_tables_match_their_oracle(spark, name):
+    test_query_matches_oracle(spark, name)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables not present")
+def test_whole_tables_are_read(spark):
+    import __spark_entry__ as E
+    from voltaic.plans import dataset_queries, listing_queries
+    profile = E.queries()["clean_null_profile_table"](spark, SF).collect()
+    assert [r["column"] for r in profile] == listing_queries.cleaned(spark, SF).columns
+    n = sum(r.n_distinct for r in E.queries()["union_distinct_rows"](spark, SF).collect())
+    assert n == len({tuple(r) for r in dataset_queries.integrated(spark, SF).collect()}) > 100

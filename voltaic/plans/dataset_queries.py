@@ -159,6 +159,14 @@ def union_distinct(spark, sf):
     return d.agg(F.count(F.lit(1)).alias("n_distinct"))
 
 
+@query("union_distinct_rows", INTEGRATED + """
+select data_source, count(*) as n_distinct from (select distinct * from integrated) t group by data_source""")
+def union_distinct_rows(spark, sf):
+    """Full-row distinct of the whole integrated table, counted by source."""
+    d = prepare.distinct_rows(integrated(spark, sf))
+    return d.groupBy("data_source").agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
 @query("stats_distinct_sources", INTEGRATED + "select distinct data_source from integrated")
 def stats_distinct_sources(spark, sf):
     """A9."""

@@ -127,6 +127,22 @@ def clean_null_profile(spark, sf):
     return stats.null_profile(cleaned(spark, sf).select(*cols))
 
 
+#: The columns of cleaned listings and their types.
+CLEANED = {"l_orderkey": "bigint", "l_linenumber": "int", "l_partkey": "bigint", "listing_date": "date", "hsn_code": "string",
+           "origin": "string", "destination": "string", "quantity": "string", "unit_price": "string", "description": "string",
+           "unit_price_usd": "double", "power_rating_kva": "double", "is_transformer": "boolean", "quantity_int": "bigint",
+           "primary_voltage_kv": "double", "secondary_voltage_kv": "double", "data_source": "string",
+           "original_unit_price_usd": "double"}
+
+
+@query("clean_null_profile_table", CLEAN + "\nunion all ".join(
+    f"""select '{c}' as "column", count(*) filter (where {c} is null) as null_count, '{t}' as dtype from clean_listings"""
+    for c, t in CLEANED.items()))
+def clean_null_profile_table(spark, sf):
+    """A6 of the whole cleaned table."""
+    return stats.null_profile(cleaned(spark, sf))
+
+
 # --- X: extraction ------------------------------------------------------------------
 
 @query("extract_rating", LST + f"select {KEYS_SQL}, {r(S.rating_kva('description'), 'power_rating_kva')} from listings")

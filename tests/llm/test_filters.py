@@ -188,6 +188,16 @@ def test_op2_finds_varied_spellings(spark):
     assert got[6].digest is None and got[7].digest == got[8].digest
 
 
+def test_op2_whole_texts_and_given_ones(spark):
+    from voltaic.llm.licence_texts import BSD_2, BSD_3, KNOWN, UNLICENSE, UNLICENSE_WHOLE
+    assert "\n\n3. Neither the name" in BSD_3 and BSD_3.endswith(BSD_2[-400:]) and UNLICENSE_WHOLE.count("\n\n") == 4
+    own = "An own licence.\nDo what is right."
+    docs = spark.createDataFrame(list(enumerate(["Copyright (c) 2011, X\n" + BSD_3, BSD_2, UNLICENSE, UNLICENSE_WHOLE.upper(), own])), "doc_id long, text string")
+    want = ["BSD-3-Clause", "BSD-2-Clause", "Unlicense", "Unlicense"]
+    assert [r.license_id for r in licences.scan(docs).orderBy("doc_id").collect()] == [*want, None]
+    assert [r.license_id for r in licences.scan(docs, KNOWN + [("Own", own)]).orderBy("doc_id").collect()] == [*want, "Own"]
+
+
 def test_op2_odd_rows(spark):
     got = licences.scan(odd_docs(spark)).collect()
     assert len(got) == len(odd_rows()) and all(r.license_id is None and r.notice_ids == [] for r in got)

@@ -166,6 +166,15 @@ def test_op6_mined_rules_equal_brute_force(spark):
     assert got == {i: "block" if any(r <= items[i] for r in rules) else "allow" for i, _ in urls}
 
 
+def test_op6_mines_words_of_any_script(spark):
+    urls = [(i, f"http://site.org/{'новости' if i % 3 else '赌场'}/{i}?{'k' if i % 2 else 'к'}={i}") for i in range(300)]
+    pages = spark.createDataFrame(urls + [(900, "http://пример.рф/赌场/900"), (901, "http://пример.рф/901")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in url_rules.judge(pages, labels, queries.URL_RULES).collect()}
+    assert {i for i, r in got.items() if r.verdict == "block"} == {i for i in range(300) if i % 3 == 0} | {900}
+    assert got[900].mined_rule == "path:赌场"
+
+
 def test_op6_odd_rows(spark):
     pages = spark.createDataFrame([(None, None, 1), (1, "http://a.org/x", 2), (1, "http://a.org/x", 2), (None, "http://a.org/x", 3)], "page_id long, url string, confidence int")
     labels = spark.createDataFrame([(1, None, None), (None, 0, 1), (1, 0, None)], "doc_id long, quality int, toxic int")

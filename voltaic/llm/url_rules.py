@@ -38,9 +38,9 @@ def path(url: Column) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct typed tokens of a URL; numbers are no tokens."""
+    """Distinct typed tokens of a URL: words with a letter of any script; numbers are no tokens."""
     def typed(kind: str, parts: Column) -> Column:
-        words = F.filter(parts, lambda x: F.regexp_like(x, F.lit("[A-Za-z]")))
+        words = F.filter(parts, lambda x: F.regexp_like(x, F.lit(r"\p{L}")))
         return F.transform(words, lambda x: F.concat(F.lit(kind), F.translate(x, UPPER, LOWER)))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     found = F.concat(typed("host:", F.split(host(url), "[.-]")), typed("path:", F.split(path(url), "[/._-]")), typed("query:", F.split(query, "&")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voltaic.session import intermediate_path
 
-from . import byte_bpe, decontam, langid, licences, line_dedup, quality, simhash, suffix_dedup, token_orc, url_rules
+from . import byte_bpe, decontam, langid, licences, line_dedup, phrases, quality, simhash, suffix_dedup, token_orc, topk_search, url_rules, whitening
 from .common import read_table
 
 #: Fixed values: (host, path, verdict) of the listed URL rules.
@@ -79,9 +79,21 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_orc, op2_licences, op3_simhash, op4_suffix_dedup, op5_quality, op6_url_rules, op7_line_dedup,
-                            op8_byte_bpe, op9_decontamination, op10_langid)
+                            op8_byte_bpe, op9_decontamination, op10_langid, op11_phrases, op12_whitening, op13_topk_search)
 }
 
 OP7_SQL = """
@@ -96,4 +108,4 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from m group by rid, doc_id
 """
 
-ORACLES = {"op2_licences": licences.oracle(), "op7_line_dedup": OP7_SQL}
+ORACLES = {"op2_licences": licences.oracle(), "op7_line_dedup": OP7_SQL, "op11_phrases": phrases.oracle(), "op13_topk_search": topk_search.oracle()}

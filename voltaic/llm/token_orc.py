@@ -7,7 +7,8 @@ earlier rows of the same file) let a reader find any document's place in the str
 from one sum per file; stripes are read in parallel, and filters on ``doc_id`` skip files,
 stripes and row groups by their statistics and Bloom filters.
 
-Results for odd input: a null or empty text holds the end id alone; a null ``doc_id``
+Results for odd input: a null or empty text holds the end id alone; the strings of the
+tokenizer's added tokens in a text are those tokens, as the library has it; a null ``doc_id``
 comes first; equal rows are each written; an empty table gives no rows; further columns
 are ignored.
 """
@@ -25,81 +26,89 @@ from pyspark.sql import functions as F
 from voltaic.session import min_partitions
 
 from .common import doc_bytes, row_slices, worker_state
-
-#: Chunks of text between white space that a worker keeps encoded.
-CACHE_CHUNKS = 800_000
-#: Longer chunks (bytes) are encoded anew each time.
-LONG_CHUNK = 96
+from .segments import Known, distinct, groups, segment_owners, starts, sums
+
+#: Bytes of text that are encoded together.
+GROUP_BYTES = 8 << 20
+#: Distinct segments whose ids a worker keeps.
+KEPT_SEGMENTS = 800_000
+#: Bytes of text that a file holds at most, about.
+FILE_BYTES = 64 << 20
 ORC_OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true",
                "orc.stripe.size": str(64 << 20), "compression": "zstd"}
 
 
-class _Chunks:
-    """Ids of chunks between white space.  The tokenizer's words never hold white space
-    and its normaliser composes no character across it, so a text's ids are those of
-    its chunks in order; unseen chunks of a batch go to the tokenizer together."""
+class Encoder:
+    """The tokenizers library over whole texts.  Its words never span two segments and its
+    normaliser composes nothing across two ASCII characters, so a text's ids are those of
+    its segments in order, and each distinct segment goes to the library once.  A text that holds the string of an added token is encoded whole."""
 
-    def __init__(self, tokenizer_file: str, limit: int):
+    def __init__(self, tokenizer_file: str, kept: int = KEPT_SEGMENTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-        self.limit = limit
-
-    def _fresh(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk: many chunks are encoded as one text, blanks between them, and
-        its ids are dealt back by their offsets."""
-        out = []
-        for at in range(0, len(chunks), 512):
-            some = chunks[at:at + 512]
+        self.known = Known(kept)
+        self.added = [str(t.content).lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<i4")
+
+    def _segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each segment, all ids): many go as one text, blanks between them, and the
+        ids are dealt back by their offsets."""
+        sizes, values = [], []
+        for at in range(0, len(segments), 512):
+            some = [s.decode() for s in segments[at:at + 512]]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(c) + 1 for c in some])
-            cuts = 4 * np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), starts)
-            ids = np.array(e.ids, dtype="<i4").tobytes()
-            out += [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-        return out
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        split = [t.lower().replace(b"\n", b" ").split(b" ") if t else [] for t in texts]
-        known = self.known
-        missing = list({c for chunks in split for c in chunks if c not in known})
-        if len(known) + len(missing) > self.limit:
-            kept = {c: known[c] for chunks in split for c in chunks if c in known}
-            known.clear()
-            known.update(kept)
-        known.update(zip(missing, self._fresh([c.decode() for c in missing])))
-        ids = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for c in missing:
-            if len(c) > LONG_CHUNK:
-                del known[c]
-        return ids
+            begins = np.cumsum([0] + [len(s) + 1 for s in some])
+            sizes.append(np.diff(np.searchsorted(np.array([o[0] for o in e.offsets], np.int64), begins)))
+            values.append(np.array(e.ids, "<i4"))
+        return np.concatenate(sizes), np.concatenate(values)
+
+    def encode(self, texts: list[bytes | None], group_bytes: int = GROUP_BYTES) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each text, all ids in order)."""
+        lower = [t.lower() if t else b"" for t in texts]
+        special = [i for i, t in enumerate(lower) if any(a in t for a in self.added)]
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        for i in special:
+            found[i].append(self.whole(texts[i]))
+            lower[i] = b""
+        for rows, held in groups(lower, group_bytes):
+            lengths = np.array([len(h) for h in held])
+            data = b"".join(held)
+            at = starts(data, np.cumsum(lengths) - lengths)
+            which, segments = distinct(data, at)
+            counts, ids = self.known.look_up(segments, which, self._segments)
+            each = sums(counts, segment_owners(lengths, at), len(held))
+            for i, part in zip(rows, np.split(ids, np.cumsum(each)[:-1])):
+                found[i].append(part)
+        counts = np.array([sum(map(len, f)) for f in found], np.int64)
+        return counts, np.concatenate([p for f in found for p in f] or [np.zeros(0, "<i4")])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1, partitions: int | None = None,
-                 row_stride: int = 1000, cache_chunks: int = CACHE_CHUNKS) -> None:
-    """Encode every whole text and write the ORC files under ``path``."""
-    name = f"token_orc:{tokenizer_file}:{cache_chunks}"
+                 row_stride: int = 1000, group_bytes: int = GROUP_BYTES) -> None:
+    """Encode every whole text and write the ORC files under ``path``, one for ``FILE_BYTES`` of
+    text, and enough for every core."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("part", pa.int32()), ("before", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        chunks = worker_state(name, lambda: _Chunks(tokenizer_file, cache_chunks))
+        encoder = worker_state(f"token_orc:{tokenizer_file}", lambda: Encoder(tokenizer_file))
         part, before = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<i4").tobytes()
-        for batch in row_slices(batches, 256):
-            rows = chunks.encode(batch.column(1).to_pylist())
-            lengths = np.fromiter((len(r) // 4 + 1 for r in rows), np.int64, len(rows))
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()),
-                                           pa.array(np.frombuffer(b"".join([r + end for r in rows]), "<i4")))
+        for batch in row_slices(batches, 2048):
+            counts, ids = encoder.encode(batch.column(1).to_pylist(), group_bytes)
+            ends = np.cumsum(counts)
+            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+            ids = np.insert(ids, ends, end_id)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), ids, pa.array(np.full(len(rows), part), pa.int32()), pa.array(before + offsets[:-1])], schema=schema)
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())),
+                 pa.array(np.full(len(counts), part), pa.int32()), pa.array(before + offsets[:-1])], schema=schema)
             before += int(offsets[-1])
 
-    n = partitions or min_partitions(docs.sparkSession)
-    ordered = doc_bytes(docs).repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    texts = doc_bytes(docs)
+    n = partitions or max(min_partitions(docs.sparkSession), (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES)
+    ordered = texts.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     (ordered.mapInArrow(run, "doc_id long, ids array<int>, part int, before long")
      .write.mode("overwrite").options(**ORC_OPTIONS).option("orc.row.index.stride", row_stride).orc(path))
 

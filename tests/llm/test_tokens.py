@@ -14,7 +14,6 @@ from voltaic.llm import byte_bpe, queries, token_orc
 def whole_ids(texts, end_id=1):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(queries.vocabulary(queries.WORD_BPE))
-    t.encode_special_tokens = True
     return [e.ids + [end_id] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -34,7 +33,7 @@ def test_op1_matches_whole_text_encoding(spark):
 
 def test_op1_odd_rows_order_and_pruned_read(spark, tmpdir_path):
     path = tmpdir_path + "/orc"
-    token_orc.write_tokens(odd_docs(spark), path, queries.vocabulary(queries.WORD_BPE), partitions=4, cache_chunks=5)
+    token_orc.write_tokens(odd_docs(spark), path, queries.vocabulary(queries.WORD_BPE), partitions=4, group_bytes=50)
     got = token_orc.token_digests(spark, path).collect()
     want = expected_orc([(r[0], r[1]) for r in odd_rows()])
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == \
@@ -63,9 +62,26 @@ def test_op1_files_hold_bloom_filters_and_indexes(spark, tmpdir_path):
         assert o.row_index_stride == 1000 and str(o.schema.field("ids").type) == "list<item: int32>"
 
 
+PIECES = ["a", "the", " ", "  ", "\n", "\t", "\r\n", "é", "ß", "中文", "🙂", "'s", "'ll", "12", "!!", "#", "\x1c", "\x85", "\u00a0", "\u2009",
+          "\u3000", "xyz", "\x00", "İ", " \n", "٣", "e\u0301", "=\u0338", "unbelievably", "'", "Σ", ",'re", "’", "\x0b", "-", "A1b2"]
+
+
+def random_texts(more=(), n=4000):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice([*PIECES, *more]) for _ in range(rng.randint(0, 30))) for _ in range(n)]
+    return texts + ["a" * 5000, "abc" * 3000, "".join(rng.choice("abcdefghijklm") for _ in range(9000)), " " * 2000 + "x", "\n" * 999, "!" * 500]
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 20, 40])
+def test_op1_equals_the_untouched_library_on_random_texts(group_bytes):
+    texts = random_texts(["<|endoftext|>", "<|startoftext|>", "<|ENDoftext|>", "<|", "|>"])
+    counts, ids = token_orc.Encoder(queries.vocabulary(queries.WORD_BPE), kept=100).encode([t.encode() for t in texts], group_bytes)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [i[:-1] for i in whole_ids(texts)]
+
+
 @pytest.fixture(scope="module")
-def cache():
-    return byte_bpe._Cache(byte_bpe.load_ranks(queries.vocabulary(queries.MULTI_BPE)), queries.bpe_pattern(), 50)
+def merger():
+    return byte_bpe.Merger(byte_bpe.load_ranks(queries.vocabulary(queries.MULTI_BPE)), queries.bpe_pattern())
 
 
 def library(texts):
@@ -74,13 +90,21 @@ def library(texts):
     return [np.array(enc.encode_ordinary(t or ""), "<u4").tobytes() for t in texts]
 
 
-def test_op8_equals_the_library_on_random_texts(cache):
-    rng = random.Random(1)
-    pieces = ["a", "the", " ", "  ", "\n", "\t", "\r\n", "é", "ß", "中文", "🙂", "'s", "'ll", "12", "!!", "#", "\x1c", "\x85", " ", " ",
-              "　", "xyz", "\x00", "İ", " \n", "٣", "é", "unbelievably"]
-    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
-    texts += ["a" * 5000, "abc" * 3000, "".join(rng.choice("abcdefghijklm") for _ in range(9000)), " " * 2000 + "x", "\n" * 999, "!" * 500]
-    assert [byte_bpe.encode_text(t, cache) for t in texts] == library(texts)
+@pytest.mark.parametrize("group_bytes", [1 << 20, 40])
+def test_op8_equals_the_library_on_random_texts(merger, group_bytes):
+    texts = random_texts()
+    assert merger.encode([t.encode() for t in texts], group_bytes) == library(texts)
+    few = byte_bpe.Merger(merger.ranks, queries.bpe_pattern(), kept=30)
+    assert few.encode([t.encode() for t in texts], group_bytes) == library(texts)
+    assert len(few.known.number) == few.known.n == 30
+
+
+def test_op8_equals_the_library_on_random_words(merger):
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("aeinorst éß") for _ in range(rng.randint(1, 60))).strip() for _ in range(20000)} - {""})
+    counts, ids = merger.encode_words([w.encode() for w in words])
+    enc = tiktoken.Encoding("own", pat_str="(?s).+", special_tokens={}, mergeable_ranks=merger.ranks)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [enc.encode_ordinary(w) for w in words]
 
 
 def test_op8_query_and_round_trip(spark):

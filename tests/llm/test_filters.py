@@ -166,6 +166,60 @@ def test_op6_mined_rules_equal_brute_force(spark):
     assert got == {i: "block" if any(r <= items[i] for r in rules) else "allow" for i, _ in urls}
 
 
+def judged_by_brute_force(labelled, urls, min_count=25, min_confidence=0.6, max_tokens=3):
+    """Verdict of each token set of ``urls`` by all rules over (token set, bad)."""
+    from itertools import combinations
+    hits, having = {}, {}
+    for items, bad in labelled:
+        for n in range(1, max_tokens + 1):
+            for c in combinations(sorted(items), n):
+                having[c] = having.get(c, 0) + 1
+                hits[c] = hits.get(c, 0) + bad
+    rules = [set(c) for c, h in hits.items() if h >= min_count and h >= min_confidence * having[c]]
+    return ["block" if any(r <= set(u) for r in rules) else "allow" for u in urls]
+
+
+@pytest.mark.parametrize("label", [0, 1, 2])
+def test_op6_long_urls_in_many_copies(spark, label):
+    """1,000 copies of a URL of 40 words: all good, all bad, or alternating with a word that tells."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    rng = random.Random(label)
+
+    def url(i, drop=()):
+        more = ["evil"] if label == 2 and i % 2 else []
+        return "http://a.org/" + "/".join([w for w in words if w not in drop] + more) + f"?{i}=1"
+    rows = [(i, url(i)) for i in range(1000)] + [(1000 + i, f"http://b.org/{rng.choice(words)}/{rng.choice(words)}") for i in range(200)]
+    labels = [(i, 1, int(label == 1 or label == 2 and i % 2) if i < 1000 else 0) for i in range(1200)]
+    probes = [(5000, url(5000)), (5001, "http://c.net/" + words[0]), (5002, "http://c.net/evil"), (5003, url(5003, words[:5]) + "&x=evil"), (5004, "http://a.org/")]
+    pages = spark.createDataFrame(rows + probes, "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge(pages, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), []).collect()}
+
+    def items(u):
+        parts = u.split("://")[1].split("?")
+        return ["host:" + x for x in parts[0].split("/")[0].split(".")] + ["path:" + x for x in parts[0].split("/")[1:] if x] + \
+            ["query:" + x for x in parts[-1].split("&") if len(parts) > 1 and any(c.isalpha() for c in x)]
+    # long URLs differ in no more than these items, so rules of two tokens tell all
+    want = judged_by_brute_force([(items(u), b) for (_, u), (_, _, b) in zip(rows, labels)], [items(u) for _, u in probes], max_tokens=2)
+    assert [got[i] for i, _ in probes] == want
+
+
+@pytest.mark.parametrize("wide", [14, 2])
+def test_op6_combinations_equal_brute_force(spark, wide, monkeypatch):
+    monkeypatch.setattr(url_rules, "WIDE", wide)
+    rng = random.Random(11)
+    sets = [[f"host:{c}" for c in "abcdefg" if rng.random() < 0.6] for _ in range(500)]
+    bad = [int({"host:a", "host:b", "host:c"} <= set(x) or {"host:d", "host:e"} <= set(x) and rng.random() < 0.9 or rng.random() < 0.05) for x in sets]
+    labelled = spark.createDataFrame([(x, bool(b)) for x, b in zip(sets, bad)], "tokens array<string>, bad boolean")
+    rules, members = url_rules.mine(labelled, min_count=20, min_confidence=0.8)
+    urls = [[f"host:{c}" for c in "abcdefg" if rng.random() < 0.5] for _ in range(150)]
+    hits = url_rules.blocked_by(spark.createDataFrame([(str(i), u) for i, u in enumerate(urls)], "url string, tokens array<string>"), rules, members)
+    blocked = {int(r.url) for r in hits.collect()}
+    want = judged_by_brute_force(list(zip(sets, bad)), urls, 20, 0.8)
+    assert ["block" if i in blocked else "allow" for i in range(150)] == want and len(set(want)) == 2
+    found = [set(r.rule) for r in rules.collect()]
+    assert not any(a < b for a in found for b in found)
+
+
 def test_op6_mines_words_of_any_script(spark):
     urls = [(i, f"http://site.org/{'новости' if i % 3 else '赌场'}/{i}?{'k' if i % 2 else 'к'}={i}") for i in range(300)]
     pages = spark.createDataFrame(urls + [(900, "http://пример.рф/赌场/900"), (901, "http://пример.рф/901")], "page_id long, url string")
@@ -185,6 +239,35 @@ def test_op6_odd_rows(spark):
 
 # -- licences --------------------------------------------------------------------------------
 
+def test_op2_repeated_rows_count_their_own_notices(spark):
+    import duckdb
+    notice = "Licensed under the MIT License."
+    rows = [(1, f"a\n{notice}"), (1, f"a\n{notice}"), (1, f"a {notice}"), (None, notice), (None, notice), (None, None), (2, f"{notice}\n{notice}\nSPDX-License-Identifier: CC0-1.0"),
+            (3, ""), (4, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.digest or "", r.license_id or "", ",".join(r.notice_ids), r.n_notices) for r in licences.scan(docs).collect())
+    con = duckdb.connect()
+    con.execute("create table documents as select * from (values " + ", ".join(
+        f"({'null' if i is None else i}, {'null' if t is None else 'replace(' + repr(t.replace(chr(10), '@')) + ', chr(64), chr(10))'})" for i, t in rows) + ") v(doc_id, text)")
+    want = con.execute(licences.oracle()).fetchall()
+    assert got == sorted((str(r[0]), r[1] or "", r[2] or "", r[3], r[4]) for r in want)
+    assert sorted(r.n_notices for r in licences.scan(docs).collect()) == [0, 0, 0, 0, 1, 1, 1, 1, 3]
+    assert licences.scan(docs, [], []).where("license_id is not null or n_notices > 0").count() == 0
+
+
+@pytest.mark.skipif(not __import__("os").path.exists("/usr/share/common-licenses/MPL-2.0"), reason="no public licence texts here")
+def test_op2_knows_whole_licences_in_other_layouts(spark):
+    names = [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")]
+    rows = []
+    for i, (file, _) in enumerate(names):
+        with open(f"/usr/share/common-licenses/{file}") as f:
+            text = f.read()
+        rows += [(3 * i, text), (3 * i + 1, "Copyright (c) 2020 Someone\n\n" + text.upper().replace("\n", "\r\n  "))]
+        rows.append((3 * i + 2, text.replace(" you ", " they ").replace(" a ", " one ")))
+    got = {r.doc_id: r.license_id for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {3 * i + j: name if j < 2 else None for i, (_, name) in enumerate(names) for j in range(3)}
+
+
 def test_op2_finds_varied_spellings(spark):
     from voltaic.llm.licence_texts import ISC, MIT
     texts = ["Copyright (c) 2020 A. Person\n\n" + MIT.upper(), "© 1999 X\nAll rights reserved.\n" + MIT.replace(" ", "  ").replace('"', "“"),
@@ -259,6 +342,39 @@ def test_op9_equals_brute_force():
     assert len(want) > 40
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 50])
+def test_op9_periodic_and_short_items_equal_brute_force(at_once, monkeypatch):
+    monkeypatch.setattr(decontam, "POSTINGS_AT_ONCE", at_once)
+    rng = random.Random(3)
+    items = [(0, b"abc" * 20), (1, b"ab" * 25), (2, b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"), (3, b"abcab"), (4, b"x"), (5, b"one two three four five one two three four five one"), (6, b"")]
+    index = decontam.Index(items, decontam.MAX_EDITS)
+    docs = [b"", b"abc" * 100, b"ab" * 60, b"a" * 29, b"a" * 31, b"zabcabz", b"one two three four five " * 6]
+    for _ in range(150):
+        p = bytearray(rng.choice(items[:6])[1] * rng.randint(1, 3))
+        for _ in range(rng.randint(0, 5)):
+            q = rng.randrange(len(p) + 1)
+            p[q:q + rng.randint(0, 1)] = rng.choice([b"", b"q", b"zz", b"a"])
+        docs.append(b"q" * rng.randint(0, 20) + bytes(p) + b"r" * rng.randint(0, 9))
+    allowed = [*index.edits.tolist(), 0, 0]
+    want = {(d, j): e for d, text in enumerate(docs) for j, (_, item) in enumerate(index.items) if (e := edits_brute(item, text)) <= allowed[j]}
+    assert [i for i, _ in index.items] == [0, 1, 2, 5, 3, 4]
+    assert {(d, j): e for d, j, e, _ in decontam.matches(docs, index)} == want and len({j for _, j in want}) == 6
+
+
+def test_op9_periodic_text_needs_bounded_memory():
+    """1 MB of a text of period 10 against a 2 KB item of that period."""
+    import subprocess
+    import sys
+    code = ("import resource, sys; sys.path.insert(0, '.'); from voltaic.llm import decontam; "
+            "i = decontam.Index([(1, b'abcdefghi ' * 200), (2, b'abcdefghi ' * 199 + b'abcdefghij')], 0.07); "
+            "a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; "
+            "m = decontam.matches([b'abcdefghi ' * 104858], i); "
+            "print(sorted(x[:3] for x in m), (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) // 1024)")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, cwd=__file__.rsplit("/tests/", 1)[0]).stdout
+    found, mb = out.rsplit(" ", 1)
+    assert found == "[(0, 0, 0), (0, 1, 1)]" and int(mb) < 500
+
+
 def test_op9_query_holds_all_exact_passages(spark):
     import pandas as pd
     items = [(int(i), decontam.normalise(t)) for i, t in pd.read_parquet(f"{SF}/benchmark.parquet")[["item_id", "text"]].itertuples(index=False)]
@@ -269,7 +385,7 @@ def test_op9_query_holds_all_exact_passages(spark):
 
 def test_op9_odd_rows_and_blocks(spark):
     item = "The quick brown fox, it jumps over the lazy dog; twice."
-    bench = spark.createDataFrame([(1, item), (2, item), (None, "a wholly different item that is long enough"), (3, None), (4, ""), (5, "short")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, item), (None, "a wholly different item that is long enough"), (3, None), (4, ""), (5, "short"), (6, " -;")], "item_id long, text string")
     docs = odd_docs(spark).unionByName(spark.createDataFrame(
         [(50, "x " + item.upper().replace(",", " - ") + " y", "en", "s", 1), (None, item.replace("quick", "quikc"), "en", "s", 1), (51, item[:30], "en", "s", 1)],
         "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)

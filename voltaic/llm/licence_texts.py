@@ -79,3 +79,19 @@ SPELLINGS = [
     ("behaviour", "behavior"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"),
     ("fulfilment", "fulfillment"), ("judgement", "judgment"), ("per cent", "percent"), ("whilst", "while"), ("https", "http"),
 ]
+
+#: Fixed values: (licence id, SHA-256 of the canonical form) of whole public licence texts too
+#: long to hold here, with and without what follows "END OF TERMS AND CONDITIONS".
+WHOLE_DIGESTS = [
+    ("Apache-2.0", "ebc600199db9838b4fc2d5288a12598c2702142177a89b3443f5cc87b137d94b"),
+    ("Apache-2.0", "98378616989e23431b15181388a001fdeac0999db741918e302c5162392bcfbd"),
+    ("GPL-2.0", "b45f95d8277a4c920f37dd2e6bd0bfe7a28fc0622b3328e8a50b73e64eb55b33"),
+    ("GPL-2.0", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),
+    ("GPL-3.0", "a23e40b5c89c39c54e32c3913c023ddd149af66edea825a7aea3d1e657e065d8"),
+    ("GPL-3.0", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975"),
+    ("LGPL-2.1", "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e"),
+    ("LGPL-2.1", "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "9e79a7d513376f6fa1500e4df4f6276c6e7e61c5c3e28dcdb1acee24033acc56"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+]

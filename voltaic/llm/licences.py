@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from voltaic.session import materialize
 
 from .common import doc_texts
-from .licence_texts import KNOWN, SPELLINGS
+from .licence_texts import KNOWN, SPELLINGS, WHOLE_DIGESTS
 
 #: A-Z and typographic characters, and what they become.
 FROM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ“”‘’–—"
@@ -46,36 +46,44 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
-    """(``license_id``, ``known_digest``, ``chars``), one row per known text."""
-    rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known])
-    text = spark.range(1).select(F.inline(rows)).select("license_id", whole(canonical_lines(F.col("text"))).alias("text"))
-    return text.groupBy(digest(F.col("text")).alias("known_digest")).agg(
-        F.min("license_id").alias("license_id"), F.max(F.char_length("text")).alias("chars"))
+def known_digests(spark: SparkSession, known: list[tuple[str, str]], whole_digests: list[tuple[str, str]]) -> DataFrame:
+    """(``license_id``, ``known_digest``, ``chars``), one row per known text; ``chars`` is null for
+    those of which only the digest is given."""
+    def table(rows: list[tuple[str, str]], second: str) -> DataFrame:
+        values = [F.struct(F.lit(a).alias("license_id"), F.lit(b).alias(second)) for a, b in rows]
+        empty = F.array().cast(f"array<struct<license_id:string,{second}:string>>")
+        return spark.range(1).select(F.inline(F.array(*values) if values else empty))
+    text = table(known, "text").select("license_id", whole(canonical_lines(F.col("text"))).alias("text"))
+    rows = text.select("license_id", digest(F.col("text")).alias("known_digest"), F.char_length("text").alias("chars"))
+    return (rows.unionByName(table(whole_digests, "known_digest").withColumn("chars", F.lit(None).cast("int")))
+            .groupBy("known_digest").agg(F.min("license_id").alias("license_id"), F.max("chars").alias("chars")))
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, whole_digests: list[tuple[str, str]] = WHOLE_DIGESTS) -> DataFrame:
     """One row per document: ``doc_id``, ``digest`` of the whole text, its ``license_id`` (or
     null), ``notice_ids`` (sorted licences of whole lines) and ``n_notices`` (such lines)."""
     spark = docs.sparkSession
-    table = materialize(known_digests(spark, known), "licence_known")  # one row a given licence text
-    lengths = F.lit([r.chars for r in table.select("chars").distinct().collect()])
+    table = materialize(known_digests(spark, known, whole_digests), "licence_known")  # one row a given licence text
+    lengths = [r.chars for r in table.select("chars").where("chars is not null").distinct().collect()]
+    lengths = F.lit(lengths) if lengths else F.array().cast("array<int>")
     lines = F.col("lines")
     units = (doc_texts(docs).select("doc_id", canonical_lines(F.col("text")).alias("lines"))
              .select("doc_id", digest(whole(lines)).alias("digest"),
                      F.transform(F.filter(lines, lambda x: F.array_contains(lengths, F.char_length(x))), digest).alias("line_digests")))
     units = materialize(units, "licence_units")
-    notices = (units.select("doc_id", "digest", F.explode("line_digests").alias("known_digest"))
+    # equal rows have equal notices: they are found once for each different id and list of lines
+    lists = units.where(F.size("line_digests") > 0).select(F.col("doc_id").alias("of_id"), F.col("line_digests").alias("of_lines")).distinct()
+    notices = (lists.select("of_id", "of_lines", F.explode("of_lines").alias("known_digest"))
                .join(F.broadcast(table), "known_digest")
-               .groupBy(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest"), "license_id").agg(F.count("*").alias("n"))
-               .groupBy("of_id", "of_digest").agg(F.sort_array(F.collect_list("license_id")).alias("notice_ids"), F.sum("n").alias("n")))
+               .groupBy("of_id", "of_lines", "license_id").agg(F.count("*").alias("n"))
+               .groupBy("of_id", "of_lines").agg(F.sort_array(F.collect_list("license_id")).alias("notice_ids"), F.sum("n").alias("n")))
     return (units.join(F.broadcast(table), F.col("digest") == F.col("known_digest"), "left")
-            .join(notices, F.col("doc_id").eqNullSafe(F.col("of_id")) & F.col("digest").eqNullSafe(F.col("of_digest")), "left")
+            .join(notices, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("line_digests") == F.col("of_lines")), "left")
             .select("doc_id", "digest", "license_id", F.coalesce("notice_ids", F.array().cast("array<string>")).alias("notice_ids"),
                     F.coalesce("n", F.lit(0)).cast("long").alias("n_notices")))
 
 
-def oracle(known: list[tuple[str, str]] = KNOWN) -> str:
+def oracle(known: list[tuple[str, str]] = KNOWN, whole_digests: list[tuple[str, str]] = WHOLE_DIGESTS) -> str:
     """DuckDB SQL of ``scan`` with ``notice_ids`` joined by commas."""
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
@@ -89,8 +97,10 @@ def oracle(known: list[tuple[str, str]] = KNOWN) -> str:
                 "lambda x: x <> '' and not starts_with(x, 'copyright ') and x not in ('copyright', 'all rights reserved'))")
 
     values = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in known)
+    given = ", ".join(f"({quoted(i)}, {quoted(d)})" for i, d in whole_digests)
     return f"""
-with known as (select min(id) as id, sha256(array_to_string({lines('t')}, ' ')) as d from (values {values}) v(id, t) group by 2),
+with known as (select min(id) as id, d from (select id, sha256(array_to_string({lines('t')}, ' ')) as d from (values {values}) v(id, t)
+  union all select * from (values {given}) w(id, d)) group by 2),
 units as (select row_number() over () as rid, doc_id, {lines('text')} as ls from documents),
 notices as (select rid, string_agg(id, ',' order by id) as ids, sum(n) as n from (
   select u.rid, k.id, count(*) as n from (select rid, unnest(ls) as l from units) u join known k on k.d = sha256(u.l) group by 1, 2) group by 1)

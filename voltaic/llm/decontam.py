@@ -6,13 +6,19 @@ document with at most k edits shares at least ``m + 1 - q (k + 1)`` of its q-gra
 all on diagonals (document place less item place) at most k apart.  So the shared q-grams
 are counted in bands of ``2 (k + 1)`` diagonals that overlap by half; bands that reach
 the bound are verified by an alignment confined to the band.  A document is reported for
-an item if the whole item occurs in it with at most k = ``max_edits`` x m edits.
+an item if the whole item occurs in it with at most k = ``max_edits`` x m edits.  Items too
+short for a q-gram allow no edit and are looked for as they are.
+
+A place of a text counts once for a band, however often its q-gram is in the item: of the
+places of a q-gram in an item that lie in one cell of diagonals only the first and last are
+indexed, and the shared q-grams of a text are counted in pieces, so periodic texts and
+items need bounded memory.
 
 The items are the query set: they go to the tasks in blocks of at most ``block_bytes``
 bytes, each block meets every document, and documents are never compared with each other.
 
-Results for odd input: null and empty texts match nothing; items that are null, or under q
-bytes when normalised, are ignored; items of equal text are each reported; equal documents
+Results for odd input: null and empty texts match nothing; items that are null, or empty
+when normalised, are ignored; items of equal text are each reported; equal documents
 are each reported; a null ``doc_id`` is kept; empty tables give no rows; further columns are
 ignored.
 """
@@ -20,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,8 @@ BLOCK_BYTES = 4 << 20
 #: Texts looked through at once, in rows; long texts make up their own group.
 ROWS_AT_ONCE = 256
 
+#: Shared q-grams counted at once.
+POSTINGS_AT_ONCE = 1 << 20
 _SLOT_BITS = 22
 _OFFSET = 1 << 24
 
@@ -75,29 +84,59 @@ class Index:
         every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(keys)), [len(k) for k in keys]) if keys else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.zeros(0, np.int64)
-        order = np.argsort(every, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.keys, self.first = np.unique(every[order], return_index=True)
+        order = np.lexsort((place, item, every))
+        every, item, place = every[order], item[order], place[order]
+        # the q-gram at a text's place meets two cells at most through a run of item places as long as
+        # a cell: its first and its last place tell which
+        run = place // self.step[item] if len(item) else place
+        begins = np.ones(len(every), bool)
+        begins[1:] = (every[1:] != every[:-1]) | (item[1:] != item[:-1]) | (run[1:] != run[:-1])
+        ends = np.append(begins[1:], True)[:len(begins)]
+        keep = begins | ends
+        every, self.item, self.place = every[keep], item[keep], place[keep]
+        self.keys, self.first = np.unique(every, return_index=True)
         self.first = np.append(self.first, len(every))
         self.slots = np.zeros(1 << _SLOT_BITS, bool)
         self.slots[(self.keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] = True
+        self.short = [(len(self.items) + j, t) for j, (_, t) in enumerate((i, t) for i, t in items if 0 < len(t) < Q)]
+        self.items += [(i, t) for i, t in items if 0 < len(t) < Q]
 
-    def bands(self, data: bytes) -> Iterator[tuple[int, int]]:
-        """(item, least diagonal) of every band that reaches its item's bound."""
+    def cells(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """((item, cell of diagonals) as one number in order, places of ``data`` that share a q-gram there)."""
+        none = np.zeros(0, np.int64)
         keys = qgram_keys(data)
         at = np.flatnonzero(self.slots[(keys >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)])
         if not len(at) or not len(self.keys):
-            return
+            return none, none
         found = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
         true = self.keys[found] == keys[at]
         at, found = at[true], found[true]
-        if not len(at):
-            return
         uses = self.first[found + 1] - self.first[found]
-        posting = np.repeat(self.first[found] - np.concatenate([[0], np.cumsum(uses)[:-1]]), uses) + np.arange(uses.sum())
-        item = self.item[posting]
-        diagonal = np.repeat(at, uses) - self.place[posting] + _OFFSET
-        cell, count = np.unique((item << 40) + diagonal // self.step[item], return_counts=True)
+        total, cell, count = np.cumsum(uses), none, none
+        a = 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + POSTINGS_AT_ONCE, "right")))
+            use = uses[a:b]
+            posting = np.repeat(self.first[found[a:b]] - (np.cumsum(use) - use), use) + np.arange(int(use.sum()))
+            item = self.item[posting]
+            place = np.repeat(at[a:b], use)
+            own = (item << 40) + (place - self.place[posting] + _OFFSET) // self.step[item]
+            # a place counts once for a cell
+            order = np.lexsort((place, own))
+            own, place = own[order], place[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1])
+            own, n = np.unique(own[new], return_counts=True)
+            cell, back = np.unique(np.concatenate([cell, own]), return_inverse=True)
+            count = np.bincount(back, np.concatenate([count, n]), len(cell)).astype(np.int64)
+            a = b
+        return cell, count
+
+    def bands(self, data: bytes) -> Iterator[tuple[int, int]]:
+        """(item, least diagonal) of every band that reaches its item's bound."""
+        cell, count = self.cells(data)
+        if not len(cell):
+            return
         item = cell >> 40
         beside = np.append(cell[1:] == cell[:-1] + 1, False)      # the cell above holds q-grams too
         above = count + np.where(beside, np.append(count[1:], 0), 0)
@@ -116,6 +155,13 @@ def align(item: bytes, text: bytes, low: int, width: int, limit: int) -> tuple[i
     begin, end = low, low + width + m
     region = b"\0" * max(0, -begin) + text[max(0, begin):max(0, end)]
     region += b"\0" * (end - begin - len(region))
+    found = _align(item, region, width, limit)
+    return found and (found[0], min(low + found[1] + m, len(text)))
+
+
+@lru_cache(maxsize=512)
+def _align(item: bytes, region: bytes, width: int, limit: int) -> tuple[int, int] | None:
+    """(edits, diagonal) of the best place; periodic texts ask for the same regions again and again."""
     y = np.frombuffer(region, np.uint8)
     ramp = np.arange(width)
     row = np.zeros(width, np.int64)
@@ -126,7 +172,7 @@ def align(item: bytes, text: bytes, low: int, width: int, limit: int) -> tuple[i
         if row.min() > limit:
             return None
     best = int(row.argmin())
-    return int(row[best]), min(low + best + m, len(text))
+    return int(row[best]), best
 
 
 def matches(texts: list[bytes], index: Index) -> list[tuple[int, int, int, int]]:
@@ -147,6 +193,11 @@ def matches(texts: list[bytes], index: Index) -> list[tuple[int, int, int, int]]
             found = (0, at + len(item)) if at >= 0 else align(item, texts[d], own, width, int(index.edits[j]))
             if found and found[0] <= index.edits[j] and (known is None or found < known):
                 best[d, j] = found
+    for d, text in enumerate(texts):
+        for j, item in index.short:
+            at = text.find(item)
+            if at >= 0:
+                best[d, j] = (0, at + len(item))
     return [(d, j, e, end) for (d, j), (e, end) in sorted(best.items())]
 
 

@@ -9,6 +9,7 @@ them and scoring is one projection.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
@@ -130,6 +131,12 @@ def prep_transformer(num_stats: dict, modes: dict, scale: bool = True) -> SQLTra
     return SQLTransformer(statement="SELECT " + ", ".join(parts) + " FROM __THIS__")
 
 
+def inputs(prep) -> dict[str, str]:
+    """The columns a preprocessing stage reads: name -> ``number`` or ``category``."""
+    found = re.findall(r"cast\(`((?:[^`]|``)+)` as (double|string)\)", prep.getStatement())
+    return {name: "number" if kind == "double" else "category" for name, kind in found}
+
+
 def feature_stages(train: DataFrame, features: list[str], scale: bool = True) -> tuple[list, list[str]]:
     """M2-M7: the preprocessing stages and the feature names in vector order."""
     num, cat = column_roles(train, features)

@@ -2,21 +2,26 @@
 
 One ``Pipeline`` per model: frozen preprocessing (see ``features``) + estimator.
 Training, cross-validation and scoring run on executors; the driver only loops
-over the handful of estimators and collects one metrics row per model.
+over the handful of estimators and collects one metrics row per model.  Linear models are
+solved from sums of products gathered in one scan (``linear``); a search over tree grids
+trains only the largest models and scores the others as parts of them (``trees``).
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException, IllegalArgumentException
+import functools
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from . import features as FE
+from . import linear as LI
+from . import trees as TR
 from .pricing import rule_price
 from .stats import regression_metrics
 
@@ -112,14 +117,30 @@ def grid_search(train: DataFrame, kind: str, label: str, features: list[str], ke
                 grid: dict | None = None, folds: int = 5, parallelism: int = 4):
     """M9: k-fold CV on R^2 with folds from the key hash.  As in the reference,
     preprocessing is fitted once on the training rows and the folds search the
-    estimator only; the best parameters are refit on all training rows.
-    Returns (PipelineModel of preprocessing + best model, feature names, avg metrics)."""
+    estimator only; the best parameters are refit on all training rows.  Ridge and lasso
+    take all folds and penalties from one scan; trees train one model per group of
+    nested grid points (``trees``).
+    Returns (PipelineModel of preprocessing + best model, feature names, avg metrics in the
+    order of ``param_grid``)."""
     sigma, n = label_std_pop(train, label)
     stages, names = FE.feature_stages(train, features)
     prep = Pipeline(stages=stages).fit(train)
-    feats = _frozen(FE.fold_column(prep.transform(train).select("features", label, key), key, folds))
+    feats = FE.fold_column(prep.transform(train).select("features", label, key), key, folds)
+    if kind in ("ridge", "lasso") and len(names) <= LI.MAX_FEATURES:
+        alphas = list((grid or {}).get("alpha", K.RIDGE_ALPHAS if kind == "ridge" else K.LASSO_ALPHAS))
+        parts = LI.moments(feats, label, "fold")
+        metrics = LI.search(parts, kind, alphas)
+        best = alphas[max(range(len(alphas)), key=metrics.__getitem__)]
+        fitted = LI.spark_model(LI.solve(LI.total(parts), kind, best))
+        return PipelineModel(stages=list(prep.stages) + [fitted]), names, metrics
     est = make_estimator(kind, label, sigma, n)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=param_grid(est, kind, sigma, n, grid),
+    grid_maps = param_grid(est, kind, sigma, n, grid)
+    feats = _frozen(feats)
+    if kind in ("random_forest", "gradient_boosting"):
+        metrics = TR.nested_search(feats, est, grid_maps, label, key, "fold", folds, parallelism)
+        best_map = grid_maps[max(range(len(grid_maps)), key=metrics.__getitem__)]
+        return PipelineModel(stages=list(prep.stages) + [est.fit(feats, best_map)]), names, metrics
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid_maps,
                         evaluator=RegressionEvaluator(labelCol=label, metricName="r2"),
                         foldCol="fold", numFolds=folds, parallelism=parallelism, seed=K.SPLIT_SEED)
     cvm = cv.fit(feats)
@@ -129,10 +150,19 @@ def grid_search(train: DataFrame, kind: str, label: str, features: list[str], ke
 
 # --- M12 / M13: training families ------------------------------------------------------------------------
 
+def _fit(feats: DataFrame, kind: str, label: str, names: list[str], sums, **params):
+    """The last stage of a model on prepared rows; ``sums`` gives their moments (linear kinds)."""
+    if kind in LI.KINDS and len(names) <= LI.MAX_FEATURES:
+        return LI.spark_model(LI.solve(LI.total(sums()), kind, **{k: v for k, v in params.items() if k in ("alpha", "l1_ratio")}))
+    sigma, n = label_std_pop(feats, label)
+    return make_estimator(kind, label, sigma, n, **params).fit(feats)
+
+
 def train_model(train: DataFrame, kind: str, label: str, features: list[str], **params):
-    sigma, n = label_std_pop(train, label)
-    pipe, names = FE.feature_pipeline(train, features, make_estimator(kind, label, sigma, n, **params))
-    return pipe.fit(train), names
+    stages, names = FE.feature_stages(train, features)
+    prep = Pipeline(stages=stages).fit(train)
+    feats = prep.transform(train)
+    return PipelineModel(stages=list(prep.stages) + [_fit(feats, kind, label, names, lambda: LI.moments(feats, label), **params)]), names
 
 
 def evaluate(model, test: DataFrame, label: str, name: str, log_target: bool = False) -> DataFrame:
@@ -150,12 +180,14 @@ def train_family(df: DataFrame, key: str, label: str, features: list[str], kinds
     train = flagged.where(~F.col("is_test")).drop("is_test")
     test = flagged.where(F.col("is_test")).drop("is_test")
     models, metrics = {}, None
-    # preprocessing statistics depend on the training rows only: fit them once
+    # preprocessing statistics and the linear models' sums depend on the training rows only:
+    # they are gathered once
     stages, names = FE.feature_stages(train, features)
-    sigma, n = label_std_pop(train, "__label")
+    prep = Pipeline(stages=stages).fit(train)
+    feats = prep.transform(train)
+    sums = functools.cache(lambda: LI.moments(feats, "__label"))
     for kind in kinds:
-        est = make_estimator(kind, "__label", sigma, n, **(params or {}).get(kind, {}))
-        m = Pipeline(stages=stages + [est]).fit(train)
+        m = PipelineModel(stages=list(prep.stages) + [_fit(feats, kind, "__label", names, sums, **(params or {}).get(kind, {}))])
         models[kind] = m
         met = evaluate(m, test, "__label", kind, log_target)
         metrics = met if metrics is None else metrics.unionByName(met)
@@ -163,16 +195,14 @@ def train_family(df: DataFrame, key: str, label: str, features: list[str], kinds
 
 
 def feature_importance(model: PipelineModel, names: list[str]) -> DataFrame | None:
-    """Importances (trees) or absolute coefficients (linear) with names, sorted."""
+    """Importances (trees, from their nodes) or absolute coefficients (linear) with names, sorted."""
     spark = SparkSession.getActiveSession()
     last = model.stages[-1]
     if hasattr(last, "featureImportances"):
-        vals = last.featureImportances.toArray().tolist()
-    elif hasattr(last, "coefficients"):
-        vals = [abs(v) for v in last.coefficients.toArray().tolist()]
-    else:
+        return TR.importances(last, names)
+    if not hasattr(last, "coefficients"):
         return None
-    rows = list(zip(names, [float(v) for v in vals]))
+    rows = list(zip(names, [abs(float(v)) for v in last.coefficients.toArray()]))
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
@@ -186,22 +216,45 @@ def score(model: PipelineModel, specs: DataFrame, log_target: bool = False, out:
     return pred.select(*keep, p.alias(out))
 
 
+def unusable(model: PipelineModel, specs: DataFrame) -> Column:
+    """Why a row cannot be priced, else null: a text where the model needs a number, or a
+    number that is not finite.  Missing values are filled and unknown categories count for
+    nothing, as the preprocessing has it."""
+    reasons = []
+    for c, kind in FE.inputs(model.stages[0]).items():
+        if kind == "number" and c in specs.columns:
+            raw = F.col(f"`{c}`")
+            value = raw.try_cast("double")
+            reasons.append(F.when(raw.isNotNull() & (value.isNull() | F.isnan(value) | (F.abs(value) == float("inf"))), F.lit(f"{c} is not a number")))
+    return F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
+
+
 def compare_models(models: dict, specs: DataFrame, key: str, log_target: bool = False,
                    warnings: str | None = None) -> DataFrame:
     """Long table (key, model, predicted_price, n_warnings, message) from one scan of the
-    specs: the models' transforms are chained, each keeping its prediction alone.  A model
-    that cannot score these specs gives null prices and the reason; linear models count the
-    two standing warnings.  ``warnings`` names a column with the spec's own count."""
+    specs: the models' transforms are chained, each keeping its prediction alone.  A row
+    that a model cannot price has a null price and the reason, and so has every row for a
+    model that lacks an input; the others keep theirs.  Linear models count the two
+    standing warnings.  ``warnings`` names a column with the spec's own count."""
     wide, rows = specs, []
     for i, (name, m) in enumerate(models.items()):
         linear = any(w in name for w in LINEAR_NAMES)
         price, message = F.lit(None).cast("double"), F.lit(None).cast("string")
-        try:
+        needed = FE.inputs(m.stages[0])
+        missing = [c for c in needed if c not in specs.columns]
+        if missing:
+            message = F.lit(f"Prediction failed: no column {', '.join(missing)}")
+        else:
+            # rows that would end the job go through with the value missing
+            finite = {c: F.when(F.abs(v := F.col(f"`{c}`").try_cast("double")) < float("inf"), v) for c, k in needed.items() if k == "number"}
+            reason = unusable(m, specs)
+            guarded = wide.withColumn(f"__m{i}", reason).withColumns({f"__was_{c}": F.col(f"`{c}`") for c in finite}).withColumns(finite)
             p = F.expm1("prediction") if log_target else F.col("prediction")
-            wide = m.transform(wide).select(*wide.columns, p.alias(f"__p{i}"))
-            price = F.col(f"__p{i}")
-        except (AnalysisException, IllegalArgumentException) as e:
-            message = F.lit(f"Prediction failed: {str(e).splitlines()[0]}")
+            back = [F.col(f"__was_{c}").alias(c) if c in finite else F.col(f"`{c}`") for c in wide.columns]
+            wide = m.transform(guarded).select(*back, f"__m{i}", p.alias(f"__p{i}"))
+            message = F.when(F.col(f"__m{i}").isNotNull(), F.concat(F.lit("Prediction failed: "), F.col(f"__m{i}")))
+            usable = F.col(f"__m{i}").isNull() & ~F.isnan(f"__p{i}")
+            price = F.when(usable, F.col(f"__p{i}"))
         n = F.lit(2 if linear else 0) + (F.coalesce(F.col(warnings), F.lit(0)) if warnings else F.lit(0))
         rows.append(F.struct(F.lit(name).alias("model"), price.alias("predicted_price"), n.cast("int").alias("n_warnings"), message.alias("message")))
     return wide.select(key, F.inline(F.array(*rows)))

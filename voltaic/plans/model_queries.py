@@ -136,6 +136,46 @@ def model_enet1(spark, sf):
                       round_half_up(F.col("slope"), 2).alias("slope"))
 
 
+# --- many features: normal equations in SQL ------------------------------------------------------------------
+
+_NUMBERS = [c for c in models.FAMILY_A_FEATURES if c in DQ.DOUBLE_SPEC or c == "frequency"]
+_LEVELS = {"cooling_type": K.SPEC_COOLING, "tap_changer": ["false", "true"], "phase": K.SPEC_PHASES, "installation_type": K.SPEC_INSTALLATION,
+           "insulation_type": K.SPEC_INSULATION, "manufacturing_location": K.SPEC_LOCATIONS}
+
+
+def _solved_sql(rows_and_penalties: str, fitted_on: str) -> str:
+    """DuckDB text up to ``predicted`` (spec_id, fold, alpha, y) of ridge fits (alpha 0: OLS) on all
+    features of the labelled specs: sums of products per fold, centred normal equations, and
+    Gauss-Jordan elimination step by step, columns without a pivot left out."""
+    xs = [f"(cast({c} as double) - m_{c}) / s_{c}" for c in _NUMBERS]
+    xs += [f"case when cast({c} as varchar) = '{level}' then 1.0 else 0.0 end" for c, levels in _LEVELS.items() for level in sorted(levels)]
+    p = len(xs)
+    stats = ", ".join(f"avg(cast({c} as double)) as m_{c}, stddev_pop(cast({c} as double)) as s_{c}" for c in _NUMBERS)
+    step = (f"list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 2}), lambda j: case when abs(m[k][k]) < 1e-6 then m[i][j] "
+            "when i = k then m[k][j] / m[k][k] else m[i][j] - m[i][k] * m[k][j] / m[k][k] end))")
+    return "with recursive " + DQ.G1_GEN + f""",
+data as (select *, cast(price as double) as y, {_FOLD} as fold, {_TEST} as is_test from gspecs),
+scale as (select {stats} from data where {fitted_on}),
+design as (select spec_id, y, fold, is_test, [{", ".join(f"cast({x} as double)" for x in xs)}] as x from data, scale),
+level as (select avg(y) as y0 from design where {fitted_on}),
+z as (select fold, list_concat(list_concat([cast(1.0 as double)], x), [y - y0]) as z from design, level where {fitted_on}),
+gram as (select fold, i, j, sum(z[i] * z[j]) as s from z, range(1, {p + 3}) a(i), range(1, {p + 3}) b(j) group by fold, i, j),
+{rows_and_penalties},
+centred as (select f.fold, alpha, f.i - 1 as i, f.j - 1 as j, f.s - a.s * b.s / n.s + case when f.i = f.j and f.i <= {p + 1} then alpha else 0.0 end as v
+  from fit_rows f join fit_rows a on a.fold = f.fold and a.i = 1 and a.j = f.i join fit_rows b on b.fold = f.fold and b.i = 1 and b.j = f.j
+  join fit_rows n on n.fold = f.fold and n.i = 1 and n.j = 1, penalty where f.i > 1 and f.j > 1 and f.i <= {p + 1}),
+matrix as (select fold, alpha, list(row order by i) as m from (select fold, alpha, i, list(v order by j) as row from centred group by fold, alpha, i) t group by fold, alpha),
+steps as (select fold, alpha, 1 as k, m from matrix union all select fold, alpha, k + 1, {step} from steps where k <= {p}),
+weight as (select fold, alpha, list_transform(range(1, {p + 1}), lambda i: case when abs(m[i][i] - 1) < 1e-3 then m[i][{p + 1}] else 0.0 end) as w from steps where k = {p + 1}),
+mean as (select fold, list(s / n order by j) as c from (select f.fold, f.j, f.s, n.s as n from fit_rows f join fit_rows n on n.fold = f.fold and n.i = 1 and n.j = 1
+  where f.i = 1 and f.j > 1) t group by fold),
+predicted as (select spec_id, w.fold, alpha, y0 + c[{p + 1}] + list_sum(list_transform(range(1, {p + 1}), lambda i: w.w[i] * (x[i] - c[i]))) as y
+  from design, weight w join mean on mean.fold = w.fold, level)"""
+
+
+_FOLD = f"cast(floor({R.sql_uniform('spec_id', 2000 + K.SPLIT_SEED)} * 5) as integer)"
+
+
 # --- rows-only: training families, trees, grid, scoring ------------------------------------------------------
 
 def family_a(spark, sf, kinds, params=None):
@@ -164,15 +204,32 @@ def model_gbt(spark, sf):
     return met
 
 
-@query("model_grid")
+@query("model_grid", _solved_sql(f"""
+fit_rows as (select f.fold, g.i, g.j, sum(s) as s from gram g join (select unnest(range(5)) as fold) f on g.fold <> f.fold group by f.fold, g.i, g.j),
+penalty as (select unnest({list(map(float, K.RIDGE_ALPHAS))}) as alpha)""", "true") + f"""
+, error as (select alpha, d.fold, sum((d.y - p.y) * (d.y - p.y)) as e, count(*) as n, var_pop(d.y) as v
+  from design d join predicted p on p.spec_id = d.spec_id and p.fold = d.fold group by alpha, d.fold)
+select alpha, {r('avg(1 - e / (n * v))', 'cv_r2')} from error group by alpha""")
 def model_grid(spark, sf):
-    """M9: 5-fold grid search of ridge over the reference alphas; CV R^2 per alpha."""
+    """M9: 5-fold grid search of ridge over the reference alphas, all features; CV R^2 per alpha."""
     df = DQ.gen_specs(spark, sf).withColumn("label", F.col("price").cast("double"))
     _, _, avg = models.grid_search(df, "ridge", "label", models.FAMILY_A_FEATURES, "spec_id")
     rows = [(float(a), float(m)) for a, m in zip(K.RIDGE_ALPHAS, avg)]
     return spark.createDataFrame(rows, "alpha double, cv_r2 double")
 
 
+@query("model_linear_metrics", _solved_sql("""
+fit_rows as (select 0 as fold, i, j, sum(s) as s from gram where fold >= 0 group by i, j),
+penalty as (select unnest([0.0, 1.0]) as alpha)""", "not is_test") + f"""
+, t as (select case alpha when 0.0 then 'linear' else 'ridge' end as model, d.y, p.y as f from design d join predicted p on p.spec_id = d.spec_id where d.is_test)
+select model, count(*) as n, {r('sqrt(avg((y - f) * (y - f)))', 'rmse', 2)}, {r('avg(abs(y - f))', 'mae', 2)},
+  {r('1 - sum((y - f) * (y - f)) / (count(*) * var_pop(y))', 'r2')}, {r('100 * avg(abs((y - f) / y))', 'mape', 4)} from t group by model""")
+def model_linear_metrics(spark, sf):
+    """OLS and ridge on all features of the labelled specs; test metrics."""
+    _, met, _ = family_a(spark, sf, ["linear", "ridge"], {"ridge": {"alpha": 1.0}})
+    return met.select("model", "n", *[round_half_up(F.col(c), d).alias(c) for c, d in (("rmse", 2), ("mae", 2), ("r2", 6), ("mape", 4))])
+
+
 @query("model_importance")
 def model_importance(spark, sf):
     """Random-forest importances with feature names, sorted."""
@@ -318,18 +375,14 @@ def model_registry1(spark, sf):
     return looked.select("model", "rmse", "mae", "r2", "is_default", (F.col("model") == best).alias("is_best"), F.lit(scored).cast("long").alias("reloaded_rows"))
 
 
-_FOLD = f"cast(floor({R.sql_uniform('spec_id', 2000 + K.SPLIT_SEED)} * 5) as integer)"
-
-
 @query("model_grid1", SPEC + f"""
 , m0 as (select avg(power_rating) as mx, stddev_pop(power_rating) as sx from specs),
 t as (select (power_rating - mx) / sx as z, quoted_price as y, {_FOLD} as fold from specs, m0),
 a as (select unnest({list(map(float, K.RIDGE_ALPHAS))}) as alpha),
 f as (select unnest(range(5)) as fold),
-w as (select stddev_pop(quoted_price) as sall, count(*) as nall from specs),
-s as (select f.fold, avg(z) as mz, avg(y) as my, count(*) as n, stddev_pop(y) as sy from t join f on t.fold <> f.fold group by f.fold),
+s as (select f.fold, avg(z) as mz, avg(y) as my, count(*) as n from t join f on t.fold <> f.fold group by f.fold),
 c as (select s.fold, sum((z - mz) * (z - mz)) as szz, sum((z - mz) * (y - my)) as szy from t join s on t.fold <> s.fold group by s.fold),
-g as (select alpha, s.fold, mz, my, szy / (szz + alpha * (sall / sy) * (n / nall)) as b from a, s join c on s.fold = c.fold, w),
+g as (select alpha, s.fold, mz, my, szy / (szz + alpha) as b from a, s join c on s.fold = c.fold),
 e as (select alpha, g.fold, 1 - sum((y - my - b * (z - mz)) * (y - my - b * (z - mz))) / (count(*) * var_pop(y)) as r2 from g join t on t.fold = g.fold group by alpha, g.fold)
 select alpha, {r('avg(r2)', 'cv_r2', 6)} from e group by alpha""")
 def model_grid1(spark, sf):
@@ -370,6 +423,49 @@ def model_gbt_stump(spark, sf):
     return _stump(spark, sf, "gradient_boosting")
 
 
+_BEST = "nl * 1.0 * nr / (nl + nr) * (yl - yr) * (yl - yr)"
+
+
+@query("model_importance_tree", SPEC + f"""
+, w as (select spec_id, unnest([primary_voltage, secondary_voltage]) as v, unnest(['primary_voltage', 'secondary_voltage']) as feature,
+  quoted_price * (1 + primary_voltage / 50 + secondary_voltage) as y from specs),
+c as (select distinct feature, v as cut from w),
+s0 as (select c.feature, cut, count(*) filter (where v <= cut) as nl, avg(y) filter (where v <= cut) as yl, count(*) filter (where v > cut) as nr,
+  avg(y) filter (where v > cut) as yr from w join c on c.feature = w.feature group by c.feature, cut),
+b0 as (select *, {_BEST} as gain from s0 where nl > 0 and nr > 0 order by gain desc limit 1),
+side as (select spec_id, v <= cut as goes from w join b0 on b0.feature = w.feature),
+s1 as (select goes, c.feature, c.cut, count(*) filter (where v <= cut) as nl, avg(y) filter (where v <= cut) as yl, count(*) filter (where v > cut) as nr,
+  avg(y) filter (where v > cut) as yr from w join side on side.spec_id = w.spec_id join c on c.feature = w.feature group by goes, c.feature, c.cut),
+b1 as (select *, {_BEST} as gain, row_number() over (partition by goes order by {_BEST} desc) as o from s1 where nl > 0 and nr > 0),
+g as (select feature, gain from b0 union all select feature, gain from b1 where o = 1)
+select f.feature, {r('coalesce(sum(gain), 0) / (select sum(gain) from g)', 'importance', 5)}
+from (select distinct feature from w) f left join g on g.feature = f.feature group by f.feature""")
+def model_importance_tree(spark, sf):
+    """Importances of a tree of depth two, read off its nodes, equal a search of all splits."""
+    df = B.specs(spark, sf).select("spec_id", "primary_voltage", "secondary_voltage",
+                                    (F.col("quoted_price") * (1 + F.col("primary_voltage") / 50 + F.col("secondary_voltage"))).alias("price"))
+    m, names = models.train_model(df, "random_forest", "price", ["primary_voltage", "secondary_voltage"], n_estimators=1, max_depth=2, bootstrap=False)
+    out = models.feature_importance(m, names)
+    return out.select("feature", round_half_up(F.col("importance"), 5).alias("importance"))
+
+
+_BAD = "case spec_id % 10 when 0 then 'n/a' when 1 then null when 2 then 'NaN' else cast(power_rating as {0}) end"
+
+
+@query("model_guarded", SPEC + _PAIR + f"""
+, g as (select p.spec_id, case p.spec_id % 10 when 1 then med else x end as x, p.spec_id % 10 in (0, 2) as bad, mx, my, sx, szy, n
+  from p join t on t.spec_id = p.spec_id, q, (select median(x) as med from t where not is_test) d),
+u as (select spec_id, bad, 'linear' as model, my + szy / n * (x - mx) / sx as price from g union all
+  select spec_id, bad, 'ridge', my + szy / (n + 500.0) * (x - mx) / sx from g)
+select spec_id, model, case when bad then null else {r('price', 'price', 2).rsplit(' as ', 1)[0]} end as predicted_price, 2 as n_warnings,
+  case when bad then 'Prediction failed: power_rating is not a number' end as message from u""")
+def model_guarded(spark, sf):
+    """Rows that a model cannot price have no price and a reason; the other rows keep theirs."""
+    data, ms, _ = _pair(spark, sf)
+    long = models.compare_models(ms, data.drop("price").withColumn("power_rating", F.expr(_BAD.format("string"))), "spec_id")
+    return long.select("spec_id", "model", round_half_up(F.col("predicted_price"), 2).alias("predicted_price"), "n_warnings", "message")
+
+
 @query("model_grid_kinds")
 def model_grid_kinds(spark, sf):
     """M9 for the other kinds: the lasso's alphas and the full tree grids, ``constants.RF_GRID`` (36

@@ -130,6 +130,20 @@ def test_op7_odd_rows(spark):
 
 
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (6, 3)])
+def test_op7_documents_of_many_dropped_lines(spark):
+    """Six documents of 40,000 shared lines, one of them twice, and two rows without an id."""
+    import time
+    lines = [f"{i:06d} a line of more than forty characters in all documents" for i in range(40_000)]
+    rows = [(i, "\n".join(lines + [f"own {i}"])) for i in range(6)] + [(2, "\n".join(lines + ["own 2"])), (None, lines[7] + "\nx"), (None, "y\n" + lines[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    begin = time.time()
+    got = {(r.doc_id, r.text[:5]): (r.text, r._lines.n_lines, r._lines.n_dropped) for r in line_dedup.deduplicate_lines(docs).collect()}
+    assert time.time() - begin < 60
+    assert {k: v for k, v in got.items() if k[0] != 5} == {**{(i, f"own {i}"): (f"own {i}", 40_001, 40_000) for i in range(5)},
+                                                          (None, "x"): ("x", 2, 1), (None, "y"): ("y", 2, 1)}
+    assert [v for k, v in got.items() if k[0] == 5] == [("\n".join(lines + ["own 5"]), 40_001, 0)]
+
+
 def test_op7_runs_compact_and_anti_join(spark, batches, fanout):
     from voltaic.session import scratch_path
     store = line_dedup.LineRuns(spark, scratch_path(spark, f"runs-{batches}-{fanout}"), fanout)

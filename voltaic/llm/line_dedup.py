@@ -5,7 +5,9 @@ in runs sorted by key.  A batch of documents is aggregated to one row per key, i
 anti-joined (sort-merge) with the runs to tell new lines from known ones, and adds its
 own run at level 0.  When a level holds ``fanout`` runs they are merged into one run of
 the next level, so a store of N batches holds O(log N) runs and rewrites each row
-O(log N) times.  Keys are 128-bit hashes of the stripped, lower-cased line.
+O(log N) times.  Keys are 128-bit hashes of the stripped, lower-cased line.  Each row keeps
+the places of its keys' lines, so lines are hashed once and a text loses its dropped
+places in one pass over them, however many they are.
 
 Results for odd input: null and empty texts are one empty line; a null ``doc_id`` counts
 as one document, smaller than all others; rows with the same ``doc_id`` are one document,
@@ -29,6 +31,8 @@ BLANKS = " \t\n\x0b\f\r"
 #: A-Z and a-z.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+KEYS = "k1 long, k2 long, doc_id long, t1 long, t2 long, places array<int>, batch int"
+
 #: The struct of counts that deduplicate_lines() adds.
 COUNTS = "_lines"
 
@@ -43,10 +47,18 @@ def line_key(line: Column, min_chars: int) -> Column:
     return F.when(F.char_length(key) >= min_chars, F.struct(F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(7), key).alias("k2")))
 
 
+def text_key(text: Column) -> dict[str, Column]:
+    """Two hashes of a row's text, null or not: with ``doc_id`` they tell rows apart that are not equal."""
+    return {"t1": F.xxhash64(text, text.isNull()), "t2": F.xxhash64(F.lit(7), text)}
+
+
 def batch_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(``k1``, ``k2``, ``doc_id``): distinct long lines of each document."""
-    keys = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), lambda x: line_key(x, min_chars)), lambda k: k.isNotNull()))
-    return docs.select("doc_id", F.explode(keys).alias("k")).select("k.k1", "k.k2", "doc_id")
+    """(``k1``, ``k2``, ``doc_id``, ``t1``, ``t2``, ``places``): distinct long lines of each row and
+    where they are (from 0).  Equal rows are one."""
+    keys = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(line_key(x, min_chars).alias("k"), i.alias("place")))
+    found = docs.select("doc_id", "t1", "t2", F.explode(F.filter(keys, lambda x: x["k"].isNotNull())).alias("line"))
+    return (found.groupBy(F.col("line.k.k1").alias("k1"), F.col("line.k.k2").alias("k2"), "doc_id", "t1", "t2")
+            .agg(F.collect_set("line.place").alias("places")))
 
 
 class LineRuns:
@@ -101,22 +113,29 @@ class LineRuns:
 def repeated_lines(docs: DataFrame, keys_path: str, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """(``k1``, ``k2``, ``last_doc``) of lines found in at least ``min_docs`` documents,
     gathered by batches of documents, last ids first, through the levelled runs.
-    ``keys_path`` receives the distinct keys of each document."""
+    ``keys_path`` receives the distinct keys of each row of ``docs`` (``doc_id``, ``text``, ``t1``, ``t2``)."""
     spark = docs.sparkSession
     store = LineRuns(spark, intermediate_path(spark, "line_runs"), fanout)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(batches - 1, 0, -1)])).first()[0] or []
     batch = F.lit(len(cuts))
     for i, cut in reversed(list(enumerate(cuts))):
         batch = F.when(F.col("doc_id") > cut, i).otherwise(batch)
-    # rows of one doc_id are one document: its keys are made distinct before they are counted
-    keys = batch_keys(docs, min_chars).dropDuplicates(["k1", "k2", "doc_id"]).withColumn("batch", batch)
-    keys.write.partitionBy("batch").parquet(keys_path)
-    schema = "k1 long, k2 long, doc_id long, batch int"
+    batch_keys(docs, min_chars).withColumn("batch", batch).write.partitionBy("batch").parquet(keys_path)
     for b in range(len(cuts) + 1):
-        store.add(spark.read.schema(schema).parquet(keys_path).where(F.col("batch") == b).drop("batch"))
+        # rows of one doc_id are one document
+        store.add(spark.read.schema(KEYS).parquet(keys_path).where(F.col("batch") == b).select("k1", "k2", "doc_id").distinct())
     return store.state().where(F.col("n_docs") >= min_docs).select("k1", "k2", "last_doc")
 
 
+def without(lines: Column, places: Column) -> Column:
+    """``lines`` less those at the sorted ``places``: the runs between them, one after the other."""
+    def run(j: Column) -> Column:
+        begin = F.when(j == 0, 1).otherwise(F.get(places, j - 1) + 2)
+        end = F.coalesce(F.get(places, j) + 1, F.size(lines) + 1)
+        return F.slice(lines, begin, end - begin)
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(places)), run))
+
+
 def deduplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 3) -> DataFrame:
     """``docs`` with ``text`` reduced to the remaining lines (joined by \\n) and a struct
     ``_lines`` more: ``n_lines`` before dropping and ``n_dropped``.  Lines whose key has at least
@@ -124,27 +143,21 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, b
     the largest ``doc_id`` that holds them."""
     spark = docs.sparkSession
     texts = doc_texts(docs)
+    texts = texts.withColumns(text_key(F.col("text")))
     keys_path = intermediate_path(spark, "line_keys")
     repeated = repeated_lines(texts, keys_path, min_chars, min_docs, batches, fanout)
-    keys = spark.read.schema("k1 long, k2 long, doc_id long, batch int").parquet(keys_path).drop("batch")
-    drops = (keys.join(repeated, ["k1", "k2"])
+    drops = (spark.read.schema(KEYS).parquet(keys_path).join(repeated, ["k1", "k2"])
              .where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-             .groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
-             .withColumnRenamed("doc_id", "drop_id"))
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
-    joined = inner.join(drops, inner["id"].eqNullSafe(drops["drop_id"]), "left")
-    lines = lines_of(F.col("row.text").cast("string"))
-
-    def stays(line: Column) -> Column:
-        key = line_key(line, min_chars)
-        return key.isNull() | ~F.array_contains(F.col("gone"), key)
-
-    kept = F.when(F.col("gone").isNotNull(), F.filter(lines, stays))
-    text = F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(F.array_join("kept", "\n"))
-    dropped = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept"))
-    return (joined.select("row", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-            .select(*[text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns],
-                    F.struct("n_lines", dropped.cast("long").alias("n_dropped")).alias(COUNTS)))
+             .groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("gone"))
+             .select(F.col("doc_id").alias("drop_id"), F.col("t1").alias("drop_1"), F.col("t2").alias("drop_2"), "gone"))
+    text = F.col("row.text").cast("string")
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    inner = inner.select("row", F.col("row.doc_id").cast("long").alias("id"), *[c.alias(n) for n, c in text_key(text).items()])
+    joined = inner.join(drops, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("t1") == F.col("drop_1")) & (F.col("t2") == F.col("drop_2")), "left")
+    kept = F.when(F.col("gone").isNotNull(), F.array_join(without(F.col("lines"), F.col("gone")), "\n")).otherwise(F.col("row.text"))
+    counts = F.struct(F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return (joined.select("row", "gone", lines_of(text).alias("lines"))
+            .select(*[kept.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns], counts.alias(COUNTS)))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:

@@ -102,7 +102,9 @@ def with_neighbours(fps: DataFrame, max_bits: int) -> DataFrame:
         masks = [_signed(sum(1 << i for i in chosen)) for r in range((rest + 1) // 2 + 1) for chosen in itertools.combinations(bits, r)]
         keys.append(ball(b, F.col("fp").bitwiseAND(F.lit(_signed(~out & (1 << 64) - 1))), masks))
     by_key = Window.partitionBy("key", "b").orderBy("fp")
-    met = (fps.select("fp", F.explode(F.concat(*keys)).alias("k")).select("fp", "k.b", "k.key")
+    # few bytes, but each row becomes a ball: dealt out to all tasks
+    dealt = fps.repartition(min_partitions(fps.sparkSession), "fp")
+    met = (dealt.select("fp", F.explode(F.concat(*keys)).alias("k")).select("fp", "k.b", "k.key")
            .select("fp", F.lag("fp").over(by_key).alias("before"), F.lead("fp").over(by_key).alias("after")))
     return met.where("before is not null or after is not null").select("fp").distinct()
 
@@ -112,7 +114,6 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     connected components are those of all such pairs."""
     ball = _literal(ball_masks(64, (max_bits + 1) // 2))
     by_variant = Window.partitionBy("variant").orderBy("fp")
-    # few bytes, but each row becomes a ball: dealt out to all tasks
     met = with_neighbours(fps, max_bits).repartition(min_partitions(fps.sparkSession), "fp")
     return (met.select("fp", F.explode(F.transform(ball, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
             .select(F.first("fp").over(by_variant).alias("u"), F.col("fp").alias("v"))

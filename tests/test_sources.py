@@ -26,6 +26,58 @@ def test_html_scan(spark):
     assert r["quantity"] == 2.0 and r["unit_price_usd"] == 1200.5 and r["power_rating_kva"] == 500.0
 
 
+def rows_brute(page):
+    """Cells of all rows after the first of the first listing table, by a parser that follows nesting."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.rows, self.on, self.done = [], [], False, False
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "table" and not self.on and "table" in (dict(attrs).get("class") or "").split():
+                self.on = True
+            if not self.on or self.done or tag not in ("table", "tr", "td"):
+                return
+            node = {"tag": tag, "text": [], "cells": []}
+            if tag == "tr":
+                self.rows.append(node)
+            if tag == "td":
+                for n in self.stack:
+                    if n["tag"] == "tr":
+                        n["cells"].append(node)
+            self.stack.append(node)
+
+        def handle_endtag(self, tag):
+            if self.on and not self.done and tag in ("table", "tr", "td"):
+                while self.stack and self.stack.pop()["tag"] != tag:
+                    pass
+                self.done = not self.stack
+
+        def handle_data(self, data):
+            for n in self.stack if not self.done else ():
+                n["text"].append(data)
+    r = Reader()
+    r.feed(page)
+    return [["".join(c["text"]).strip() for c in row["cells"]] for row in r.rows[1:]]
+
+
+def test_nested_tables_follow_the_nesting(spark):
+    inner = '<TABLE class="table"><tr><td>a</td><td>b<table><tr><td>deep</td></tr></table></td></tr><tr><td>c</td></tr></TABLE>'
+    row = "<tr><td>1</td><td>2</td><td>{}</td><td>4</td><td>5</td><td>6</td></tr>"
+    pages = [PAGE, '<table class="x table"><tr><th>h</th></tr>' + row.format("x " + inner + " y") + row.format("z") + "</table>" + row.format("outside") + "<table></table>",
+             "<p><table><tr><td>none</td></tr></table>", '<table class="table"><tr><td>' + inner + "</td></tr>" + row.format("<b>bold</b> " + inner) + row.format(inner + inner) + "</table>",
+             '<table class="table"><tr><th></th></tr>' + row.format(inner) + "<tr><td>cut", None, "", "no table", "<table class='table'></table>" + inner]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    got = {}
+    for r in sorted(H.table_rows(df).collect(), key=lambda r: (r.page_id, r.row_index)):
+        got.setdefault(r.page_id, []).append(list(r.cells))
+    want = {i: rows for i, p in enumerate(pages) if p and (rows := rows_brute(p))}
+    assert {i: r for i, r in got.items() if i not in (0, 4)} == {i: r for i, r in want.items() if i not in (0, 4)}
+    assert got[4][:len(want[4]) - 1] == want[4][:-1] and len(got[1]) == 5
+
+
 def test_append_distinct_idempotent(spark, tmpdir_path):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (3, None)], "k int, v string")
     path = os.path.join(tmpdir_path, "t")
@@ -63,6 +115,70 @@ def test_csv_roundtrip_fallback(spark, tmpdir_path):
     assert df.first()["origin"] == "Côte"
 
 
+def test_sound_csv_with_replacement_characters_stays_utf8(spark, tmpdir_path):
+    for name, data in (("a.csv", "café \ufffd".encode()), ("b%20 c.csv", "Côte".encode("latin-1")), ("d.csv", b"plain")):
+        with open(os.path.join(tmpdir_path, name), "wb") as f:
+            f.write(b"Origin,Description\n" + data + b",x\n")
+    df = FS.read_csv_fallback(spark, os.path.join(tmpdir_path, "a.csv"), "Origin string, Description string")
+    assert df.first()["origin"] == "café \ufffd"
+    both = FS.read_csv_fallback(spark, tmpdir_path, "Origin string, Description string")
+    assert sorted(r["origin"] for r in both.collect()) == ["Côte", "café \ufffd", "plain"]
+    assert sorted(r["origin"] for r in FS.read_csv_fallback(spark, tmpdir_path).collect()) == ["Côte", "café \ufffd", "plain"]
+
+
+def test_append_reads_only_the_buckets_of_a_delivery(spark, tmpdir_path, monkeypatch):
+    path = os.path.join(tmpdir_path, "t")
+    rows = [(i, None if i % 9 == 0 else f"v{i % 50}") for i in range(2000)]
+    FS.append_distinct(spark, spark.createDataFrame(rows, "k int, v string"), path)
+    delivery = spark.createDataFrame([(5, "v5"), (9, None), (7000, "new"), (7000, "new")], "k int, v string")
+    touched = {r[0] for r in FS.with_bucket(delivery).select(FS.BUCKET).distinct().collect()}
+    every, held = FS.data_files(spark, path), FS.bucket_files(spark, path, sorted(touched))
+    assert len(every) > 50 and len(held) <= len(touched) <= 3
+    read = []
+    plain = FS.new_distinct_rows
+    monkeypatch.setattr(FS, "new_distinct_rows", lambda existing, new: read.append(len(existing.inputFiles())) or plain(existing, new))
+    assert FS.append_distinct(spark, delivery, path) == 1 and read == [len(held)]
+    assert FS.append_distinct(spark, delivery, path) == 0
+    table = spark.read.parquet(path)
+    assert table.columns == ["k", "v"] and table.count() == 2001 and table.distinct().count() == 2001
+    # a table written by other means is read whole
+    other = os.path.join(tmpdir_path, "o")
+    delivery.distinct().write.parquet(other)
+    assert FS.append_distinct(spark, delivery, other) == 0 and FS.append_distinct(spark, delivery.limit(0), other) == 0
+
+
+def test_rejects_write_counts_as_it_goes(spark, tmpdir_path):
+    df = spark.createDataFrame([(1, True), (2, False), (3, None), (4, True)], "k int, is_transformer boolean")
+    seen = FS.write_with_rejects(df, os.path.join(tmpdir_path, "r"), counters={"large": F.col("k") > 2})
+    assert seen == {"rows": 4, "kept": 2, "rejected": 2, "large": 2}
+    assert spark.read.parquet(os.path.join(tmpdir_path, "r")).count() == 4
+
+
+def test_stream_goes_on_and_replays_without_reading_the_target(spark, tmpdir_path):
+    landing, target, ck = (os.path.join(tmpdir_path, n) for n in ("landing", "target", "ck"))
+    a = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k int, v string")
+    a.write.parquet(landing)
+    ingest_available_now(spark, landing, a.schema, target, ck)
+    spark.createDataFrame([(2, None), (3, "c")], "k int, v string").write.mode("append").parquet(landing)
+    ingest_available_now(spark, landing, a.schema, target, ck)
+    want = [(1, "a"), (2, None), (3, "c")]
+    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == want
+    # the last batch runs again when its commit is lost
+    commits = os.path.join(ck, "commits")
+    last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+    os.replace(os.path.join(commits, last), os.path.join(tmpdir_path, "commit"))
+    crc = os.path.join(commits, f".{last}.crc")
+    if os.path.exists(crc):
+        os.replace(crc, os.path.join(tmpdir_path, "crc"))
+    ingest_available_now(spark, landing, a.schema, target, ck)
+    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == want
+    # a stream that starts anew over the target
+    ingest_available_now(spark, landing, a.schema, target, ck + "2")
+    spark.createDataFrame([(1, "a"), (4, "d")], "k int, v string").write.mode("append").parquet(landing)
+    ingest_available_now(spark, landing, a.schema, target, ck + "2")
+    assert sorted(tuple(r) for r in spark.read.parquet(target).collect()) == want + [(4, "d")]
+
+
 def test_csv_quotes_and_line_ends(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "quoted.csv")
     with open(p, "w") as f:

@@ -81,3 +81,59 @@ def test_regression_metrics(spark):
     assert m["rmse"] == pytest.approx(np.sqrt(np.mean(e ** 2)))
     assert m["r2"] == pytest.approx(1 - np.sum(e ** 2) / np.sum((y - y.mean()) ** 2))
     assert m["mape"] == pytest.approx(np.mean([0.5, 0.0, 0.25]) * 100)
+
+
+def test_quantiles_sort_only_inside_the_bracket(spark):
+    """A hot group, heavy values, small groups: exact, and few rows reach the sort."""
+    import numpy as np
+    import pandas as pd
+
+    from voltaic.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(1)
+    hot = np.concatenate([np.round(rng.normal(50, 20, 30000), 3), np.full(9000, 7.5), rng.exponential(1e6, 5000)])
+    pdf = pd.DataFrame({"g": ["hot"] * len(hot) + ["one"] + ["two"] * 2 + ["same"] * 6000 + [None] * 5,
+                        "v": [*hot, 3.0, 1.0, 2.0, *[4.25] * 6000, *[9.0] * 5]})
+    pdf.loc[::101, "v"] = None
+    df = spark.createDataFrame(pdf.astype({"v": "Float64"}).astype(object).where(pdf.notna(), None), "g string, v double").repartition(7)
+    qs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {r["g"]: list(r)[1:] for r in exact_quantiles(df, "v", qs, ["g"]).collect()}
+    want = {g: d["v"].dropna().quantile(qs).tolist() for g, d in pdf.groupby("g")}
+    assert set(got) == {g for g, w in want.items()} and all(np.allclose(got[g], want[g], rtol=1e-12) for g in got)
+    assert list(exact_quantiles(df, "v", [0.5]).first()) == [pdf["v"].median()]
+    assert exact_quantiles(df.limit(0), "v", [0.5], ["g"]).count() == 0
+
+
+def test_density_reaches_only_near_points(spark):
+    import numpy as np
+
+    from voltaic.operators.stats import density_curve
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, 400), rng.normal(1e4, 1, 4)])
+    rows = [("a", float(v)) for v in x] + [("b", 1.0), ("b", 2.0), ("c", 5.0)]
+    got = {}
+    for r in density_curve(spark.createDataFrame(rows, "g string, x double"), "x", "g").collect():
+        got.setdefault(r.g, {})[r.i] = (r.x, r.density)
+    for g, values in (("a", x), ("b", np.array([1.0, 2.0]))):
+        bw = values.std(ddof=1) * len(values) ** -0.2
+        grid = np.linspace(values.min(), values.max(), 200)
+        want = np.exp(-0.5 * ((grid[:, None] - values) / bw) ** 2).sum(1) / (len(values) * bw * np.sqrt(2 * np.pi))
+        assert np.allclose([got[g][i][1] for i in range(200)], want, rtol=1e-9, atol=1e-12)
+    assert len(got["c"]) == 200 and got["c"][0][1] is None
+
+
+def test_fuzzy_names_against_a_large_book(spark):
+    from pyspark.sql import functions as F
+
+    from voltaic.operators import materials
+    names = [f"{w} {i % 997:03d} part" for i in range(3000) for w in ("item", "kit")]
+    book = [(f"m{i:05d} {i % 997:03d}", float(i), "USD", None, i) for i in range(100_000)]
+    book += [("item 01", 1.0, "USD", None, 100_001), ("it", 2.0, "USD", None, 100_002), ("x", 3.0, "USD", None, 100_003), ("kit 996 part", 4.0, "USD", None, 100_004)]
+    df = spark.createDataFrame([(n,) for n in [*names, "zzz", "x", "", None]], "material string")
+    bk = spark.createDataFrame(book, "material string, price double, unit string, price_date date, book_order int")
+    found = materials.contained_in(df.where("material is not null").select(F.col("material").alias("name")).distinct(), bk.select("material", "book_order"))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.name, r.material) for r in found.collect()}
+    some = [b[0] for b in book if not b[0].startswith("m")] + [b[0] for b in book[:50]]
+    assert got == {(n, m) for n in {*names, "zzz", "x", ""} for m in some if m in n}
+    resolved = {r.material: r.resolved_material for r in materials.resolve_materials(df, bk).collect()}
+    assert resolved["item 010 part"] == "item 01" and resolved["kit 996 part"] == "kit 996 part" and resolved["kit 000 part"] == "it"

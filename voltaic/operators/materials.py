@@ -107,6 +107,28 @@ def material_cost_total(specs: DataFrame, book: DataFrame, key: str = "spec_id")
 
 # --- J3: fuzzy material names --------------------------------------------------------------
 
+#: Characters of the grams that a book is indexed by.
+GRAM = 3
+
+
+def contained_in(names: DataFrame, book: DataFrame) -> DataFrame:
+    """Each of the distinct ``names`` (``name``) with every row of ``book`` whose ``material`` it contains,
+    by an equality join: a material is indexed under the one of its grams that fewest
+    materials share (a shorter material under itself), a name meets the materials of its
+    own grams, and containment decides."""
+    size = F.char_length("material")
+    starts = F.sequence(F.lit(1), F.greatest(size - GRAM + 1, F.lit(1)))
+    grams = book.withColumn("gram", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("material"), i, F.lit(GRAM))))))
+    uses = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+    index = grams.join(uses, "gram").groupBy(*book.columns).agg(F.min_by("gram", F.struct("uses", "gram")).alias("gram"))
+
+    def grams_of(k: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length("name") - k + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.col("name"), i, F.lit(k)))
+    parts = names.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[grams_of(k) for k in range(1, GRAM + 1)]))))
+    return parts.join(index, "gram").where(F.instr(F.col("name"), F.col("material")) > 0).drop("gram")
+
+
 def resolve_materials(items: DataFrame, book: DataFrame, col: str = "material") -> DataFrame:
     """Map free-text material names to price-book materials: exact name, else
     the first book material (book order) contained in the name, else keyword
@@ -115,7 +137,7 @@ def resolve_materials(items: DataFrame, book: DataFrame, col: str = "material")
     names = items.select(F.col(col).alias("name")).where(F.col("name").isNotNull()).distinct()
     bk = book.select("material", "book_order")
     exact = names.join(bk.withColumnRenamed("material", "name"), "name", "left")
-    contained = (exact.where(F.col("book_order").isNull()).select("name").join(bk, F.instr(F.col("name"), F.col("material")) > 0, "inner")
+    contained = (contained_in(exact.where(F.col("book_order").isNull()).select("name"), bk)
                  .groupBy("name").agg(F.min_by("material", "book_order").alias("by_contains")))
     rule = None
     for words, target in K.MATERIAL_KEYWORD_RULES:

@@ -114,3 +114,48 @@ def edits_brute(item, text):
             new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
         row = new
     return min(row)
+
+
+def langid_brute(text, model):
+    """(language, cosine, rejected) by dictionaries of n-grams and plain sums, from a model's numbers."""
+    import math
+    if text is None:
+        return "und", 0.0, True
+    low = text.lower()
+    words = "".join(c if c.isalpha() else " " for c in low).split()
+    if not words:
+        return "und", 0.0, True
+    # a blank on either side, beside that of the text's own end
+    padded = " " + " ".join(words) + " " * (1 if low[-1].isalpha() else 2)
+    points = [ord(c) for c in padded]
+    m32 = (1 << 32) - 1
+
+    def place(h):
+        return (h & m32) >> 18
+    counts = collections.Counter(place(p * 0x9E3779B1) for p in points if p != 32)
+    pairs = [(((a * 0x9E3779B1 & m32) ^ 0x85EBCA6B) * 0x9E3779B1 + b) & m32 for a, b in zip(points, points[1:])]
+    counts.update(place(h * 0x9E3779B1) for h in pairs)
+    counts.update(place(((h * 0xC2B2AE35 & m32) ^ (c * 0x9E3779B1 & m32)) * 0x9E3779B1) for h, c in zip(pairs, points[2:]))
+    weights = {i: math.sqrt(n) * float(model["idf"][i]) for i, n in counts.items()}
+    norm = math.sqrt(sum(w * w for w in weights.values()))
+    cosines = [sum(w * float(c[i]) for i, w in weights.items()) / norm for c in model["centroids"]]
+    best = max(range(len(cosines)), key=lambda j: (cosines[j], -j))
+    return model["langs"][best], cosines[best], 1 - cosines[best] > float(model["limits"][best])
+
+
+def leaks_brute(texts, items, max_edits=0.07):
+    """Whether each normalised text holds one of the normalised items with few enough edits: the
+    whole dynamic programme, row by row, over all texts laid end to end."""
+    line = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    owner = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
+    ramp, found = np.arange(len(line) + 1, dtype=np.int32), np.zeros(len(texts), bool)
+    for item in items:
+        allowed = min(int(len(item) * max_edits), len(item) // 10 - 1) if len(item) >= 10 else 0
+        row = np.zeros(len(line) + 1, np.int32)
+        for c in item:
+            new = np.empty_like(row)
+            new[0] = row[0] + 1
+            new[1:] = np.minimum(row[:-1] + (line != c), row[1:] + 1)
+            row = np.minimum.accumulate(new - ramp) + ramp
+        found[owner[np.flatnonzero(row[1:] <= allowed)]] = True
+    return found

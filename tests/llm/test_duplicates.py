@@ -60,7 +60,7 @@ def test_op4_equals_brute_force(spark):
     assert got == dict(zip([i for i, *_ in rows], removed_brute([t for _, t, _ in rows])))
 
 
-@pytest.mark.parametrize("max_distinct", [1, 50_000])
+@pytest.mark.parametrize("max_distinct", [1, 5, 50_000])
 def test_op4_odd_rows_with_and_without_hot_anchors(spark, max_distinct):
     rng = random.Random(3)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(330))
@@ -75,6 +75,31 @@ def test_op4_odd_rows_with_and_without_hot_anchors(spark, max_distinct):
     assert suffix_dedup.remove_repeats(odd_docs(spark)).columns == ["doc_id", "kept", "n_bytes", "n_removed", "spans"]
 
 
+def test_op4_hot_anchor_is_split_into_small_groups(spark, monkeypatch):
+    """1,500 documents embed one passage between texts of their own, some of them alike near it."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(215))
+    sides = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 5))) for _ in range(40)]
+    rows = [(i, "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 60))) + rng.choice(sides) + passage[rng.randint(0, 9):] + rng.choice(sides)
+             + "".join(rng.choice("uvw ") for _ in range(rng.randint(0, 60)))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(docs, max_distinct=100).collect()}
+    assert got == dict(zip([i for i, _ in rows], removed_brute([t for _, t in rows])))
+    # the pieces that a hot anchor is cut into: equal strings share a group
+    seen: dict[bytes, set] = {}
+    for width in suffix_dedup.WIDTHS:
+        pieces = [t.encode()[a:a + n] for t in [rows[0][1], rows[1][1]] for _, _, _, a, n in zip(*suffix_dedup.segments([t.encode()]))]
+        batch = __import__("pyarrow").RecordBatch.from_pydict({"k1": [1] * len(pieces), "k2": [1] * len(pieces), "base": [0] * len(pieces), "h": [7] * len(pieces),
+                                                               "copies": [1] * len(pieces), "text": pieces})
+        seen.clear()
+        strings = 0
+        for out in suffix_dedup._split(width, 200)(iter([batch])):
+            for r in out.to_pylist():
+                strings += r["size"] - 199
+                assert r["size"] - 199 <= width
+        assert strings == sum(len(p) - 199 for p in pieces)
+
+
 def test_op4_merge_of_shards_is_independent_of_shards():
     rng = random.Random(4)
     common = [bytes(rng.choice(b"ab") for _ in range(300)) for _ in range(3)]
@@ -129,7 +154,6 @@ def test_op7_odd_rows(spark):
     assert kept.columns == [*odd_docs(spark).columns, "_lines"]
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (6, 3)])
 def test_op7_documents_of_many_dropped_lines(spark):
     """Six documents of 40,000 shared lines, one of them twice, and two rows without an id."""
     import time
@@ -144,6 +168,7 @@ def test_op7_documents_of_many_dropped_lines(spark):
     assert [v for k, v in got.items() if k[0] == 5] == [("\n".join(lines + ["own 5"]), 40_001, 0)]
 
 
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (6, 3)])
 def test_op7_runs_compact_and_anti_join(spark, batches, fanout):
     from voltaic.session import scratch_path
     store = line_dedup.LineRuns(spark, scratch_path(spark, f"runs-{batches}-{fanout}"), fanout)

@@ -3,9 +3,12 @@ import random
 import re
 from math import comb
 
+import numpy as np
 import pytest
 from helpers import SF, edits_brute, empty_docs, odd_docs, odd_rows, sample_texts
 
+from pyspark.sql import functions as F
+
 from voltaic.llm import decontam, langid, licences, quality, queries, url_rules
 
 
@@ -41,6 +44,44 @@ def test_op5_query(spark):
         assert r.kept == (not r.base_failed and r.rejected_by == "")
 
 
+def test_op5_cutoffs_equal_a_plain_walk(spark):
+    """Every cutoff that the query's operator certifies, against all its steps tried one after the other."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(1500):
+        lang, bad = ["en", "en", "de", None][i % 4], rng.random() < .15
+        words = ["w" * rng.randint(2, 9) + str(rng.randint(0, 10**5)) for _ in range(rng.randint(55, 90))]
+        words = [w + "#" * (rng.random() < (.4 if bad else .01)) for w in words]
+        rows.append((i, " ".join(words), lang, "s", 1))
+        labels.append((i, int(not bad), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    counts = quality.document_counts(docs, "lang")
+    got = {(r.stratum, r.rule): (r.cutoff, r.n_good, r.n_rejected) for r in
+           quality.certified_cutoffs(counts, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), risk=0.05).collect()}
+    good = {i for i, q, _ in labels if q}
+    values = {}
+    for r in counts.collect():
+        if r.doc_id in good and not (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words):
+            for rule, v in (("symbols", r.n_symbols / max(r.word_chars, 1)), ("dup_lines", r.n_dup_lines / max(r.n_lines, 1)),
+                            ("repeats", r.n_repeat_words / max(r.n_words, 1)), ("long_words", r.word_chars / max(r.n_words, 1))):
+                values.setdefault((r.stratum, rule), []).append(v)
+    assert len({s for s, _ in values}) == 3
+    want = {}
+    for key, v in values.items():
+        v.sort()
+        n, passed = len(v), None
+        # few values: percentile_approx is exact, the least value whose rank is the step's share
+        steps = sorted({v[max(0, -(-int(round((1 - 0.05 * j / 40) * n * 1e9)) // 10**9) - 1)] for j in range(41)}, reverse=True)
+        for cutoff in steps:
+            over = sum(x > cutoff for x in v)
+            if sum(comb(n, i) * 0.05**i * 0.95**(n - i) for i in range(over + 1)) > quality.LEVEL / (4 * 3):
+                break
+            passed = (cutoff, n, over)
+        if passed:
+            want[key] = passed
+    assert got == want and len(want) == 12
+
+
 def test_op5_binomial_tail():
     for n, k, p in [(10, 0, .1), (30, 4, .2), (200, 3, .01), (1, 1, .5)]:
         assert quality.binomial_tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p)**(n - i) for i in range(k + 1)), rel=1e-9)
@@ -411,6 +452,32 @@ def test_op10_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows) and not any(r.rejected for r in rows)
 
 
+def test_op10_equals_brute_force(spark):
+    from helpers import langid_brute
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(langid.training_docs(docs))
+    texts = {i: t for i, t, _ in sample_texts() if len(t) < 6000}
+    extra = ["Ünïcödé straße 中文 word", "a", "x1y2 z", "İstanbul'da güzel", "", "12 34", None]
+    want = {i: langid_brute(t, model) for i, t in texts.items()}
+    rows = queries.op10_langid(spark, SF).where(F.col("doc_id").isin(list(texts))).collect()
+    assert len(rows) == len(texts) > 100
+    for r in rows:
+        lang, score, rejected = want[r.doc_id]
+        assert (r.lang_pred, r.rejected) == (lang, rejected) and abs(r.score - score) < 1e-4
+    for t, (lang, score, rejected) in zip(extra, langid.predict(extra, model, langid.MAX_DISTANCE)):
+        want_lang, want_score, _ = langid_brute(t, model)
+        assert lang == want_lang and abs(score - max(0.0, want_score)) < 1e-4
+
+
+def test_op10_fit_is_that_of_dense_vectors():
+    texts, langs = [t for _, t, _ in sample_texts()][:60], [lang for *_, lang in sample_texts()][:60]
+    model = langid.fit(texts + [None, "1"], langs + ["en", "fr"])
+    counts = np.stack([langid.ngram_counts(t) for t in texts])
+    idf = np.log(61 / (1 + (counts > 0).sum(0))) + 1
+    assert np.allclose(model["idf"], idf, rtol=1e-6) and sorted(set(model["langs"])) == sorted(set(langs))
+    assert np.allclose(np.linalg.norm(model["centroids"], axis=1), 1, atol=1e-5)
+
+
 def test_op10_odd_rows(spark):
     model = langid.fit([t for _, t, _ in sample_texts()], [lang for *_, lang in sample_texts()])
     docs = odd_docs(spark).unionByName(spark.createDataFrame([(70, "123 ... 45", "en", "s", 1), (71, "你好 世界 再見", "en", "s", 1)],

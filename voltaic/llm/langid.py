@@ -79,21 +79,30 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], centroids_per_lang: int = CENTROIDS_PER_LANG, rounds: int = 8) -> dict:
-    """The model of a bounded sample: ``idf``, ``centroids`` (rows), their ``langs`` and ``limits`` (cosine distances)."""
-    counts, kept = [], []
+    """The model of a bounded sample, fitted on the driver: beside ``CENTROIDS_PER_LANG`` x ``DIMS`` floats
+    (256 KB) and the distinct n-grams of ``SAMPLE_PER_LANG`` texts (about 5 MB) for each language it
+    holds one language's vectors (20 MB), so 100 languages take about 550 MB.  ``idf``, ``centroids`` (rows), their ``langs`` and ``limits`` (cosine distances)."""
+    # counts are held sparse; one language's vectors at a time are dense
+    sparse: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    df, n = np.zeros(DIMS, np.int64), 0
     for text, lang in zip(texts, langs):
         c = ngram_counts(text)
         if c is not None:
-            counts.append(c)
-            kept.append(lang)
-    if not counts:
+            at = np.flatnonzero(c).astype(np.uint16)
+            sparse.setdefault(lang, []).append((at, c[at]))
+            df[at] += 1
+            n += 1
+    if not n:
         return {"idf": np.zeros(DIMS, np.float32), "centroids": np.zeros((0, DIMS), np.float32), "langs": [], "limits": np.zeros(0)}
-    df = np.sum([c > 0 for c in counts], axis=0)
-    idf = (np.log((1 + len(counts)) / (1 + df)) + 1).astype(np.float32)
-    vectors = np.stack([vector(c, idf) for c in counts])
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+    def dense(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        c = np.zeros(DIMS, np.float32)
+        c[at] = values
+        return vector(c, idf)
     rows, names, reached = [], [], []
-    for lang in sorted(set(kept)):
-        own = vectors[[i for i, x in enumerate(kept) if x == lang]]
+    for lang in sorted(sparse):
+        own = np.stack([dense(*c) for c in sparse.pop(lang)])
         centres = own[[0]]
         while len(centres) < min(centroids_per_lang, len(own)):  # the text furthest from all centres so far
             centres = np.vstack([centres, own[np.argmin((own @ centres.T).max(axis=1))]])

@@ -17,9 +17,12 @@ found, and all bytes such strings cover are removed.
    more.  The round in which two neighbours part gives their common prefix; neighbours that
    never part in ``length / 8`` rounds start equal strings.  No suffix is sorted anew.
 
-Anchors with over ``max_distinct`` different segments (a passage that a large share of all
-documents embeds) would make one task's group too large: the strings of those segments are
-counted by 128-bit hashes instead, dealt out by hash.
+An anchor with over ``max_distinct`` different segments (a passage that a large share of all
+documents embeds) would make one task's group too large, so it is split: its segments are
+cut, at the same places counted from the anchor, into pieces of few strings each, and
+pieces meet by the bytes that all strings of such a piece share.  Equal strings lie in
+pieces of one group; pieces met once drop out.  Groups still too large are split again, into
+pieces of 16, 4 and 2 strings; pieces of two strings of a group differ in two bytes.
 
 Results for odd input: a null text is empty; empty and short texts lose nothing; equal rows
 lose the same bytes (all strings of at least ``length`` bytes occur twice); a null ``doc_id``
@@ -46,7 +49,11 @@ SYMBOL = 8
 CHUNK_BYTES = 1 << 20
 GROUP_BYTES = 48 << 10
 SHARD_BYTES = 12 << 10
-MAX_DISTINCT = 50_000
+#: Different segments of an anchor that are merged as one group.
+MAX_DISTINCT = 2_000
+#: Strings in a piece of a split anchor, from one split to the next.
+WIDTHS = (16, 4, 2)
+_MASK = (1 << 64) - 1
 
 
 def eight_bytes(data: bytes) -> np.ndarray:
@@ -71,6 +78,22 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
+def gram_hashes(data: bytes) -> np.ndarray:
+    """A hash of the ``ANCHOR`` bytes from every place on."""
+    eight = eight_bytes(data)
+    grams = len(data) - ANCHOR + 1
+    gram = np.zeros(grams, np.uint64)
+    for j in range(0, ANCHOR, 8):
+        gram = (gram ^ eight[j:j + grams]) * np.uint64(0x9E3779B97F4A7C15)
+        gram ^= gram >> np.uint64(29)
+    return gram
+
+
+def anchor_place(string: bytes) -> int:
+    """Where the anchor of one string lies: its least-hashed gram, the first of equals."""
+    return int(np.argmin(gram_hashes(string) >> np.uint64(24)))
+
+
 def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(text, anchor hash, segment hash, start, size) of the segments of all texts."""
     import xxhash
@@ -78,12 +101,8 @@ def segments(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32))
     if len(data) < length:
         return none
-    eight = eight_bytes(data)
-    grams = len(data) - ANCHOR + 1
-    gram = np.zeros(grams, np.uint64)
-    for j in range(0, ANCHOR, 8):
-        gram = (gram ^ eight[j:j + grams]) * np.uint64(0x9E3779B97F4A7C15)
-        gram ^= gram >> np.uint64(29)
+    gram = gram_hashes(data)
+    grams = len(gram)
     packed = (gram & ~np.uint64(0xFFFFFF)) | np.arange(grams, dtype=np.uint64)  # 40 bits of hash, then the place
     anchor = (sliding_min(packed, length - ANCHOR + 1) & np.uint64(0xFFFFFF)).astype(np.int64)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -244,40 +263,71 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, max_distinct: int = MA
 
     Equal segments are counted before they meet (partial aggregation), so a segment that a
     third of all documents hold is one row per task; its documents find its count by a join,
-    whose large keys are split at run time."""
-    rows = segment_table(docs, length)
-    by_anchor = Window.partitionBy("h")
-    met = (rows.groupBy("h", "seg").agg(F.sum(F.size("starts")).alias("copies"))
-           .withColumn("met", F.sum("copies").over(by_anchor)).withColumn("different", F.count("*").over(by_anchor))
-           .where("met > 1").select("h", "seg", "copies", "different"))
-    met = materialize(met, "suffix_anchors")
-    placed = materialize(rows.join(met, ["h", "seg"]), "suffix_segments")
-    copied = placed.where("copies > 1").select("k1", "k2", F.explode("starts").alias("lo"), "size").select(
-        "k1", "k2", "lo", (F.col("lo") + F.col("size")).alias("hi"))
-
-    # of each distinct segment of an anchor that has several, one document lends the bytes
-    lent = (placed.where("different > 1").groupBy("h", "seg")
-            .agg(F.min(F.struct("k1", "k2", F.col("starts")[0].alias("start"), "size", "copies", (F.col("different") > max_distinct).alias("hot"))).alias("r")))
-    wanted = lent.select("h", "r.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "copies", "start", "size", "hot")).alias("want"))
-    sliced = docs.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "want").mapInArrow(
-        _slices, "h long, copies long, k1 long, k2 long, start int, hot boolean, bytes binary")
-    sliced = materialize(sliced, "suffix_pieces")
-    merged = (sliced.where(~F.col("hot")).drop("hot").repartition("h").sortWithinPartitions("h")
-              .mapInArrow(_merge_pieces(length), "k1 long, k2 long, lo int, hi int"))
-    strings = sliced.where("hot").mapInArrow(_string_hashes(length), "w1 long, w2 long, copies long, k1 long, k2 long, lo int")
-    often = strings.groupBy("w1", "w2").agg(F.sum("copies").alias("times")).where("times > 1").select("w1", "w2")
-    hot = strings.where("copies = 1").join(often, ["w1", "w2"]).select("k1", "k2", "lo", (F.col("lo") + length).alias("hi"))
-    return copied.unionByName(merged).unionByName(hot)
+    whose large keys are split at run time.  Segments of anchors over ``max_distinct`` go
+    through the same steps again in smaller pieces."""
+    sources = docs.select("k1", "k2", F.lit(0).alias("base"), F.lit(0).cast("long").alias("h"), F.lit(1).cast("long").alias("copies"), "text")
+    rows = segment_table(docs, length).select("h", "seg", "k1", "k2", F.lit(0).alias("base"), "starts", "size", F.size("starts").cast("long").alias("weight"))
+    out, by_anchor = None, Window.partitionBy("h")
+    for width in (None, *WIDTHS):
+        if width:
+            rows = sources.mapInArrow(_split(width, length), "h long, seg long, k1 long, k2 long, base int, starts array<int>, size int, weight long")
+        met = (rows.groupBy("h", "seg").agg(F.sum("weight").alias("copies"))
+               .withColumn("met", F.sum("copies").over(by_anchor)).withColumn("different", F.count("*").over(by_anchor))
+               .where("met > 1").select("h", "seg", "copies", "different"))
+        met = materialize(met, "suffix_anchors")
+        placed = materialize(rows.join(met, ["h", "seg"]), "suffix_segments")
+        copied = placed.where("copies > 1").select("k1", "k2", "base", F.explode("starts").alias("start"), "size").select(
+            "k1", "k2", (F.col("base") + F.col("start")).alias("lo"), (F.col("base") + F.col("start") + F.col("size")).alias("hi"))
+
+        # of each distinct segment of an anchor that has several, one document lends the bytes
+        hot = (F.col("different") > max_distinct) & F.lit(width != WIDTHS[-1])
+        lent = (placed.where("different > 1").groupBy("h", "seg")
+                .agg(F.min(F.struct("k1", "k2", "base", F.col("starts")[0].alias("start"), "size", "copies", hot.alias("hot"))).alias("r")))
+        wanted = lent.select("h", "r.*").groupBy("k1", "k2", "base").agg(F.collect_list(F.struct("h", "copies", "start", "size", "hot")).alias("want"))
+        sliced = sources.drop("h", "copies").join(wanted, ["k1", "k2", "base"]).select("k1", "k2", "base", "text", "want").mapInArrow(
+            _slices, "h long, copies long, k1 long, k2 long, start int, hot boolean, bytes binary")
+        sliced = materialize(sliced, "suffix_pieces")
+        merged = (sliced.where(~F.col("hot")).drop("hot").repartition("h").sortWithinPartitions("h")
+                  .mapInArrow(_merge_pieces(length), "k1 long, k2 long, lo int, hi int"))
+        spans = copied.unionByName(merged)
+        out = spans if out is None else out.unionByName(spans)
+        sources = sliced.where("hot").select("k1", "k2", F.col("start").alias("base"), "h", "copies", F.col("bytes").alias("text"))
+        if sources.isEmpty():
+            break
+    return out
+
+
+def _split(width: int, length: int):
+    """Cuts segments of hot anchors into pieces of at most ``width`` strings: piece b holds the
+    strings that start b x ``width`` to (b + 1) x ``width`` - 1 bytes from the anchor.  Pieces meet by
+    their anchor, b, and the bytes that are in all strings of a whole piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        digest = xxhash.xxh64_intdigest
+        for batch in row_slices(batches, 256):
+            rows = []
+            for k1, k2, base, h, copies, data in zip(*(c.to_pylist() for c in batch.columns)):
+                anchor, last = anchor_place(data[:length]), len(data) - length
+                for b in range(-anchor // width, (last - anchor) // width + 1):
+                    at = anchor + b * width
+                    lo, hi = max(0, at), min(last, at + width - 1)
+                    core = data[at + width - 1:at + length]
+                    rows.append((digest(core, (h ^ b * 0x9E3779B97F4A7C15) & _MASK), digest(data[lo:hi + length]), k1, k2, base, [lo], hi - lo + length, copies))
+            types = [pa.uint64(), pa.uint64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([c.view(pa.int64()) if i < 2 else c for i, c in enumerate(columns)],
+                                             ["h", "seg", "k1", "k2", "base", "starts", "size", "weight"])
+    return run
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted segments of each document."""
+    """The bytes of the wanted segments of each document or piece (which begins at ``base``)."""
     names = ["h", "copies", "k1", "k2", "start", "hot", "bytes"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
     for batch in row_slices(batches, 256):
         rows = []
-        for k1, k2, data, want in zip(*(c.to_pylist() for c in batch.columns)):
-            rows += [(w["h"], w["copies"], k1, k2, w["start"], w["hot"], data[w["start"]:w["start"] + w["size"]]) for w in want]
+        for k1, k2, base, data, want in zip(*(c.to_pylist() for c in batch.columns)):
+            rows += [(w["h"], w["copies"], k1, k2, base + w["start"], w["hot"], data[w["start"]:w["start"] + w["size"]]) for w in want]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
 
@@ -308,21 +358,6 @@ def _merge_pieces(length: int):
     return run
 
 
-def _string_hashes(length: int):
-    """Two 64-bit hashes of every string of each piece."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-        for batch in row_slices(batches, 256):
-            rows = []
-            for _, copies, k1, k2, start, _, data in zip(*(c.to_pylist() for c in batch.columns)):
-                for o in range(len(data) - length + 1):
-                    h = xxhash.xxh3_128_digest(data[o:o + length])
-                    rows.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), copies, k1, k2, start + o))
-            types = [pa.int64()] * 5 + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["w1", "w2", "copies", "k1", "k2", "lo"])
-    return run
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, max_distinct: int = MAX_DISTINCT) -> DataFrame:
     """One row per document: ``doc_id``, ``kept`` (binary: the remaining bytes), ``n_bytes``,
     ``n_removed`` and ``spans`` (maximal removed runs, begin and end)."""

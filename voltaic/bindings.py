@@ -123,6 +123,10 @@ def render(sql: str, dialect: str, sf_dir: str | None = None) -> str:
     return sql.format(S=string_type, **tables)
 
 
+#: Input bytes behind a file of a materialised binding, at most about.
+BYTES_PER_FILE = 64 << 20
+
+
 def _input_version(spark: SparkSession, sf_dir: str, sql: str) -> str:
     """Latest modification time and total size of the tables a binding reads."""
     conf, found = spark._jsc.hadoopConfiguration(), []
@@ -149,7 +153,8 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataF
     fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(done):
         part = f"{path}_{uuid.uuid4().hex[:8]}"
-        spark.sql(sql).repartition(min_partitions(spark)).write.mode("overwrite").parquet(part)
+        size = sum(int(line.rsplit(":", 1)[1]) for line in version.splitlines())
+        spark.sql(sql).repartition(max(min_partitions(spark), size // BYTES_PER_FILE)).write.mode("overwrite").parquet(part)
         if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(part), done) and not fs.exists(done):
             raise RuntimeError(f"cannot move {part} to {path}")
     return spark.read.parquet(path)

@@ -423,6 +423,41 @@ def model_gbt_stump(spark, sf):
     return _stump(spark, sf, "gradient_boosting")
 
 
+@query("model_grid_stumps", SPEC + f"""
+, w as (select primary_voltage as x, quoted_price * (1 + primary_voltage / 50) as y, {_FOLD} as fold from specs),
+c as (select distinct x as cut from w),
+f as (select unnest(range(5)) as f),
+s as (select f, cut, count(*) filter (where x <= cut) as nl, avg(y) filter (where x <= cut) as yl, count(*) filter (where x > cut) as nr,
+  avg(y) filter (where x > cut) as yr from w join f on w.fold <> f.f, c group by f, cut),
+b as (select *, row_number() over (partition by f order by nl * 1.0 * nr / (nl + nr) * (yl - yr) * (yl - yr) desc) as o from s where nl > 0 and nr > 0),
+e as (select b.f, 1 - avg((y - case when x <= cut then yl else yr end) ** 2) / var_pop(y) as r2 from w join b on w.fold = b.f where b.o = 1 group by b.f)
+select learning_rate, {r('(select avg(r2) from e)', 'cv_r2')} from (select unnest([0.1, 0.2]) as learning_rate) g""")
+def model_grid_stumps(spark, sf):
+    """M9: 5-fold search over boosting runs of one stump; whatever the rate, each is the best split."""
+    df = B.specs(spark, sf).select("spec_id", "primary_voltage", (F.col("quoted_price") * (1 + F.col("primary_voltage") / 50)).alias("label"))
+    grid = {"n_estimators": [1], "learning_rate": [0.1, 0.2], "max_depth": [1], "subsample": [1.0]}
+    _, _, avg = models.grid_search(df, "gradient_boosting", "label", ["primary_voltage"], "spec_id", grid)
+    return spark.createDataFrame(list(zip(grid["learning_rate"], map(float, avg))), "learning_rate double, cv_r2 double")
+
+
+def _searched(spark, sf, kind, **options):
+    df = DQ.gen_specs(spark, sf).withColumn("label", F.col("price").cast("double"))
+    _, _, avg = models.grid_search(df, kind, "label", models.FAMILY_A_FEATURES, "spec_id", **options)
+    return spark.createDataFrame([(kind, i, float(m)) for i, m in enumerate(avg)], "kind string, point int, cv_r2 double")
+
+
+@query("model_grid_lasso")
+def model_grid_lasso(spark, sf):
+    """M9: the lasso's alphas on all features, from one scan."""
+    return _searched(spark, sf, "lasso")
+
+
+@query("model_grid_forest")
+def model_grid_forest(spark, sf):
+    """M9: the full forest grid, ``constants.RF_GRID``, from one forest per leaf size and fold."""
+    return _searched(spark, sf, "random_forest", parallelism=8)
+
+
 _BEST = "nl * 1.0 * nr / (nl + nr) * (yl - yr) * (yl - yr)"
 
 
@@ -473,6 +508,6 @@ def model_grid_kinds(spark, sf):
     df = DQ.gen_specs(spark, sf).withColumn("label", F.col("price").cast("double"))
     rows = []
     for kind in ["lasso", "random_forest", "gradient_boosting"]:
-        _, _, avg = models.grid_search(df, kind, "label", models.FAMILY_A_FEATURES, "spec_id")
+        _, _, avg = models.grid_search(df, kind, "label", models.FAMILY_A_FEATURES, "spec_id", parallelism=8)
         rows += [(kind, i, float(m)) for i, m in enumerate(avg)]
     return spark.createDataFrame(rows, "kind string, point int, cv_r2 double")

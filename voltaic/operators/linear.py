@@ -53,13 +53,14 @@ class Linear:
     intercept: float
 
 
-def moments(feats: DataFrame, label: str, fold: str | None = None, features: str = "features") -> dict[int, Moments]:
+def moments(feats: DataFrame, label: str, fold: str | None = None, features: str = "features", p: int | None = None) -> dict[int, Moments]:
     """Moments per fold (fold 0 without a fold column), rows without a label left out; one
-    aggregate.  ``features`` is a vector column."""
-    first = feats.select(F.size(vector_to_array(features)).alias("p")).first()
-    if first is None:
-        return {}
-    p = first["p"]
+    aggregate.  ``features`` is a vector column of ``p`` places (asked of a row if not given)."""
+    if p is None:
+        first = feats.select(F.size(vector_to_array(features)).alias("p")).first()
+        if first is None:
+            return {}
+        p = first["p"]
     if p > MAX_FEATURES:
         raise ValueError(f"{p} features; at most {MAX_FEATURES} are summed in one aggregate")
     shift = float(feats.agg(F.avg(label)).first()[0] or 0.0)
@@ -82,7 +83,7 @@ def total(parts: dict[int, Moments]) -> Moments:
     return sum(rest, first)
 
 
-def solve(m: Moments, kind: str, alpha: float = 1.0, l1_ratio: float = 0.5, sweeps: int = 20_000, tolerance: float = 1e-13) -> Linear:
+def solve(m: Moments, kind: str, alpha: float = 1.0, l1_ratio: float = 0.5) -> Linear:
     """The minimiser (intercept unpenalised) of SSE (``linear``: the one of least norm), SSE +
     alpha |w|^2 (``ridge``), SSE / 2n + alpha |w|_1 (``lasso``), or SSE / 2n + alpha r |w|_1 +
     alpha (1 - r) / 2 |w|^2 (``elastic_net``)."""
@@ -93,48 +94,48 @@ def solve(m: Moments, kind: str, alpha: float = 1.0, l1_ratio: float = 0.5, swee
         w = np.linalg.solve(xx + alpha * np.eye(len(xy)), xy)
     elif kind in ("lasso", "elastic_net"):
         ratio = 1.0 if kind == "lasso" else l1_ratio
-        w = _descend(xx / m.n, xy / m.n, alpha * ratio, alpha * (1 - ratio), sweeps, tolerance)
+        w = _sparse_weights(xx / m.n, xy / m.n, alpha * ratio, alpha * (1 - ratio))
     else:
         raise ValueError(f"not a linear model: {kind}")
     means = m.sums[0] / m.n
     return Linear(w, float(means[-1] + m.shift - means[1:-1] @ w))
 
 
-def _descend(g: np.ndarray, c: np.ndarray, l1: float, l2: float, sweeps: int, tolerance: float) -> np.ndarray:
-    """Coordinate descent on the Gram matrix ``g`` finds which columns take part and their signs;
-    with these known the weights solve a linear system, and the optimality conditions tell
-    whether they were right.  Columns without variance get no weight."""
-    w, gradient = np.zeros(len(c)), c.copy()         # gradient: c - g w
-    diagonal = np.diag(g)
-    usable = [j for j in range(len(c)) if diagonal[j] > 1e-12]
+def _sparse_weights(g: np.ndarray, c: np.ndarray, l1: float, l2: float) -> np.ndarray:
+    """The minimiser of w'g w / 2 - c'w + l1 |w|_1 + l2 w'w / 2 by search over signs: a column whose slope
+    asks for a weight joins, the weights with known signs solve a linear system, and on the
+    way there the best point before a weight changes sign is taken.  Every step descends,
+    so no signs come twice and the search ends.  Columns without variance get no weight."""
+    h, w = g + l2 * np.eye(len(c)), np.zeros(len(c))
+    usable = np.diag(g) > 1e-12
     scale = np.abs(c).max(initial=0.0)
-    for sweep in range(1, sweeps + 1):
-        change = 0.0
-        for j in usable:
-            rho = gradient[j] + diagonal[j] * w[j]
-            new = np.sign(rho) * max(abs(rho) - l1, 0.0) / (diagonal[j] + l2)
-            if new != w[j]:
-                gradient -= g[:, j] * (new - w[j])
-                change = max(change, abs(new - w[j]) * diagonal[j])
-                w[j] = new
-        if change <= tolerance * scale:
-            break
-        if sweep & (sweep - 1) == 0 or sweep % 100 == 0:
-            exact = _polished(g, c, l1, l2, np.sign(w), scale)
-            if exact is not None:
-                return exact
-    return w
-
 
-def _polished(g: np.ndarray, c: np.ndarray, l1: float, l2: float, sign: np.ndarray, scale: float) -> np.ndarray | None:
-    """The minimiser if its weights have these signs, else None."""
-    on = np.flatnonzero(sign)
-    out = np.zeros(len(c))
-    out[on] = np.linalg.lstsq(g[np.ix_(on, on)] + l2 * np.eye(len(on)), c[on] - l1 * sign[on], rcond=None)[0]
-    if (np.sign(out) != sign).any():
-        return None
-    slope = c - g @ out - l2 * out
-    return out if (np.abs(slope) <= l1 + 1e-9 * scale).all() and np.allclose(slope[on], l1 * sign[on], rtol=0, atol=1e-9 * scale) else None
+    def value(v: np.ndarray) -> float:
+        return 0.5 * v @ h @ v - c @ v + l1 * np.abs(v).sum()
+
+    for _ in range(100 * (len(c) + 1)):
+        slope = np.where(usable & (w == 0), c - h @ w, 0.0)
+        j = int(np.argmax(np.abs(slope))) if len(c) else 0
+        if not len(c) or abs(slope[j]) <= l1 + 1e-11 * scale:
+            return w
+        sign = np.sign(w)
+        sign[j] = np.sign(slope[j])
+        for _ in range(10 * len(c)):
+            on = np.flatnonzero(sign)
+            goal = np.zeros(len(c))
+            goal[on] = np.linalg.lstsq(h[np.ix_(on, on)], c[on] - l1 * sign[on], rcond=1e-13)[0]
+            turns = [i for i in on if w[i] and goal[i] * w[i] < 0]
+            points = []
+            for t, i in [(1.0, None), *((w[i] / (w[i] - goal[i]), i) for i in turns)]:
+                v = w + t * (goal - w)
+                if i is not None:
+                    v[i] = 0.0
+                points.append((value(v), v, i))
+            best = min(points, key=lambda x: x[0])
+            w, sign = best[1], np.sign(best[1])
+            if best[2] is None and not turns:
+                break
+    return w
 
 
 def r2(fitted: Linear, test: Moments) -> float:

@@ -128,7 +128,7 @@ def grid_search(train: DataFrame, kind: str, label: str, features: list[str], ke
     feats = FE.fold_column(prep.transform(train).select("features", label, key), key, folds)
     if kind in ("ridge", "lasso") and len(names) <= LI.MAX_FEATURES:
         alphas = list((grid or {}).get("alpha", K.RIDGE_ALPHAS if kind == "ridge" else K.LASSO_ALPHAS))
-        parts = LI.moments(feats, label, "fold")
+        parts = LI.moments(feats, label, "fold", p=len(names))
         metrics = LI.search(parts, kind, alphas)
         best = alphas[max(range(len(alphas)), key=metrics.__getitem__)]
         fitted = LI.spark_model(LI.solve(LI.total(parts), kind, best))
@@ -162,7 +162,7 @@ def train_model(train: DataFrame, kind: str, label: str, features: list[str], **
     stages, names = FE.feature_stages(train, features)
     prep = Pipeline(stages=stages).fit(train)
     feats = prep.transform(train)
-    return PipelineModel(stages=list(prep.stages) + [_fit(feats, kind, label, names, lambda: LI.moments(feats, label), **params)]), names
+    return PipelineModel(stages=list(prep.stages) + [_fit(feats, kind, label, names, lambda: LI.moments(feats, label, p=len(names)), **params)]), names
 
 
 def evaluate(model, test: DataFrame, label: str, name: str, log_target: bool = False) -> DataFrame:
@@ -185,7 +185,7 @@ def train_family(df: DataFrame, key: str, label: str, features: list[str], kinds
     stages, names = FE.feature_stages(train, features)
     prep = Pipeline(stages=stages).fit(train)
     feats = prep.transform(train)
-    sums = functools.cache(lambda: LI.moments(feats, "__label"))
+    sums = functools.cache(lambda: LI.moments(feats, "__label", p=len(names)))
     for kind in kinds:
         m = PipelineModel(stages=list(prep.stages) + [_fit(feats, kind, "__label", names, sums, **(params or {}).get(kind, {}))])
         models[kind] = m

@@ -15,7 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import intermediate_path
@@ -85,17 +85,17 @@ def cut_predictions(model, depths: list[int]) -> DataFrame:
 
 
 def nested_scores(model, held: DataFrame, label: str, key: str, sizes: list[int], depths: list[int]) -> dict[tuple[int, int], float]:
-    """R^2 on ``held`` of the model's first ``sizes`` trees cut at each of the ``depths``, from one pass."""
-    forest = is_forest(model)
+    """R^2 on ``held`` of the model's first ``sizes`` trees (forests: cut at each of the ``depths``), from one
+    pass over its rows."""
+    if not is_forest(model):
+        spread = held.agg(F.var_pop(label)).first()[0]
+        errors = model.evaluateEachIteration(held, "squared")       # of every number of stages
+        return {(k, depths[-1]): 1 - errors[k - 1] / spread for k in sizes}
     found = model.setLeafCol("leaf").transform(held).select(key, label, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
     cells = [(k, i) for k in sizes for i in range(len(depths))]
-
-    def predicted(k: int, i: int) -> Column:
-        s = F.sum(F.when(F.col("tree") < k, F.col(f"p{i}")).otherwise(0.0))
-        return s / k if forest else s
     cuts = cut_predictions(model, depths)
     rows = (found.withColumn("leaf", F.col("leaf").cast("int")).join(F.broadcast(cuts), ["tree", "leaf"])   # bounded by the model
-            .groupBy(key, label).agg(*[predicted(k, i).alias(f"s{j}") for j, (k, i) in enumerate(cells)]))
+            .groupBy(key, label).agg(*[(F.sum(F.when(F.col("tree") < k, F.col(f"p{i}")).otherwise(0.0)) / k).alias(f"s{j}") for j, (k, i) in enumerate(cells)]))
     errors = rows.agg(F.var_pop(label).alias("spread"), *[F.avg((F.col(label) - F.col(f"s{j}")) ** 2).alias(f"e{j}") for j in range(len(cells))]).first()
     return {(k, depths[i]): 1 - errors[f"e{j}"] / errors["spread"] for j, (k, i) in enumerate(cells)}
 

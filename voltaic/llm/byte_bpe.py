@@ -5,7 +5,8 @@ A text is cut into segments (``segments``) and these into the pre-tokenizer's ma
 is that piece's id; the others are byte arrays that the rank map folds, always merging the
 adjacent pair of least rank, leftmost first, for all words of a length together.  A text's
 ids are its words' ids in order, one binary of little-endian unsigned 32-bit numbers.
-Decoding concatenates the binary pieces of the ids.
+Decoding concatenates the binary pieces of the ids, a higher-order function over a literal
+array of the pieces.
 
 Results for odd input: null and empty texts have no ids and decode to empty bytes;
 equal rows have equal results; a null ``doc_id`` passes through; an empty table gives no
@@ -15,6 +16,7 @@ rows; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterator
 
@@ -27,9 +29,9 @@ from .common import doc_bytes, row_slices, worker_state
 from .segments import Known, distinct, groups, segment_owners, starts, sums, take
 
 #: Bytes of text whose words are encoded together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 #: Distinct segments whose ids a worker keeps.
-KEPT_SEGMENTS = 150_000
+KEPT_SEGMENTS = 100_000
 #: Longer words (bytes) go through a heap, one by one (same merges, same ids).
 LONG_WORD = 48
 #: Stands for "no merge": above every rank.
@@ -215,27 +217,26 @@ class Merger:
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(``doc_id``, ``ids`` binary) of every whole text."""
+    """(``doc_id``, ``ids`` binary, ``id_list`` array) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(rank_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = worker_state(f"byte_bpe:merger:{rank_file}:{pattern}", lambda: Merger(shared.value, pattern))
         for batch in row_slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merger.encode(batch.column(1).to_pylist(), group_bytes), pa.binary())], ["doc_id", "ids"])
-    return doc_bytes(docs).mapInArrow(run, "doc_id long, ids binary")
+            packed = merger.encode(batch.column(1).to_pylist(), group_bytes)
+            ends = np.cumsum([0] + [len(b) // 4 for b in packed])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), lists], ["doc_id", "ids", "id_list"])
+    return doc_bytes(docs).mapInArrow(run, "doc_id long, ids binary, id_list array<int>")
 
 
 def decode(encoded: DataFrame, rank_file: str) -> DataFrame:
-    """``encoded`` (``doc_id``, ``ids``) with ``decoded``, the bytes of the ids' pieces."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load_ranks(rank_file))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = worker_state(f"byte_bpe:pieces:{rank_file}", lambda: {i: p for p, i in shared.value.items()})
-        for batch in row_slices(batches):
-            texts = [b"".join(map(pieces.__getitem__, np.frombuffer(b, "<u4").tolist())) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.binary())],
-                                             ["doc_id", "ids", "decoded"])
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    """``encoded`` (``doc_id``, ``ids``, ``id_list``) with ``decoded`` for the list: the bytes of the ids' pieces."""
+    pieces = {i: base64.b64encode(p).decode() for p, i in load_ranks(rank_file).items()}
+    table = F.from_json(F.lit(json.dumps([pieces.get(i) for i in range(max(pieces) + 1)])), "array<binary>")   # folded to a literal
+    # strings here are any bytes: joining them copies bytes
+    decoded = F.array_join(F.transform("id_list", lambda i: F.get(table, i).cast("string")), "").cast("binary")
+    return encoded.select("doc_id", "ids", decoded.alias("decoded"))
 
 
 def digests(decoded: DataFrame) -> DataFrame:

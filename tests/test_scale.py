@@ -16,3 +16,13 @@ def test_listing_rows_are_shuffled_without_their_texts(spark):
     exchanges = re.findall(r"\) (?:Exchange|BroadcastExchange)\b.*\nInput \[\d+\]: \[(.*)\]", plan)
     rows = [e for e in exchanges if "l_orderkey" in e]
     assert rows and not any(name in e for e in rows for name in ("p_name", "p_type", "description"))
+
+
+def test_values_are_not_broadcast_to_their_groups_statistics(spark):
+    from voltaic.operators import stats
+    df = spark.range(20000).selectExpr("id % 2 as g", "cast(id * id % 9973 as double) as v")
+    for made in (stats.histogram(df, "v", ["g"]), stats.box_stats(df, "v", ["g"])):
+        assert made.count() > 1
+        plan = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        sent = re.findall(r"\) BroadcastExchange\b.*\nInput \[\d+\]: \[(.*)\]", plan)
+        assert sent and not any(re.search(r"\b(?:__v|v)#", names) for names in sent)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .quantiles import exact_quantiles, narrow_values
+from .quantiles import exact_quantiles, join_groups, narrow_values
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,6 +23,10 @@ def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.crossJoin(right)  # without keys both are aggregates of one row, or the right one is
 
 
+def _join_values(values: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    return join_groups(values, groups, keys) if keys else _join_on(values, groups, keys)
+
+
 def _non_null_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         df = df.where(F.col(k).isNotNull())
@@ -172,7 +176,7 @@ def box_stats(df: DataFrame, value: str, keys: list[str] | None = None) -> DataF
     v = F.col("__v")
     inside = (v >= F.col("lower_fence")) & (v <= F.col("upper_fence"))
     fences = qs.select(*keys, "lower_fence", "upper_fence")
-    agg = _join_on(base, fences, keys).groupBy(*keys).agg(
+    agg = _join_values(base, fences, keys).groupBy(*keys).agg(
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("outliers"),
@@ -197,7 +201,7 @@ def histogram(df: DataFrame, value: str, keys: list[str] | None = None) -> DataF
     spec = (spec.withColumn("bins", F.when(rng > 0, F.greatest(F.ceil(rng / width), F.lit(1))).otherwise(F.lit(1))
                             .cast("int"))
                 .select(*keys, "lo", "hi", "bins"))
-    joined = _join_on(base, spec, keys)
+    joined = _join_values(base, spec, keys)
     b = F.when(F.col("hi") > F.col("lo"),
                F.least(F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")),
                        F.col("bins") - 1)).otherwise(F.lit(0)).cast("int")

@@ -26,3 +26,10 @@ def test_values_are_not_broadcast_to_their_groups_statistics(spark):
         plan = made._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         sent = re.findall(r"\) BroadcastExchange\b.*\nInput \[\d+\]: \[(.*)\]", plan)
         assert sent and not any(re.search(r"\b(?:__v|v)#", names) for names in sent)
+
+
+def test_generated_rows_are_spread_over_tasks(spark, tmpdir_path):
+    from voltaic.plans import dataset_queries as DQ
+    spark.range(100_000).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmpdir_path}/part.parquet")
+    made = DQ.gen_specs(spark, tmpdir_path)
+    assert made.rdd.getNumPartitions() == 5 and made.count() == 100_000

@@ -125,3 +125,25 @@ def test_rows_that_cannot_be_priced_do_not_end_the_job(spark):
     assert got[2, "linear"].message == "Prediction failed: x is not a number"
     clean = bad.where("id = 1").withColumn("x", F.col("x").cast("double"))
     assert got[1, "linear"].predicted_price == ms["linear"].transform(clean).first().prediction
+
+
+def test_a_forest_is_put_together_from_runs(table, tmpdir_path, monkeypatch):
+    _, _, df = table
+    seeds, fit = [], RandomForestRegressor._fit
+    monkeypatch.setattr(RandomForestRegressor, "_fit", lambda self, data: seeds.append((self.getNumTrees(), self.getSeed())) or fit(self, data))
+    est = RandomForestRegressor(numTrees=TR.TREES_A_FIT + 3, maxDepth=30, featureSubsetStrategy="all", seed=42, labelCol="y", predictionCol="p")
+    train = df.where("y is not null")
+    whole = TR.fit_forest(est, train)
+    assert sorted(n for n, _ in seeds) == [3, TR.TREES_A_FIT] and len({s for _, s in seeds}) == 2
+    assert whole.getNumTrees == TR.TREES_A_FIT + 3 and sum(whole.treeWeights) == whole.getNumTrees
+    first = fit(est.copy({est.numTrees: TR.TREES_A_FIT}), train)
+    assert [t.toDebugString.split("\n", 1)[1] for t in whole.trees[:TR.TREES_A_FIT]] == [t.toDebugString.split("\n", 1)[1] for t in first.trees]
+    again = TR.fit_forest(est, train)
+    got, same = ({r["k"]: r["p"] for r in m.transform(train).collect()} for m in (whole, again))
+    assert got == same and len(set(got.values())) > 100
+    whole.write().overwrite().save(f"{tmpdir_path}/forest")
+    kept = type(whole).load(f"{tmpdir_path}/forest")
+    assert {r["k"]: r["p"] for r in kept.transform(train).collect()} == got
+    assert sum(r["importance"] for r in TR.importances(whole, list("abcd")).collect()) == pytest.approx(1.0)
+    small = est.copy({est.numTrees: 2})
+    assert TR.fit_forest(small, train).toDebugString.split("\n", 1)[1] == fit(small, train).toDebugString.split("\n", 1)[1]

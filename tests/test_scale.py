@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import DataFrameWriter
+
 from voltaic import bindings as B
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +35,21 @@ def test_generated_rows_are_spread_over_tasks(spark, tmpdir_path):
     spark.range(100_000).selectExpr("id as p_partkey").coalesce(1).write.parquet(f"{tmpdir_path}/part.parquet")
     made = DQ.gen_specs(spark, tmpdir_path)
     assert made.rdd.getNumPartitions() == 5 and made.count() == 100_000
+
+
+def test_listings_are_joined_without_sorting_line_items(spark, tmpdir_path, monkeypatch):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(500).write.parquet(f"{tmpdir_path}/{t}.parquet")
+    written, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: written.append(spark.conf.get(B.HASH_JOIN)) or write(self, *a, **k))
+    limit, was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get(B.HASH_JOIN)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert B.listings(spark, tmpdir_path).count() >= 0 and written == [B.HASHED] and spark.conf.get(B.HASH_JOIN) == was
+        with B.hashed_joins(spark):
+            rows = spark.sql(B.render(B.SPARK_LISTINGS, "spark", SF).replace("REPARTITION(files,", "REPARTITION(16,"))
+            assert len(rows.collect()) > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    final = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ShuffledHashJoin" in final and "SortMergeJoin" not in final

@@ -1,5 +1,7 @@
 """Linear models from sums of products, tree grids and importances from node tables."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -147,3 +149,19 @@ def test_a_forest_is_put_together_from_runs(table, tmpdir_path, monkeypatch):
     assert sum(r["importance"] for r in TR.importances(whole, list("abcd")).collect()) == pytest.approx(1.0)
     small = est.copy({est.numTrees: 2})
     assert TR.fit_forest(small, train).toDebugString.split("\n", 1)[1] == fit(small, train).toDebugString.split("\n", 1)[1]
+
+
+def test_the_ensembles_of_a_family_are_grown_side_by_side(spark, monkeypatch):
+    rows = [(i, float(i % 13) + i * .1, 3.0 * i + (i % 7)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    both, fit = threading.Barrier(2, timeout=60), models._fit
+
+    def meet(feats, kind, *rest, **params):
+        if kind not in LI.KINDS:
+            both.wait()                               # breaks where one waits for the other to end
+            assert feats.is_cached
+        return fit(feats, kind, *rest, **params)
+    monkeypatch.setattr(models, "_fit", meet)
+    small = {"n_estimators": 2, "max_depth": 2}
+    ms, met, _ = models.train_family(df, "id", "y", ["x"], ["linear", "random_forest", "ridge", "gradient_boosting"], params={"random_forest": small, "gradient_boosting": small})
+    assert list(ms) == [r.model for r in met.collect()] == ["linear", "random_forest", "ridge", "gradient_boosting"]

@@ -165,3 +165,22 @@ def test_the_ensembles_of_a_family_are_grown_side_by_side(spark, monkeypatch):
     small = {"n_estimators": 2, "max_depth": 2}
     ms, met, _ = models.train_family(df, "id", "y", ["x"], ["linear", "random_forest", "ridge", "gradient_boosting"], params={"random_forest": small, "gradient_boosting": small})
     assert list(ms) == [r.model for r in met.collect()] == ["linear", "random_forest", "ridge", "gradient_boosting"]
+
+
+def test_a_grid_of_forests_keeps_the_sums_of_its_parts_only(table, monkeypatch):
+    df = table[2].where("y is not null")
+    monkeypatch.setattr(TR, "TREES_A_FIT", 2)
+    monkeypatch.setattr(TR, "RUNS_A_SCORE", 2)
+    scored, sums = [], TR.forest_sums
+    monkeypatch.setattr(TR, "forest_sums", lambda model, *rest: scored.append(model.getNumTrees) or sums(model, *rest))
+    est = RandomForestRegressor(maxDepth=8, featureSubsetStrategy="all", seed=42, labelCol="y")
+    maps = [{est.numTrees: k, est.maxDepth: d, est.minInstancesPerNode: 2} for k in (3, 7) for d in (2, 8)]
+    got = TR.nested_search(df, est, maps, "y", "k", "fold", 2, 2)
+    assert sorted(scored) == [3, 3, 4, 4]             # never all 7 trees of a forest
+    data = df.coalesce(1).persist()
+    for m, r in zip(maps, got):
+        alone = []
+        for held in range(2):
+            whole = TR.fit_forest(est, data.where(F.col("fold") != held), maps[-1])
+            alone.append(TR.nested_scores(whole, data.where(F.col("fold") == held), "y", "k", [3, 7], [2, 8])[m[est.numTrees], m[est.maxDepth]])
+        assert r == pytest.approx(sum(alone) / 2, rel=1e-9)

@@ -177,6 +177,10 @@ def test_a_grid_of_forests_keeps_the_sums_of_its_parts_only(table, monkeypatch):
     maps = [{est.numTrees: k, est.maxDepth: d, est.minInstancesPerNode: 2} for k in (3, 7) for d in (2, 8)]
     got = TR.nested_search(df, est, maps, "y", "k", "fold", 2, 2)
     assert sorted(scored) == [3, 3, 4, 4]             # never all 7 trees of a forest
+    monkeypatch.setattr(TR, "ROWS_A_TASK", df.count())       # more rows: the trees of one run at a time
+    scored.clear()
+    assert TR.nested_search(df, est, maps, "y", "k", "fold", 2, 2) == pytest.approx(got, rel=1e-9)
+    assert sorted(scored) == [1, 1, 2, 2, 2, 2, 2, 2]
     data = df.coalesce(1).persist()
     for m, r in zip(maps, got):
         alone = []

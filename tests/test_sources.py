@@ -1,4 +1,6 @@
 import os
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -232,3 +234,62 @@ def test_intermediates_are_released(spark):
     path = df.inputFiles()[0]
     assert release_intermediates(spark) >= 1
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def _shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = [os.path.join(at, name) for folder in folders for at, _, names in os.walk(folder) for name in names if name.startswith("shuffle_") and name.endswith(".data")]
+    return {f: os.path.getsize(f) for f in files if os.path.exists(f)}
+
+
+def test_a_delivery_meets_the_table_in_one_shuffle(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "t")
+    spark.range(3000).selectExpr("id as k", "if(id % 7 = 0, null, concat('v', id % 50)) as v", "cast(id as double) as x").write.parquet(path)
+    new = spark.range(1500, 4500).selectExpr("id as k", "if(id % 7 = 0, null, concat('v', id % 50)) as v", "cast(id as double) as x")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    want = sorted(new.where("k >= 3000").collect(), key=lambda r: r.k)
+    for most in ("-1", limit):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            found = FS.new_distinct_rows(spark.read.parquet(path), new)
+            assert sorted(found.collect(), key=lambda r: r.k) == want and found.dtypes == new.dtypes
+            plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            rows = [line for line in plan.split("\n") if re.search(r"(?<!Broadcast)Exchange ", line) and "Reused" not in line]
+            assert len(rows) == 1 and "__slot" in rows[0] and "Join" not in plan if most == "-1" else "BroadcastHashJoin" in plan
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    other = new.withColumn("k", F.col("k").cast("int"))                   # values of another type are other rows
+    assert FS.new_distinct_rows(spark.read.parquet(path), other).count() == 3000
+
+
+def test_large_deliveries_are_dealt_out_by_their_size(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(FS, "BYTES_A_TASK", 500)
+    path, parts = os.path.join(tmpdir_path, "t"), []
+    rows = spark.range(4000).selectExpr("id as k", "concat('v', id) as v")
+    dealt = FS._dealt
+    monkeypatch.setattr(FS, "_dealt", lambda rows, size: parts.append(dealt(rows, size)) or parts[-1])
+    assert FS.append_distinct(spark, rows.where("k < 3000"), path) == 3000
+    assert FS.append_distinct(spark, rows.where("k >= 2000").unionAll(rows.where("k >= 2000")), path) == 1000
+    assert len(parts) == 2 and all(re.search(r'hashpartitioning\(__slot#\d+, \d{2,}\)', p._jdf.queryExecution().executedPlan().toString()) for p in parts)
+    assert spark.read.parquet(path).exceptAll(rows).isEmpty() and rows.exceptAll(spark.read.parquet(path)).isEmpty()
+    table = spark.read.parquet(path)                                      # each file still holds one bucket
+    held = FS.with_bucket(table).select(FS.BUCKET, F.regexp_extract(F.input_file_name(), r"bucket-(\d+)-", 1).cast("int").alias("named"))
+    assert held.where(f"{FS.BUCKET} <> named").isEmpty()
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmpdir_path):
+    from voltaic import session
+    before, was = _shuffle_files(spark), spark.conf.get(session.FREED)
+    rows = session.materialize(spark.range(5000).selectExpr("id as k", "concat('v', id % 50) as v").repartition(7, "k"), "freed")
+    FS.append_distinct(spark, rows, os.path.join(tmpdir_path, "t"))
+    landing = os.path.join(tmpdir_path, "landing")
+    rows.write.parquet(landing)
+    ingest_available_now(spark, landing, rows.schema, os.path.join(tmpdir_path, "target"), os.path.join(tmpdir_path, "ck"))
+    assert spark.read.parquet(os.path.join(tmpdir_path, "target")).count() == 5000 and spark.conf.get(session.FREED) == was
+    deadline = time.time() + 20
+
+    def left():                                       # counts leave a few bytes, 5000 rows some 50,000
+        return sum(size for f, size in _shuffle_files(spark).items() if f not in before)
+    while time.time() < deadline and left() > 5000:   # files go while the driver does other things
+        time.sleep(.2)
+    assert left() <= 5000

@@ -84,6 +84,17 @@ def test_scores_of_a_search_are_those_of_models_trained_alone(rows):
             assert scores[at] == pytest.approx(np.mean(alone), rel=1e-9)
 
 
+def test_many_rows_of_few_kinds_are_put_together(spark, monkeypatch):
+    monkeypatch.setattr(GR, "ROWS_WORTH_FOLDING", 100)
+    df = spark.range(2000).selectExpr("id as k", "cast(id % 5 as double) as a", "cast(id % 3 as double) as b", "cast(id as double) as y", "cast(id as double) as c")
+    for features, kinds in ((["a", "b"], 15), (["a", "b", "c"], 2000)):
+        stages, _ = FE.feature_stages(df, features)
+        data, est = Pipeline(stages=stages).fit(df).transform(df), models.make_estimator("random_forest", "y", n_estimators=3)
+        table = GR.binned(data, est, cells=1000)
+        assert len(table.bins) == kinds and table.folded == (kinds == 15) and table.n.sum() == 2000
+        assert (table.s + table.n * table.shift).sum() == pytest.approx(2000 * 1999 / 2)
+
+
 def test_tables_too_large_or_of_many_categories_go_to_sparks_trainer(rows, monkeypatch):
     est = models.make_estimator("gradient_boosting", "y", n_estimators=2, subsample=.8)
     monkeypatch.setattr(GR, "TABLE_BYTES", 100)
